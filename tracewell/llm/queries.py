@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, mixing, quality, secrets, sharding, tokens, urls
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mixing": mixing.op3_mixing,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_urls": urls.op5_urls,
+    "op7_tokens": tokens.op7_tokens,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
@@ -14,6 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.oracle(),
     "op3_mixing": mixing.oracle(),
+    "op5_urls": urls.oracle(),
     "op9_quality": quality.oracle(),
     "op10_sharding": sharding.oracle(),
 }
