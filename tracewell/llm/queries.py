@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets, sharding, tokens, urls
+from . import decontaminate, mixing, neardup, quality, secrets, sharding, tokens, urls
 
 QUERIES = {
+    "op1_neardup": neardup.op1_neardup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mixing": mixing.op3_mixing,
     "op4_secrets": secrets.op4_secrets,
