@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, secrets, sharding, tokens, urls
+from . import decontaminate, lm, mixing, neardup, quality, secrets, sharding, substrings, tokens, urls
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_secrets": secrets.op4_secrets,
     "op5_urls": urls.op5_urls,
+    "op6_substrings": substrings.op6_substrings,
     "op7_tokens": tokens.op7_tokens,
+    "op8_lm": lm.op8_lm,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
