@@ -53,7 +53,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, broadcast_b
         table_ = F.broadcast(table_)
     text = text_of()
     words = docs.select(row_key(text).alias("key"), tokens_of(text).alias("w"))
-    each = words.select("key", "w", F.posexplode("w").alias("p", "t"))
+    # The outer form: the plain one makes Spark infer a filter that cuts every text into words once more.
+    each = words.select("key", "w", F.posexplode_outer("w").alias("p", "t"))
     pair = F.xxhash64("t", F.get("w", F.col("p") + 1))
     if seen["shortest"] == 1:
         each = each.select("key", "w", "p", F.explode(F.array_distinct(F.array(pair, F.xxhash64("t")))).alias("h"))

@@ -108,8 +108,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_columns: tuple[st
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the rules keep, with their own columns only."""
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    kept = measures(packed).where(~base_failed() & compiled(rules).isNull())
-    return kept.select("_row.*")
+    verdict = (~base_failed() & compiled(rules).isNull()).alias("_kept")
+    # A column that isn't deterministic keeps the optimizer from pushing the filter below the measures, which would evaluate them again for each mention.
+    judged = measures(packed).select("_row", verdict, F.monotonically_increasing_id().alias("_fence"))
+    return judged.where("_kept AND _fence >= 0").select("_row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
