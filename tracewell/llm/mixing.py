@@ -62,7 +62,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         }
     )
     level = filled.withColumn("_level", (F.col("_all") - F.col("_capped")) / (F.col("_weights") - F.col("_passed")))
-    level = level.withColumn("_stop", F.min(F.when(F.col("_level") <= F.col("_full_at"), F.col("_level"))).over(all_rows))
+    # The level at the first source that it doesn't fill; further on the formula no longer means a level.
+    reached = F.when(F.col("_level") <= F.col("_full_at"), F.struct("_full_at", "_i", "_level"))
+    level = level.withColumn("_stop", F.min(reached).over(all_rows)["_level"])
     return level.select("source", "source_size", F.when(F.col("_stop").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_w") * F.col("_stop"))).alias("target"))
 
 
@@ -127,7 +129,7 @@ WITH d AS (
          sum(source_size) OVER () * 1.5 AS every, sum(w) OVER () AS weights
   FROM r WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT *, min(CASE WHEN (every - capped) / (weights - passed) <= full_at THEN (every - capped) / (weights - passed) END) OVER () AS stop FROM f
+  SELECT f.*, (SELECT (every - capped) / (weights - passed) FROM f WHERE (every - capped) / (weights - passed) <= full_at ORDER BY full_at, source NULLS LAST LIMIT 1) AS stop FROM f
 ), p AS (
   SELECT source, source_size, CASE WHEN stop IS NULL THEN cap ELSE least(cap, w * stop) END::DOUBLE AS target FROM l
 ), e AS (
