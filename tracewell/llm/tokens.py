@@ -38,7 +38,7 @@ MAGIC, VERSION = b"TWTK", 1
 END_ID = 2
 FILE_TOKENS = 2**21
 #: Distinct words that a worker keeps encoded, twice.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 
 _HEAD = struct.Struct("<4sIQQQ")
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
@@ -70,11 +70,12 @@ def unvbyte(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def packed_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One file of documents."""
-    seen, where, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(seen), dtype=np.uint32)
-    rank[order] = np.arange(len(seen), dtype=np.uint32)
-    control, data = vbyte(rank[where])
+    count = np.bincount(ids)
+    seen = np.flatnonzero(count)
+    order = np.argsort(-count[seen], kind="stable")
+    rank = np.zeros(len(count), dtype=np.uint32)
+    rank[seen[order]] = np.arange(len(seen), dtype=np.uint32)
+    control, data = vbyte(rank[ids])
     return b"".join(
         (
             _HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), len(seen)),
@@ -116,7 +117,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+            ids = np.array(self.encode(word), dtype=self.kind).tobytes()
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -124,6 +125,12 @@ class _Words(dict):
         return ids
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+
+
 class Encoder:
     """Encodes as the tokenizer does. Byte-level BPE never merges across the words
     that its pattern cuts, so each distinct word is encoded once and remembered; a
@@ -144,7 +151,12 @@ class Encoder:
         self.kind = "<u2" if self.whole.get_vocab_size() <= 2**16 else "<u4"
         # Fixed value: the pattern by which byte-level BPE cuts words.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") if plain else None
-        self.words = _Words(self.whole.encode, self.kind)
+        self.letters, self.merges = _byte_letters(), self.whole.model
+        self.words = _Words(self._word, self.kind)
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of one word, by the tokenizer's merges alone."""
+        return [t.id for t in self.merges.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def __call__(self, text: str) -> np.ndarray:
         if self.pattern is None or any(s in text for s in self.special):
