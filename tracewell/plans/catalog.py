@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relational
+
+QUERIES: dict = {**relational.Q}
+ORACLE_SQL: dict[str, str] = {**relational.SQL}
