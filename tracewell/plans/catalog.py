@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import code, relational
 
-QUERIES: dict = {**relational.Q}
-ORACLE_SQL: dict[str, str] = {**relational.SQL}
+QUERIES: dict = {**relational.Q, **code.Q}
+ORACLE_SQL: dict[str, str] = {**relational.SQL, **code.SQL}
