@@ -1,0 +1,48 @@
+"""The corpus queries over the smallest tables, against SQL or brute force, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import pytest
+from brute import contamination, neardup, quality
+from compare import oracle_rows, spark_rows
+
+from tracewell.llm import queries
+from tracewell.llm.common import table, written
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    assert spark_rows(queries.QUERIES[name](spark, SF)) == oracle_rows(queries.ORACLE_SQL[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_rows(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() == table(spark, SF, "documents").count()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = table(spark, SF, "documents")
+    items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    seen = []
+    for name, stage in p.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        docs = written(stage(spark, docs, SF))
+        after = docs.collect()
+        ids = sorted(r["doc_id"] for r in after)
+        if name == "quality_rules":
+            assert not any(quality(r["text"])[-1] for r in after)
+            assert len(after) >= 0.9 * sum(not quality(t)[-1] for _, t in before)
+        elif name == "near_dedup":
+            assert ids == sorted({c for _, c in neardup(before, 5, 80).values()})
+        elif name == "decontamination":
+            assert ids == sorted(d for d, t in before if not contamination(t, items)[-1])
+        elif name == "mix_sources":
+            assert set(ids) <= {d for d, _ in before} and max(ids.count(d) for d in set(ids)) <= 2
+        else:
+            assert ids == sorted(d for d, _ in before)
+        seen.append(len(after))
+    assert seen[0] >= seen[1] >= seen[2] > 0 and seen[3] == seen[4]

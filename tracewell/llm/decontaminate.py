@@ -23,6 +23,8 @@ WINDOW = 13
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
 RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of a text that are looked up together.
+CHUNK = 1024
 BROADCAST_BYTES = 64 * 2**20
 
 
@@ -49,20 +51,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, broadcast_b
     """(key, start, length, items) of each window that occurs in a document; start counts its words from 0."""
     table_ = windows(benchmark, width)
     seen = table_.agg(F.sum(F.octet_length("window") + F.expr("aggregate(items, 0L, (n, x) -> n + octet_length(x) + 16)") + 64).alias("bytes"), F.min("length").alias("shortest")).first()
-    if (seen["bytes"] or 0) <= broadcast_bytes:
-        table_ = F.broadcast(table_)
+    small = (seen["bytes"] or 0) <= broadcast_bytes
     text = text_of()
     words = docs.select(row_key(text).alias("key"), tokens_of(text).alias("w"))
+    # Chunks of a text, with what windows at their edges need: no row carries a whole text, however long.
+    edge = width - 1
+    cut = words.select("key", F.expr(f"transform(sequence(0, greatest(size(w) - 1, 0) div {CHUNK}), c -> named_struct('c', c, 'w', slice(w, greatest(c * {CHUNK} - {edge}, 0) + 1, {CHUNK + 2 * edge + 1})))").alias("cs"))
     # The outer form: the plain one makes Spark infer a filter that cuts every text into words once more.
-    each = words.select("key", "w", F.posexplode_outer("w").alias("p", "t"))
-    pair = F.xxhash64("t", F.get("w", F.col("p") + 1))
+    cut = cut.select("key", F.explode_outer("cs").alias("x")).select("key", F.col("x.c").alias("c"), F.col("x.w").alias("w"), F.greatest(F.col("x.c") * CHUNK - edge, F.lit(0)).alias("base"))
+    each = cut.select("key", "c", "w", "base", F.posexplode_outer("w").alias("i", "t")).withColumn("p", F.col("base") + F.col("i")).where((F.col("p") >= F.col("c") * CHUNK) & (F.col("p") < (F.col("c") + 1) * CHUNK))
+    pair = F.xxhash64("t", F.get("w", F.col("i") + 1))
     if seen["shortest"] == 1:
-        each = each.select("key", "w", "p", F.explode(F.array_distinct(F.array(pair, F.xxhash64("t")))).alias("h"))
+        each = each.select("key", "w", "base", "p", F.explode(F.array_distinct(F.array(pair, F.xxhash64("t")))).alias("h"))
     else:
-        each = each.select("key", "w", "p", pair.alias("h"))
-    found = each.join(table_, F.col("h") == F.col("anchor"))
+        each = each.select("key", "w", "base", "p", pair.alias("h"))
     start = F.col("p") - F.col("offset")
-    found = found.where((start >= 0) & (F.array_join(F.expr("slice(w, greatest(p - offset, 0) + 1, length)"), " ") == F.col("window")))
+    if small:
+        found = each.join(F.broadcast(table_), F.col("h") == F.col("anchor"))
+        there = F.expr("slice(w, greatest(p - offset, 0) - base + 1, length)")
+    else:
+        # Rows travel here, so each takes only the words that a window around it can have.
+        each = each.select("key", "p", "h", F.expr(f"slice(w, greatest(p - {edge}, 0) - base + 1, {2 * width})").alias("w"))
+        found = each.join(table_.hint("merge"), F.col("h") == F.col("anchor"))
+        there = F.expr(f"slice(w, greatest(p - offset, 0) - greatest(p - {edge}, 0) + 1, length)")
+    found = found.where((start >= 0) & (F.array_join(there, " ") == F.col("window")))
     return found.select("key", start.alias("start"), "length", "items")
 
 

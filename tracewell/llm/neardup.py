@@ -276,9 +276,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, with its own columns only; rows with a null id stay."""
-    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, docs["doc_id"].cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("k")).distinct()
+    packed = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
+    one = packed.where("k IS NOT NULL").join(kept, "k", "left_semi").dropDuplicates(["k"])
+    return one.unionByName(packed.where("k IS NULL")).select("r.*")
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
