@@ -39,7 +39,7 @@ class Rule:
 RULES = (
     Rule("length", "n_words", 50, 1_000_000),
     Rule("mean_word_chars", "mean_word_chars", 1.5, 30),
-    Rule("symbols", "symbol_ratio", None, 0.75),
+    Rule("symbols", "symbol_ratio", None, 0.35),
     Rule("stop_words", "stop_ratio", 0.005, None),
     Rule("duplicate_lines", "dup_line_ratio", None, 0.7),
     Rule("repeated_words", "repeat_ratio", None, 0.5),
@@ -143,6 +143,6 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars >= 1.5 * n_words AND word_chars <= 30 * n_words AND n_words <= 1000000
-       AND n_symbols <= 0.75 * n_words AND n_stop >= 0.005 * n_words AND n_dup_lines <= 0.7 * n_lines AS kept
+       AND n_symbols <= 0.35 * n_words AND n_stop >= 0.005 * n_words AND n_dup_lines <= 0.7 * n_lines AS kept
 FROM b
 """
