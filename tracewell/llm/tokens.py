@@ -138,6 +138,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import json
+        import re
 
         import regex
         from tokenizers import Tokenizer
@@ -151,6 +152,8 @@ class Encoder:
         self.kind = "<u2" if self.whole.get_vocab_size() <= 2**16 else "<u4"
         # Fixed value: the classes by which byte-level BPE cuts words. No two of the first three begin alike, so the frequent ones are tried first.
         self.pattern = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") if plain else None
+        # The same for texts in ASCII, where the classes are plain.
+        self.ascii = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
         self.letters, self.merges = _byte_letters(), self.whole.model
         self.coded = [np.array([i], dtype=self.kind).tobytes() for i in range(self.whole.get_vocab_size())]
         self.words = _Words(self._word)
@@ -158,12 +161,14 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """The ids of one word, by the tokenizer's merges alone."""
         coded = self.coded
-        return b"".join([coded[t.id] for t in self.merges.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        plain = word.isascii() and word.isprintable()
+        shown = word.replace(" ", self.letters[32]) if plain else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([coded[t.id] for t in self.merges.tokenize(shown)])
 
     def __call__(self, text: str) -> np.ndarray:
         if self.pattern is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.pattern.findall(text))), dtype=self.kind)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, (self.ascii if text.isascii() else self.pattern).findall(text))), dtype=self.kind)
 
 
 _ENCODERS: dict[str, Encoder] = {}
