@@ -51,13 +51,18 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _once(c: Column) -> Column:
+    """c, marked as not deterministic: else a filter on a measure is pushed down and evaluates the words again for each word."""
+    return F.when(F.monotonically_increasing_id() < 0, F.lit(None)).otherwise(c)
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """docs with counts and ratios of each whole text; no shuffle and no user function."""
     text = text_of()
-    words = docs.withColumns({"_w": words_of(text), "_l": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))})
+    words = docs.withColumns({"_w": _once(words_of(text)), "_l": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))})
     hashed = words.withColumn(
         "_t",
-        F.expr("CASE WHEN size(_w) >= 4 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE cast(array() AS array<bigint>) END"),
+        _once(F.expr("CASE WHEN size(_w) >= 4 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE cast(array() AS array<bigint>) END")),
     )
     twice = "filter(s, (x, j) -> get(s, j - 1).h = x.h OR get(s, j + 1).h = x.h)"
     covered = _let("sort_array(transform(_t, (h, i) -> named_struct('h', h, 'i', i)))", "s", f"size(array_distinct(flatten(transform({twice}, x -> array(x.i, x.i + 1, x.i + 2)))))")
