@@ -209,3 +209,32 @@ def test_tree_digest(spark, tmp_path):
     assert len(set(seen)) == 4
     rows = {r["path"]: r for r in spark.read.format("code_tree").load(str(tmp_path)).collect()}
     assert not rows["link"]["inside"] and rows["link"]["link_target"] == "/etc" and ".hidden" in rows
+
+
+def test_whole_sequences(spark):
+    """Trajectories that part after the third event, act late, act in several ways, or never act."""
+    from tracewell.operators import export
+
+    def acts(traj, *actions, first=1):
+        return [(traj, first + 2 * i, "ActionEvent", tool, f"c{traj}-{i}", f"r{traj}-{i}", pattern, path, None, start, start, None, None, None, None) for i, (tool, pattern, path, start) in enumerate(actions)]
+
+    same = [("grep", "a", "x", None), ("glob", "b", "y", None), ("grep", "c", "z", None)]
+    turn = lambda traj: (traj, 1, "TokenEvent", *[None] * 11, 5)
+    log = acts(1, *same, ("grep", "d", "z", None)) + acts(2, *same, ("grep", "e", "z", None)) + acts(3, *same, ("grep", "d", "./z", None))
+    log += acts(4, *same, first=20) + acts(5, *same[:2]) + [turn(6), turn(7)]
+    log += acts(8, ("read_file", None, "x", 1)) + acts(9, ("read_file", None, "x", 2)) + acts(10, ("grep", "p q", "r", None)) + acts(11, ("grep", "p", "q r", None))
+    kept = export.first_of_sequence(export.action_steps(spark.createDataFrame(log, EVENTS)), "traj", "steps")
+    assert sorted(r["traj"] for r in kept.collect()) == [1, 2, 4, 5, 6, 8, 9, 10, 11]
+
+
+def test_whole_sequences_of_events(spark):
+    """Against plain Python over the smallest tables."""
+    from tracewell.plans import relational, views
+
+    seen = {}
+    for r in views.event_log(spark, "/root/testdata/sf0.001").orderBy("traj", "seq").collect():
+        seen.setdefault(r["traj"], []).extend([(r["tool_name"], r["pattern"], r["path"])] if r["kind"] == "ActionEvent" else [])
+    first = {}
+    for t in sorted(seen):
+        first.setdefault(tuple(seen[t]), t)
+    assert sorted(r["traj"] for r in relational.trajectory_dedup_whole(spark, "/root/testdata/sf0.001").collect()) == sorted(first.values())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import normalized
 from .tasks import hash_split
 
 SFT_COLUMNS = ("instance_id", "difficulty", "messages", "tools", "input_ids", "loss_mask")
@@ -23,6 +24,17 @@ def first_of_sequence(rows: DataFrame, order: str, key: str) -> DataFrame:
     return rows.join(least.select(order), order, "left_semi")
 
 
+def action_steps(log: DataFrame) -> DataFrame:
+    """(traj, steps) of every trajectory of an event log: all its actions in order, as JSON; without actions `[]`.
+
+    Call ids and responses differ between equal runs and are left out.
+    """
+    fields = ("tool_name", "pattern", "path", "include", "start_line", "end_line")
+    step = F.struct(*((normalized(F.col(c)) if c == "path" else F.col(c)).alias(c) for c in fields))
+    done = F.array_sort(F.collect_list(F.when(F.col("kind") == "ActionEvent", F.struct("seq", step.alias("x")))))
+    return log.groupBy("traj").agg(done.alias("s")).select("traj", F.to_json(F.transform("s", lambda r: r["x"])).alias("steps"))
+
+
 def exported(tasks: DataFrame, trajectories: DataFrame, validation: float = 0.1, least_quality: float = 0.5, most_cost: float = 3.0) -> dict[str, DataFrame]:
     """sft and rl rows with their split, and rejected (traj, reasons).
 

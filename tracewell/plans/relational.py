@@ -223,6 +223,14 @@ def trajectory_dedup(spark: SparkSession, d: str) -> DataFrame:
     return export.first_of_sequence(steps.select("traj", F.array_join(F.transform("s", lambda x: x["x"]), ";").alias("steps")), "traj", "steps").select("traj")
 
 
+@query(None)
+def trajectory_dedup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The first trajectory of each sequence of all actions; trajectory_dedup, as its SQL has it, looks at the first three events alone."""
+    from ..operators import export
+
+    return export.first_of_sequence(export.action_steps(v.event_log(spark, d)), "traj", "steps").select("traj")
+
+
 # --- event validation
 
 
