@@ -238,3 +238,25 @@ def test_whole_sequences_of_events(spark):
     for t in sorted(seen):
         first.setdefault(tuple(seen[t]), t)
     assert sorted(r["traj"] for r in relational.trajectory_dedup_whole(spark, "/root/testdata/sf0.001").collect()) == sorted(first.values())
+
+
+def test_two_keys_of_many_tasks(spark, tmp_path):
+    """More tasks than 900 with texts of their own; every 50th clashes with its neighbour, kept or not."""
+    from tracewell.functions.text import task_key
+    from tracewell.operators.tasks import first_error
+    from tracewell.plans import relational, views
+
+    rows = [(i, f"text {i if i % 7 else i // 70}", "en", "s", 9) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    told = views.task_row_clashing(spark, str(tmp_path))
+    none = lambda kind: F.lit(None).cast(kind)
+    keyed = told.select("ord", "instance_id", first_error(told).alias("bad"), task_key(F.col("repo"), none("string"), F.col("problem_statement"), none("string"), none("boolean")).alias("key"))
+    ids, keys, want = set(), set(), []
+    for r in sorted(keyed.where("bad IS NULL").collect()):
+        if r["instance_id"] not in ids and r["key"] not in keys:
+            ids.add(r["instance_id"])
+            keys.add(r["key"])
+            want.append(r["ord"])
+    got = sorted(r["ord"] for r in relational.two_key_greedy_dedup(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 900
+    assert told.select("instance_id").distinct().count() == 2000 - 40

@@ -91,7 +91,7 @@ def task_key_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def two_key_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    kept, _ = tasks.clean(v.task_row(spark, d), "ord")
+    kept, _ = tasks.clean(v.task_row_clashing(spark, d), "ord")
     return kept.select("ord", "instance_id")
 
 

@@ -34,6 +34,12 @@ TASK_ROW = """task_row AS (SELECT doc_id AS ord, 'doc-' || (doc_id % 900) AS ins
   CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(9) || ' ' ELSE text END AS problem_statement FROM documents)"""
 
 
+def task_row_clashing(spark: SparkSession, d: str) -> DataFrame:
+    """task_row with an id for each row, but every 50th row has its neighbour's: the ids grow with the table."""
+    own = F.col("ord") - F.when(F.col("ord") % 50 == 49, 1).otherwise(0)
+    return task_row(spark, d).withColumn("instance_id", F.concat(F.lit("doc-"), own))
+
+
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """(id, level, symbol, truth, predicted): distinct symbols of orders; truth and prediction are two filters of line items."""
     li = table(spark, d, "lineitem").select(
