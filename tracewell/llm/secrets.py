@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,8 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON_WORDS)))}
 _LONGEST = max(map(len, _RANK))
+# What a word or a date spans at most.
+_REACH = max(_LONGEST, 10)
 _KEY = {c: (y, x) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row)}
 _PLAIN = str.maketrans("@4310$5!", "aaeiossi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
@@ -53,7 +56,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)s?[A-Za-z0-9_-]{0,16}["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>,;()\[\]{}]{6,200})""",
+    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)s?[A-Za-z0-9_-]{0,16}["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>,;()\[\]{}]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
@@ -65,21 +68,38 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def guess_cost(value: str) -> float:
-    """The power of ten of the guesses that the cheapest segmentation of value takes."""
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """The power of ten of the guesses that the cheapest segmentation of value takes; from `enough` on it may be infinite.
+
+    Below `enough`, segments are bounded but for repeats, so the time is linear in the
+    length of value. A repeat that starts deep in its run never pays: what leads into a
+    run ends within its first _REACH characters, and from there the run itself is cheapest.
+    """
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
     plain = low.translate(_PLAIN)
     best = [0.0] + [math.inf] * n
+    run = far = 0
     for i in range(n):
         here = best[i]
+        c = value[i]
+        if i and value[i - 1] != c:
+            run = i
+        if i > far:
+            break
+        if here == math.inf:
+            continue
 
-        def offer(j: int, cost: float, here: float = here) -> None:
+        def offer(j: int, cost: float, here: float = here) -> bool:
+            nonlocal far
+            if here + cost >= enough:
+                return False
             if here + cost < best[j]:
                 best[j] = here + cost
+                far = max(far, j)
+            return True
 
-        c = value[i]
         offer(i + 1, 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j])
@@ -90,15 +110,15 @@ def guess_cost(value: str) -> float:
         if m := _DATE.match(value, i):
             offer(m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120))
         j = i + 1
-        while j < n and value[j] == c:
+        while i - run <= _REACH and j < n and value[j] == c:
             j += 1
-            if j - i >= 3:
-                offer(j, math.log10(40 * (j - i)))
+            if j - i >= 3 and not offer(j, math.log10(40 * (j - i))):
+                break
         j = i + 1
         while j < n and _near(low[j - 1], low[j]):
             j += 1
-            if j - i >= 3:
-                offer(j, math.log10(47 * (j - i)) + 0.3 * (j - i))
+            if j - i >= 3 and not offer(j, math.log10(47 * (j - i)) + 0.3 * (j - i)):
+                break
     return best[n]
 
 
@@ -119,18 +139,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of sorted spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of values in a credential context that take at least 10^least guesses and that no base span has."""
+    """(start, kind, end) of values in a credential context that take at least 10^least guesses and that base spans don't cover whole."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
     out = []
+    starts, ends = _merged(base)
     for m in _CONTEXT.finditer(text):
         start = m.start(1)
         value = m[1].rstrip(".:!?")
-        if len(value) < 6 or not _mixed(value) or any(s < start + len(value) and start < e for s, _, e in base):
+        k = bisect_right(starts, start) - 1
+        if len(value) < 6 or not _mixed(value) or (k >= 0 and start + len(value) <= ends[k]):
             continue
-        if guess_cost(value) >= least:
+        if guess_cost(value, least) >= least:
             out.append((start, 3, start + len(value)))
     return out
 
