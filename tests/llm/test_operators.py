@@ -153,6 +153,15 @@ def test_whole_values(spark):
         assert not secrets.guessed_spans(covered, secrets.base_spans(covered))
 
 
+def test_values_without_digits():
+    """guess_cost judges every value; plain words take more."""
+    kept = {"pwd: XkqWzQtmPlrBvN": (5, 19), "passphrase: correct-horse$battery": (12, 33), "auth: 8#30!592%7461": (6, 19), "auth= $%^&*!#": (6, 13), "passphrase: correct-horse-battery-staple": (12, 40)}
+    for text, (s, e) in kept.items():
+        assert secrets.guessed_spans(text, secrets.base_spans(text)) == [(s, 3, e)], text
+    for prose in ("The secret: remember this", "Auth: Required", "token: straightforward.", "auth = self.session", "auth: two-factor", "pwd: password", "the password: Geheimnis", "pass: l'été-dernier"):
+        assert not secrets.guessed_spans(prose, secrets.base_spans(prose)), prose
+
+
 def test_guess_cost_in_linear_time():
     """The bounded search gives the plain one's results; long runs and walks stay cheap."""
     rnd = random.Random(5)

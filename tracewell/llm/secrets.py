@@ -4,7 +4,9 @@ Three fixed patterns find assignments, access keys and long hex strings. Beyond
 them, values in a credential context are held against a guesser: the cheapest cut
 of the value into dictionary words, dates, repeats, keyboard walks and brute-force
 characters, by dynamic programming over its positions. A value that takes many
-guesses is a secret; `password: summer2019` isn't one, and no prose is.
+guesses is a secret; `password: summer2019` isn't one. Plain lower-case words take
+more guesses to be one, so that prose isn't, but for words of 17 letters and more
+that aren't in the list.
 
 Spans are `kind:start:end` in code points of the whole text, end exclusive.
 
@@ -29,6 +31,8 @@ from .common import table, text_of
 KINDS = ("assign", "access", "hex", "guess")
 #: Least guesses, as a power of ten, that make a value in a credential context a secret.
 LEAST_GUESSES = 7.0
+#: Further powers of ten that plain words take: prose after a colon is such, and a letter of it counts as a random one.
+MORE_FOR_WORDS = 17.0
 
 # The words that people choose, the most frequent first.
 COMMON_WORDS = (
@@ -59,6 +63,9 @@ _CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)s?[A-Za-z0-9_-]{0,16}["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>,;()\[\]{}]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
+# Lower-case words, perhaps with a capital, and what may join them.
+_PLAIN_WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[-_./'\u2019](?=[^\W\d_]))*")
+_INNER_CAPITAL = re.compile(r"(?<=[^\W\d_])[^\W\d_]")
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
 
@@ -122,9 +129,9 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return best[n]
 
 
-def _mixed(value: str) -> bool:
-    """Letters and something else: prose after a colon has letters alone."""
-    return any(c.isalpha() for c in value) and any(c.isdigit() for c in value)
+def _plain_words(value: str) -> bool:
+    """Whether value is lower-case words alone, each perhaps with an initial capital."""
+    return bool(_PLAIN_WORDS.fullmatch(value)) and not any(c.isupper() for c in _INNER_CAPITAL.findall(value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -153,7 +160,7 @@ def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of values in a credential context that take at least 10^least guesses and that base spans don't cover whole."""
+    """(start, kind, end) of values in a credential context that base spans don't cover whole and that take at least 10^least guesses, plain words 10^MORE_FOR_WORDS times as many."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
@@ -163,9 +170,10 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float = LE
         start = m.start(1)
         value = m[1].rstrip(".:!?")
         k = bisect_right(starts, start) - 1
-        if len(value) < 6 or not _mixed(value) or (k >= 0 and start + len(value) <= ends[k]):
+        if len(value) < 6 or (k >= 0 and start + len(value) <= ends[k]):
             continue
-        if guess_cost(value, least) >= least:
+        needed = least + MORE_FOR_WORDS * _plain_words(value)
+        if guess_cost(value, needed) >= needed:
             out.append((start, 3, start + len(value)))
     return out
 
