@@ -67,3 +67,25 @@ def test_stream_counts(spark, tmp_path):
     metrics.memory_query(metrics.running_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "e"))), "running")
     got = {r["traj"]: r for r in spark.table("running").collect()}
     assert got[1]["num_tool_calls"] == 1 and got[1]["search_calls"] == 1 and got[1]["num_turns"] == 1 and got[2]["tool_errors"] == 1
+
+
+def test_stream_of_parts(spark, tmp_path):
+    """The events as a folder of parts or one file, beside other tables, by a plain path and one that only Spark reads."""
+    from tracewell.plans import code
+
+    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("event_type"), F.col("id").cast("double").alias("value"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    want = [("0", 34, 1683.0), ("1", 33, 1617.0), ("2", 33, 1650.0)]
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.streams.link./in", tmp_path.as_uri())
+    for kind, parts in (("parts", 7), ("file", 1)):
+        d = tmp_path / kind
+        rows.repartition(parts).write.parquet(str(d / "events.parquet"))
+        spark.range(7).write.parquet(str(d / "orders.parquet"))
+        if kind == "file":
+            (part,) = (d / "events.parquet").glob("part-*.parquet")
+            part.rename(d / "part")
+            for x in [*(d / "events.parquet").iterdir()]:
+                x.unlink()
+            (d / "events.parquet").rmdir()
+            (d / "part").rename(d / "events.parquet")
+        for path in (str(d), f"viewfs://streams/in/{kind}"):
+            assert sorted(map(tuple, code.streaming_counts(spark, path).collect())) == want, path

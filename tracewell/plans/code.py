@@ -219,7 +219,10 @@ def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import metrics
 
     kind = v.table(spark, d, "events").schema
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet" if not d.startswith("viewfs") else "*").parquet(d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
+    # A stream takes a folder as it is, but a single file only by a glob.
+    stream = spark.readStream.schema(kind).parquet(f"{d}/events.parquet" if folder else f"{d}/[e]vents.parquet")
     name = f"stream_{uuid.uuid4().hex}"
     metrics.memory_query(metrics.windowed_counts(stream), name, "complete")
     return spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
