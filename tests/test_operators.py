@@ -260,3 +260,16 @@ def test_two_keys_of_many_tasks(spark, tmp_path):
     got = sorted(r["ord"] for r in relational.two_key_greedy_dedup(spark, str(tmp_path)).collect())
     assert got == want and len(got) > 900
     assert told.select("instance_id").distinct().count() == 2000 - 40
+
+
+def test_labels_and_symbols_of_every_row(spark, monkeypatch):
+    """Patches are chosen by what they are, not by number, and every file of a repository is parsed."""
+    from tracewell.plans import code
+
+    edit = "--- {0}\n+++ b/{1}\n@@ -1,2 +1,2 @@\n def {2}():\n-    return 1\n+    return 2\n"
+    files = [(2, "m2.py", edit.format("a/m2.py", "m2.py", "two"), "def two():\n    return 1\n"), (3, "m3.py", edit.format("a/m3.py", "m3.py", "three"), "def three():\n    return 1\n")]
+    bad = [(5, "m5.md", edit.format("a/m5.md", "m5.md", "x"), "def five():\n    return 1\n"), (6, "m6.py", edit.format("/dev/null", "m6.py", "x"), "def six():\n    return 1\n"), (10, "m10.py", "@@ broken", "def ("), (11, "m11.py", "--- a/m11.py\n+++ b/m11.py\n@@ -1,9 +1,1 @@\n-broken\n", "x = 1\n")]
+    rows = spark.createDataFrame([(f"i-{n}", n, "org/r", path, patch, "fix", text) for n, path, patch, text in files + bad], "instance_id string, doc_id long, repo string, path string, patch string, problem_statement string, text string")
+    monkeypatch.setattr(code, "_patched", lambda spark, d: rows)
+    assert sorted(tuple(r[c] for c in ("instance_id", "edited")) for r in code.change_labels(spark, "").collect()) == [("i-2", "m2.py:two"), ("i-3", "m3.py:three")]
+    assert sorted(r["name"] for r in code.py_symbols(spark, "").collect()) == ["five", "six", "three", "two"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chat, diffs, digest, search, symbols
+from ..operators import chat, diffs, digest, search, symbols, tasks
 from . import views as v
 
 Q: dict = {}
@@ -178,15 +178,21 @@ def diff_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source AS repo, s.name, s."start" AS "start", s."end" AS "end" FROM (SELECT DISTINCT source FROM documents), (VALUES ('A', 4, 9), ('A.run', 5, 6), ('A.stop', 8, 9), ('free', 12, 13)) s(name, "start", "end")""")
 def py_symbols(spark: SparkSession, d: str) -> DataFrame:
-    one = _patched(spark, d).groupBy(F.substring("repo", 5, 100).alias("repo")).agg(F.first("text").alias("text"))
-    return symbols.spans(one, "repo").select("repo", F.explode("rows").alias("r")).where("r.kind <> 'ignored'").select("repo", "r.name", "r.start", "r.end")
+    """Distinct symbols of the files of each repository."""
+    files = _patched(spark, d).select(F.expr("substring(repo, 5)").alias("repo"), "path", "text")
+    return symbols.spans(files, "repo", "path").select("repo", F.explode("rows").alias("r")).where("r.kind <> 'ignored'").select("repo", "r.name", "r.start", "r.end").distinct()
 
 
 @query("""SELECT 'i-' || doc_id AS instance_id, CASE WHEN doc_id % 5 = 1 THEN 'm' || doc_id || '.py:A.stop' END AS added, CASE WHEN doc_id % 5 = 0 THEN 'm' || doc_id || '.py:free' END AS edited,
  CASE WHEN doc_id % 5 = 0 THEN 'm' || doc_id || '.py:free' ELSE 'm' || doc_id || '.py:A' END AS modules FROM documents WHERE doc_id % 5 IN (0, 1)""")
 def change_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = _patched(spark, d).where("doc_id % 5 IN (0, 1)")
-    out = symbols.change_labels(rows.select("instance_id", "repo", "patch"), rows.select("repo", "path", "text"))
+    """Labels of the patches that can become a task; a blank statement, as the SQL has it, doesn't matter here."""
+    rows = _patched(spark, d)
+    good = diffs.parse(rows).where(diffs.eligibility(F.lit("any"), F.col("error"), F.col("lines")).isNull())
+    # Written once: every branch of the labels would hold this plan again.
+    tasks._checkpoints(spark)
+    raw = rows.join(good.select("instance_id"), "instance_id", "left_semi").select("instance_id", "repo", "patch").checkpoint()
+    out = symbols.change_labels(raw, rows.select("repo", "path", "text"))
     c = F.col("file_changes")[0]["changes"]
     return out.select("instance_id", F.array_join(c["added_entities"], ",").alias("added"), F.array_join(c["edited_entities"], ",").alias("edited"), F.array_join(c["edited_modules"], ",").alias("modules"))
 
