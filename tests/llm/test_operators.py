@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import contamination, kneser_ney, neardup, quality, repeats, secret_spans, shingle_set, targets, url_parts, UP, WORD
 from pyspark.sql import functions as F
@@ -235,6 +236,18 @@ def test_substrings(docs, rows, empty, unit):
     assert bag(got) == Counter(repeats([(r[0], (r[1] or "").encode()) for r in rows], 30))
 
 
+def test_windows_of_equal_hash(monkeypatch):
+    """Windows whose 64-bit hashes clash stay apart by their anchors, in a unit and between units."""
+    rnd = random.Random(6)
+    u = substrings.Unit(pa.table({"doc_id": [1, 2], "text": ["".join(rnd.choice("abcdefgh") for _ in range(300)) for _ in range(2)]}), 100, 40)
+    monkeypatch.setattr(substrings, "mix64", np.zeros_like)
+    *_, h, g, doc = u.windows(np.arange(len(u.g)))
+    assert not h.any() and len(h) == len(set(u.g.tolist())) > 1
+    one = lambda unit, anchor, d: (unit, 0, np.zeros(1, np.uint64).tobytes(), np.array([anchor], np.uint64).tobytes(), np.array([d]).tobytes())
+    assert not list(substrings._by_window([one(0, 5, 1), one(1, 6, 2)]))
+    assert [r[0] for r in substrings._by_window([one(0, 5, 1), one(1, 5, 2)])] == [1]
+
+
 def test_substring_text(spark):
     p = "the very same passage, " * 6
     out = substrings.remove_repeats(spark.createDataFrame([(2, p + "é"), (1, "x" + p)], "doc_id long, text string"), with_text=True)

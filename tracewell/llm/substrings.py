@@ -1,10 +1,12 @@
-"""Removal of repeated passages by a depth-limited radix sort of suffixes.
+"""Removal of repeated passages by passes over hashed windows, in place of a depth-limited radix sort of suffixes.
 
 Every position with a full window of `depth` bytes after it is a suffix, and only
-its first `depth` bytes count. Suffixes are ordered most significant digit first,
-and a group of one drops out after each digit; groups that are left after the last
-digit are exactly the repeated windows. The digits are chosen so that most suffixes
-are never dealt out one by one:
+its first `depth` bytes count. As in a radix sort a group of one drops out after each
+digit, and groups that are left after the last digit are the repeated windows; but the
+digits are hashes, not leading bytes, so suffixes are grouped, never ordered, and no
+bytes are compared. A row for each suffix, with 8 bytes of digit and 8 of document,
+would take 16 times the input. The digits are chosen so that most suffixes are never
+dealt out one by one:
 
 1. The anchor: the leftmost least hash among the `block`-byte blocks of the window.
    Equal windows have equal anchors, and neighbouring windows share theirs, so a
@@ -23,7 +25,7 @@ Earlier means a smaller doc_id, or the same row and an earlier start.
 Defined results: null text is empty; rows with a null id come after all others, and
 neither they nor rows that repeat an id are earlier than one another; an empty
 table gives an empty result; extra columns are not read. Hashes are 64 bits a digit,
-and windows are told apart by anchor and window together.
+and windows are told apart by the hashes of anchor and window, which stand side by side.
 """
 
 from __future__ import annotations
@@ -110,14 +112,15 @@ class Unit:
         return earlier[self.entry] | (self.doc[self.row] > self.entry_doc[self.entry]) | ~self.first_in_row
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each window of some runs: its start, row, and entry among the distinct windows; and of these: hash and least document."""
+        """Of each window of some runs: its start, row, and entry among the distinct windows; and of these: hash, anchor and least document."""
         n = self.stop[runs] - self.start[runs] + 1
         at = np.repeat(self.start[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
         row = np.repeat(self.row[runs], n)
-        h = mix64(span_hash(self.prefix, at, at + self.depth) + np.repeat(self.g[runs], n))
-        order = np.lexsort((at, h))
+        g = np.repeat(self.g[runs], n)
+        h = mix64(span_hash(self.prefix, at, at + self.depth) + g)
+        order = np.lexsort((at, g, h))
         new = np.ones(len(order), dtype=bool)
-        new[1:] = h[order][1:] != h[order][:-1]
+        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
         entry = np.empty(len(order), dtype=np.int64)
         entry[order] = np.cumsum(new) - 1
         in_row = np.ones(len(order), dtype=bool)
@@ -125,7 +128,7 @@ class Unit:
         first = np.empty(len(order), dtype=bool)
         first[order] = in_row
         head = order[new]
-        return at, row, entry, first, h[head], self.doc[row[head]]
+        return at, row, entry, first, h[head], g[head], self.doc[row[head]]
 
 
 def _bucket(digit: np.ndarray, buckets: int) -> np.ndarray:
@@ -200,10 +203,10 @@ def _by_context(held: list[tuple]) -> Iterator[tuple]:
 
 def _by_window(held: list[tuple]) -> Iterator[tuple]:
     """Last digit: of each entry, whether a smaller document has its window."""
-    edges, (h, doc) = _joined(held, (2, np.uint64), (3, np.int64))
-    order = np.lexsort((doc, h))
+    edges, (h, g, doc) = _joined(held, (2, np.uint64), (3, np.uint64), (4, np.int64))
+    order = np.lexsort((doc, g, h))
     new = np.ones(len(h), dtype=bool)
-    new[1:] = h[order][1:] != h[order][:-1]
+    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     earlier = np.empty(len(h), dtype=bool)
     earlier[order] = doc[order] > least
@@ -241,7 +244,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
 
     dealt = "unit int, bucket int, g binary, ctx binary, doc binary"
     reply = "unit int, bucket int, a binary, b binary"
-    window = "unit int, bucket int, h binary, doc binary"
+    window = "unit int, bucket int, h binary, g binary, doc binary"
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     arrow = {x: to_arrow_schema(_parse_datatype_string(x)) for x in (dealt, window, result)}
@@ -259,8 +262,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
         if not len(part) or not len(replies):
             return table_of(window, iter(()))
         u = Unit(part, depth, block)
-        *_, h, doc = u.windows(undecided(u, replies)[1])
-        return table_of(window, _dealt(key[0].as_py(), _bucket(h, buckets), buckets, h, doc))
+        *_, h, g, doc = u.windows(undecided(u, replies)[1])
+        return table_of(window, _dealt(key[0].as_py(), _bucket(h, buckets), buckets, h, g, doc))
 
     def cleaned(key, part, replies):
         if not len(part):
@@ -271,7 +274,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
         np.add.at(drop, u.start[repeats], 1)
         np.add.at(drop, u.stop[repeats] + depth, -1)
         if len(runs):
-            at, row, entry, first, h, least = u.windows(runs)
+            at, row, entry, first, h, _, least = u.windows(runs)
             earlier = np.zeros(len(h), dtype=bool)
             where = _bucket(h, buckets)
             for k, a, b in zip(replies.column("bucket").to_pylist(), replies.column("a").to_pylist(), replies.column("b").to_pylist(), strict=True):
