@@ -117,22 +117,29 @@ def url_parts(url):
     return host.translate(UP), re.split(r"[?#]", rest[len(host) :])[0]
 
 
-def kneser_ney(texts, discounts):
-    """Probability function of a word after a word; None is the end, "" the begin."""
-    bi = Counter(p for t in texts for p in zip(["", *t], [*t, None]))
-    ctx, by, cont = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (h, w), n in bi.items():
-        ctx[h] += n
-        by[h][min(n, 3) - 1] += 1
-        cont[w] += 1
-    d2 = discounts([sum(n == k for n in bi.values()) for k in (1, 2, 3, 4)])
-    d1 = discounts([sum(n == k for n in cont.values()) for k in (1, 2, 3, 4)])
-    total, v = sum(cont.values()), len({w for t in texts for w in t}) + bool(texts)
-    cut = lambda n, d: max(n - (0, *d)[min(n, 3)], 0)
-    rest = sum(d1[min(n, 3) - 1] for n in cont.values()) / total if total else 1
-
-    def p(h, w):
-        low = cut(cont[w], d1) / max(1, total) + rest / (v + 1)
-        return (cut(bi[h, w], d2) + sum(a * b for a, b in zip(by[h], d2)) * low) / ctx[h] if ctx[h] else low
+def kneser_ney(texts, discounts, order):
+    """Probability of a word after the order - 1 tokens before it; None is the end, "" the begin."""
+    counts = {order: Counter()}
+    for t in texts:
+        line = [*[""] * (order - 1), *t, None]
+        counts[order].update(tuple(line[i : i + order]) for i in range(len(t) + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: discounts([sum(n == x for n in c.values()) for x in (1, 2, 3, 4)]) for k, c in counts.items()}
+    after = defaultdict(list)
+    for c in counts.values():
+        for g, n in c.items():
+            after[len(g), g[:-1]].append(n)
+    v = len({w for t in texts for w in t}) + bool(texts)
+
+    def p(context, w):
+        low = 1 / (v + 1)
+        for k in range(1, order + 1):
+            h = tuple(context[len(context) - k + 1 :])
+            seen = after[k, h]
+            if seen:
+                n = counts[k][*h, w]
+                low = (max(n - (0, *d[k])[min(n, 3)], 0) + sum(d[k][min(x, 3) - 1] for x in seen) * low) / sum(seen)
+        return low
 
     return p

@@ -294,29 +294,49 @@ def test_encoder_is_exact():
         assert enc(t).tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
-def test_lm(docs, rows, empty):
+@pytest.mark.parametrize("order,share", [(2, 0.01), (3, 0.01), (3, 1e9), (5, 0.01)])
+def test_lm(docs, rows, empty, monkeypatch, order, share):
+    """share sets how many words are frequent: some, or the begin mark alone."""
+    monkeypatch.setattr(lm, "HOT_SHARE", share)
     train = docs.where(~lm.held_out(F.col("doc_id")))
-    about = lm.train(train)
+    about = lm.train(train, order)
+    assert (len(about["hot"]) > 5) == (share < 1)
     split = lambda t: WORD.findall((t or "").translate(UP))
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     texts = [split(r[1]) for r in rows if not held(r[0])]
-    p = kneser_ney(texts, lm.discounts)
+    p = kneser_ney(texts, lm.discounts, order)
     count = Counter(w for t in texts for w in [*t, None])
     n, v = sum(count.values()), len(count)
-    assert (about["train_tokens"], about["vocabulary"]) == (n, v)
+    assert (about["train_tokens"], about["vocabulary"], about["documents"]) == (n, v, len(texts))
     want = Counter()
     for r in rows:
         t = split(r[1])
+        line = [*[""] * (order - 1), *t, None]
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*t, None])
-        score = sum(math.log10(p(h, w)) for h, w in zip(["", *t], [*t, None]))
+        score = sum(math.log10(p(line[i : i + order - 1], line[i + order - 1])) for i in range(len(t) + 1))
         want[(r[0], len(t) + 1, sum(count[w] > 0 for w in [*t, None]), round(base, 5), round(score, 5))] += 1
     got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5)) for r in lm.score(docs, about).collect())
     assert got == want
-    for h in ("", texts[0][0], "unseen"):
+    for h in ([""] * (order - 1), [texts[0][0]] * (order - 1), texts[0][: order - 1], ["unseen"] * (order - 1)):
         assert math.isclose(sum(p(h, w) for w in count) + p(h, "no such word"), 1, rel_tol=1e-9)
-    nothing = lm.train(empty)
+    nothing = lm.train(empty, order)
     r = lm.score(docs.where("doc_id = 103"), nothing).first()
     assert (r["base_score"], r["score"], r["n_known"]) == (0.0, 0.0, 0)
+    assert lm.score(empty, about).count() == 0
+
+
+def test_lm_tables():
+    """Sorted hash arrays give every count back, of any size, and nothing for other keys."""
+    rnd = np.random.default_rng(8)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        columns = np.stack([rnd.integers(0, 2 ** rnd.integers(1, 50, len(keys))), np.arange(len(keys))])
+        arrays = lm._sorted_hashes("t", keys, columns)
+        order = rnd.permutation(len(keys))
+        assert (lm._looked_up(arrays, "t", keys[order], 2) == columns[:, order]).all()
+        assert not lm._looked_up(arrays, "t", rnd.integers(0, 2**64, 500, dtype=np.uint64), 2).any()
+    for a in (np.zeros(0, dtype=np.int64), np.array([3, 300, 2**40])):
+        assert (lm._unpacked(lm._packed(a)) == a).all()
 
 
 def test_quality(docs, rows, empty):

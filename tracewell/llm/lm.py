@@ -1,42 +1,59 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
-
-Counting: a scan gathers the bigrams of training documents, sums equal ones up for
-a few million tokens at a time, and deals them out by context (contexts that a small
-sample shows to be very frequent are also split by word; this steers rows only, never
-counts). Each bucket sums its bigrams up and writes them as sorted hash arrays with
-counts to the shared folder, and so do the contexts (whose totals are the unigram
-counts) and the continuation counts of words. Only counts of counts come to the
-driver. Scoring: workers memory-map the arrays and look up a few hundred thousand
-sorted hashes at a time; no n-gram is dealt out again.
-
-Words are known by 56 bits of their hash.
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model of any order from two.
+
+A document is padded with order - 1 begin marks and one end. Counting:
+
+1. A scan finds the frequent words. Each batch reports the words that hold at least half
+   the share sought in it, so no word of that share is missed; their n-grams are split.
+2. A scan gathers n-grams, sums equal ones up for a few million tokens at a time, and
+   deals them out by the last word of their context, those of a frequent one also by the
+   word before (by the word itself at order two). So a bucket has whole contexts of every
+   length from two words, and every word that stands to the left of a shorter n-gram: it
+   counts all orders from two up without another exchange, and writes n-grams and
+   contexts as sorted hash arrays to the shared folder.
+3. Counts of words, and the bigrams of frequent contexts, which lie in several buckets,
+   are dealt out by word, summed up and written likewise.
+
+Only counts of counts, a row a bucket and the totals of frequent words come to the
+driver. Scoring: workers memory-map the arrays; no n-gram is dealt out again.
+
+Buckets are as many as the text needs at BUCKET_BYTES each, at least the session's
+number of shuffle partitions. Words are known by 56 bits of their hash. An array of n
+hashes keeps 32 bits beyond the 2^b parts of about 16 hashes that an index cuts it
+into, so an n-gram that isn't there is taken for one that is with a chance of 4e-9.
+Counts have 64 bits.
 
 Defined results: null text is empty and is scored on its end alone; a null id counts
 as the empty text in the choice of training documents, so it trains; rows that repeat
 an id train as often as they occur; without training documents every probability is
-1; an empty table gives an empty result; extra columns are not read.
+1; an empty table gives an empty result; extra columns are not read, whatever their
+names; a very long text is one text, and its n-grams are summed up like those of others.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowmap import map_rows
 from .common import mix64, shared_dir, table, text_of, word_hashes, written
 
+ORDER = 3
 BEGIN, END = np.uint64(1), np.uint64(2)
 _DROP = np.uint64(8)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Tokens that a worker gathers before it deals out their bigrams, and that it scores at once.
-COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 500_000
-#: Documents of the sample that shows frequent contexts, the share that makes one frequent, and the ways it is split.
-HOT_SAMPLE, HOT_SHARE, HOT_SPLIT = 300, 0.004, 16
+#: Tokens that a worker gathers before it deals out their n-grams, and that it scores at once.
+COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
+#: Text that a bucket's n-grams come from, about.
+BUCKET_BYTES = 16 * 2**20
+#: Share of a bucket that makes a word frequent, and the ways in which its n-grams are split.
+HOT_SHARE, HOT_SPLIT = 0.1, 32
 
 
 def ids_of(text: str | None) -> np.ndarray:
@@ -44,39 +61,49 @@ def ids_of(text: str | None) -> np.ndarray:
     return word_hashes(text) >> _DROP
 
 
-def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and words of a document's bigrams, from its begin to its end."""
-    return np.concatenate(([BEGIN], words)).astype(np.uint64), np.concatenate((words, [END])).astype(np.uint64)
+def _grams(documents: list[np.ndarray], order: int) -> np.ndarray:
+    """(order, tokens): the n-grams of documents of word ids, the farthest word first; one ends at each word and at each end."""
+    begin = np.full(order - 1, BEGIN, dtype=np.uint64)
+    end = np.array([END], dtype=np.uint64)
+    line = np.concatenate([x for d in documents for x in (begin, d, end)])
+    size = np.array([len(d) + 1 for d in documents])
+    at = np.arange(size.sum()) + np.repeat((order - 1) * np.arange(len(size)), size)
+    return np.stack([line[at + i] for i in range(order)])
 
 
-def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(context * _GOLD + word)
+def _chain(words: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the last 1, 2, ... rows of words, from the last one on."""
+    out = [mix64(words[-1] + _GOLD)]
+    for w in words[-2::-1]:
+        out.append(mix64(out[-1] * _GOLD + w))
+    return out
 
 
-def _route(context: np.ndarray, word: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
-    split = np.isin(context, hot) * (mix64(word) % np.uint64(HOT_SPLIT))
+def _route(grams: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    context = grams[-2]
+    beside = grams[-3] if len(grams) > 2 else grams[-1]
+    split = np.isin(context, hot) * (np.uint64(1) + mix64(beside) % np.uint64(HOT_SPLIT))
     return mix64(context + split * _GOLD) % np.uint64(buckets)
 
 
-def _summed(order: np.ndarray, counts: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Columns without equal rows, and the sums of their counts."""
-    columns = tuple(c[order] for c in columns)
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(new)
-    return (*(c[at] for c in columns), np.add.reduceat(counts[order], at) if len(at) else counts[:0])
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key first stands, by key, and the sums of its counts."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return order[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-def _small(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as single bytes, and those above 255 in full, in order."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<u8").tobytes()
+def _packed(a: np.ndarray) -> bytes:
+    """Integers in the fewest bytes each, compressed, behind their width and number."""
+    kind = np.min_scalar_type(a.max()) if len(a) else np.dtype("u1")
+    raw = a.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _full(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, dtype=np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(large, dtype="<u8")
-    return out
+def _unpacked(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[1:9], "little")
+    return np.frombuffer(pa.decompress(raw[9:], decompressed_size=size, codec="zstd", asbytes=True), dtype=f"<u{raw[0]}")
 
 
 def _seven(ids: np.ndarray) -> bytes:
@@ -90,8 +117,12 @@ def _of_seven(raw: bytes) -> np.ndarray:
 
 
 class Store:
-    """Arrays under a folder that driver and workers share. On a file system that is
-    mounted they are mapped in place; from another store a worker fetches a copy."""
+    """Named arrays in files under a folder that driver and workers share: little-endian
+    arrays, a JSON index of them, and its length. On a file system that is mounted they are mapped in place;
+    from another store a worker fetches a copy to its own temp folder."""
+
+    #: Names that Hadoop has for stores which pyarrow knows by another.
+    SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "hdfs": "hdfs"}
 
     def __init__(self, root: str) -> None:
         self.root = root
@@ -100,43 +131,101 @@ class Store:
         url = urlparse(self.root)
         return url.path if url.scheme in ("", "file") else None
 
-    def put(self, name: str, array: np.ndarray) -> None:
+    def _remote(self):
+        from pyarrow import fs
+
+        scheme, rest = self.root.split("://", 1)
+        if scheme not in self.SCHEMES:
+            raise ValueError(f"the model can't be stored under {self.root}")
+        return fs.FileSystem.from_uri(f"{self.SCHEMES[scheme]}://{rest}")
+
+    def put(self, name: str, arrays: dict[str, np.ndarray]) -> None:
+        index, at, parts = {}, 0, []
+        for key, a in arrays.items():
+            a = a.astype(a.dtype.newbyteorder("<"), copy=False)
+            gap = -at % 8
+            parts += [b"\0" * gap, a.tobytes()]
+            at += gap + a.nbytes
+            index[key] = (at - a.nbytes, a.dtype.str, len(a))
+        said = json.dumps(index).encode()
+        self._write(name, b"".join([*parts, said, len(said).to_bytes(8, "little")]))
+
+    def _write(self, name: str, content: bytes) -> None:
         if local := self._local():
             os.makedirs(local, exist_ok=True)
             part = f"{local}/.{name}.{os.getpid()}.{np.random.default_rng().integers(2**62)}"
             with open(part, "wb") as f:
-                f.write(array.tobytes())
+                f.write(content)
             os.replace(part, f"{local}/{name}")
             return
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.root)
+        system, path = self._remote()
         system.create_dir(path, recursive=True)
         with system.open_output_stream(f"{path}/{name}") as out:
-            out.write(array.tobytes())
+            out.write(content)
 
-    def get(self, name: str, kind: str) -> np.ndarray:
+    def get(self, name: str) -> dict[str, np.ndarray]:
         local = self._local()
         if not local:
             import hashlib
             import tempfile
 
-            from pyarrow import fs
-
             local = f"{tempfile.gettempdir()}/tracewell-{hashlib.md5(self.root.encode()).hexdigest()}"
             if not os.path.exists(f"{local}/{name}"):
-                system, path = fs.FileSystem.from_uri(self.root)
-                Store(local).put(name, np.frombuffer(system.open_input_stream(f"{path}/{name}").read(), dtype=np.uint8))
-        path = f"{local}/{name}"
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
+                system, path = self._remote()
+                Store(local)._write(name, system.open_input_stream(f"{path}/{name}").read())
+        raw = np.memmap(f"{local}/{name}", dtype=np.uint8, mode="r")
+        said = int.from_bytes(raw[-8:].tobytes(), "little")
+        index = json.loads(raw[-8 - said : -8].tobytes())
+        return {k: raw[at : at + np.dtype(kind).itemsize * n].view(kind) for k, (at, kind, n) in index.items()}
+
+
+def _sorted_hashes(name: str, keys: np.ndarray, columns: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a table of distinct 64-bit hashes with columns (columns, keys) of counts: an index of the
+    leading bits, the next 32 bits, and each column in a byte, or where that is 255 in a list of places and values."""
+    order = np.argsort(keys)
+    keys, columns = keys[order], columns[:, order]
+    bits = max(1, len(keys).bit_length() - 4)
+    head = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    out = {
+        f"{name}.index": np.searchsorted(head, np.arange(2**bits + 1)).astype("<u8" if len(keys) >= 2**32 else "<u4"),
+        f"{name}.rest": (keys >> np.uint64(32 - bits)).astype("<u4"),
+    }
+    for i, c in enumerate(columns):
+        large = np.flatnonzero(c >= 255)
+        out |= {f"{name}.{i}": np.minimum(c, 255).astype(np.uint8), f"{name}.{i}.at": large.astype("<u8"), f"{name}.{i}.large": c[large].astype("<u8")}
+    return out
 
 
-def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are there, and where; keys in any order."""
-    if not len(sorted_):
-        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    return sorted_[at] == keys, at
+def _places(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of keys, in any order, are in a table, and where."""
+    index, rest = arrays[f"{name}.index"], arrays[f"{name}.rest"]
+    if not len(rest) or not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    bits = (len(index) - 1).bit_length() - 1
+    head, want = (keys >> np.uint64(64 - bits)).astype(np.int64), (keys >> np.uint64(32 - bits)).astype("<u4")
+    low, end = index[head].astype(np.int64), index[head + 1].astype(np.int64)
+    high = end.copy()
+    while (low < high).any():
+        mid = (low + high) >> 1
+        less = rest[np.minimum(mid, len(rest) - 1)] < want
+        open_ = low < high
+        low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    at = np.minimum(low, len(rest) - 1)
+    there = np.flatnonzero((low < end) & (rest[at] == want))
+    return there, at[there]
+
+
+def _looked_up(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray, columns: int) -> np.ndarray:
+    """(columns, keys): the columns of keys, 0 where they aren't there."""
+    out = np.zeros((columns, len(keys)), dtype=np.int64)
+    there, at = _places(arrays, name, keys)
+    for i in range(columns):
+        got = arrays[f"{name}.{i}"][at].astype(np.int64)
+        big = np.flatnonzero(got == 255)
+        if len(big):
+            got[big] = arrays[f"{name}.{i}.large"][np.searchsorted(arrays[f"{name}.{i}.at"], at[big])]
+        out[i, there] = got
+    return out
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -154,8 +243,22 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
     return np.maximum(counts - by[np.minimum(counts, 3)], 0.0)
 
 
+def _counts_of_counts(c: np.ndarray) -> np.ndarray:
+    return np.array([(c == k).sum() for k in (1, 2, 3, 4)], dtype=np.int64)
+
+
+def _context_stats(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts, and (4, contexts): the sum of their counts and the numbers of counts 1, 2 and more."""
+    order = np.argsort(contexts, kind="stable")
+    ranked, c = contexts[order], counts[order]
+    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, dtype=np.int64)
+    if not len(at):
+        return ranked, np.zeros((4, 0), dtype=np.int64)
+    return ranked[at], np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2)])
+
+
 def _grouped(df: DataFrame, reduce_bucket, schema: str) -> DataFrame:
-    """Calls reduce_bucket on the rows of each bucket (the first column) in turn."""
+    """Calls reduce_bucket on the rows of each bucket (the first column) in turn; a bucket is sized by BUCKET_BYTES."""
 
     def run(batches: Iterator) -> Iterator[tuple]:
         key, held = None, []
@@ -172,107 +275,142 @@ def _grouped(df: DataFrame, reduce_bucket, schema: str) -> DataFrame:
     return map_rows(df.repartition("bucket").sortWithinPartitions("bucket"), run, schema)
 
 
-def train(docs: DataFrame) -> dict:
+def _gathered(texts: DataFrame, each, schema: str) -> DataFrame:
+    """Calls each on the word ids of texts, COUNT_TOKENS at a time."""
+
+    def run(batches: Iterator) -> Iterator[tuple]:
+        documents, held = [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                documents.append(ids_of(t))
+                held += len(documents[-1]) + 1
+                if held >= COUNT_TOKENS:
+                    yield from each(documents)
+                    documents, held = [], 0
+        if documents:
+            yield from each(documents)
+
+    return map_rows(texts, run, schema)
+
+
+def frequent_words(texts: DataFrame, share: float) -> np.ndarray:
+    """All words that are at least `share` of all tokens, and perhaps some that are at least half of that; so at most 2 / share."""
+
+    def each(documents: list[np.ndarray]) -> Iterator[tuple]:
+        word, n = np.unique(np.concatenate(documents), return_counts=True)
+        tokens = int(n.sum()) + len(documents)
+        often = np.flatnonzero(n >= share / 2 * tokens)
+        yield 0, tokens
+        yield from zip(word[often].view(np.int64).tolist(), n[often].tolist(), strict=True)
+
+    seen = written(_gathered(texts, each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    whole = F.broadcast(seen.where("word = 0").select(F.col("n").alias("tokens")))
+    often = seen.where("word <> 0").join(whole, F.col("n") >= share / 2 * F.col("tokens"))
+    return np.sort(np.array([BEGIN, *(r["word"] for r in often.select("word").collect())], dtype=np.uint64))
+
+
+def train(docs: DataFrame, order: int = ORDER) -> dict:
     """Counts a model over all docs and writes it; returns its description (a few numbers and its folder)."""
+    if order < 2:
+        raise ValueError("order must be two at least")
     spark = docs.sparkSession
     root = shared_dir(spark) + "-lm"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(text_of().alias("text"))
-    sample = [ids_of(r["text"]) for r in texts.limit(HOT_SAMPLE).collect()]
-    seen, count = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sample]), return_counts=True)
-    hot = np.append(seen[count >= max(2, HOT_SHARE * count.sum())], BEGIN)
-
-    def counted(contexts: list[np.ndarray], words: list[np.ndarray]) -> Iterator[tuple]:
-        h, w = np.concatenate(contexts), np.concatenate(words)
-        to = _route(h, w, buckets, hot)
-        order = np.lexsort((w, h, to))
-        to, h, w, c = _summed(order, np.ones(len(h), dtype=np.int64), to, h, w)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    hot = frequent_words(texts, HOT_SHARE / buckets)
+    columns = ", ".join(f"c{i} binary" for i in range(order))
+
+    def counted(documents: list[np.ndarray]) -> Iterator[tuple]:
+        grams = _grams(documents, order)
+        first, n = _summed(_chain(grams)[-1], np.ones(grams.shape[1], dtype=np.int64))
+        grams = grams[:, first]
+        to = _route(grams, buckets, hot)
+        # Words in the order of their contexts compress better.
+        by = np.lexsort((*grams[:-2][::-1], grams[-2], to))
+        grams, n, to = grams[:, by], n[by], to[by]
         edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[k], edges[k + 1]
-            new = np.flatnonzero(np.append(True, h[i + 1 : j] != h[i : j - 1]))
-            runs = np.diff(np.append(new, j - i)).astype("<u4")
-            yield k, _seven(h[i:j][new]), runs.tobytes(), _seven(w[i:j]), *_small(c[i:j])
-
-    def gather(batches: Iterator) -> Iterator[tuple]:
-        contexts, words, held = [], [], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                h, w = _pairs(ids_of(t))
-                contexts.append(h)
-                words.append(w)
-                held += len(w)
-            if held >= COUNT_TOKENS:
-                yield from counted(contexts, words)
-                contexts, words, held = [], [], 0
-        if held:
-            yield from counted(contexts, words)
+            words, codes = np.unique(grams[:, i:j], return_inverse=True)
+            yield k, _seven(words), _packed(n[i:j]), *(_packed(c) for c in codes.reshape(order, -1))
 
     store = Store(root)
 
     def merge(bucket: int, held: list[tuple]) -> Iterator[tuple]:
-        h = np.concatenate([np.repeat(_of_seven(r[1]), np.frombuffer(r[2], dtype="<u4")) for r in held])
-        w = np.concatenate([_of_seven(r[3]) for r in held])
-        c = np.concatenate([_full(r[4], r[5]) for r in held])
-        h, w, c = _summed(np.lexsort((w, h)), c, h, w)
-        key = _key(h, w)
-        order = np.argsort(key)
-        store.put(f"pair-{bucket}-key", key[order])
-        store.put(f"pair-{bucket}-count", np.minimum(c[order], 2**32 - 1).astype("<u4") if c.max() > 255 else c[order].astype(np.uint8))
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        total = np.add.reduceat(c, at)
-        by = [np.add.reduceat((c == k).astype(np.int64), at) for k in (1, 2)] + [np.add.reduceat((c > 2).astype(np.int64), at)]
-        split = np.isin(h[at], hot)
-        whole = ~split
-        store.put(f"context-{bucket}-id", h[at][whole])
-        store.put(f"context-{bucket}-stat", np.stack([total, *by], axis=1)[whole].astype("<u4"))
-        counts = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        parts = b"".join(np.concatenate(([np.int64(i)], [t], s)).astype("<i8").tobytes() for i, t, s in zip(h[at][split].astype(np.int64), total[split], np.stack(by, axis=1)[split], strict=True))
-        # Continuation counts: this bucket's distinct bigrams by word, dealt out by word.
-        word, n = np.unique(w, return_counts=True)
-        to = mix64(word) % np.uint64(buckets)
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-        yield -1, bucket, len(c), 4 if c.max() > 255 else 1, *counts, int(whole.sum()), int(total[whole].sum()), parts, b"", b""
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            mine = order[edges[k] : edges[k + 1]]
-            yield k, bucket, 0, 0, 0, 0, 0, 0, 0, 0, _seven(word[mine]), *_small(n[mine])
-
-    def continued(bucket: int, held: list[tuple]) -> Iterator[tuple]:
-        w, n = np.concatenate([_of_seven(r[1]) for r in held]), np.concatenate([_full(r[2], r[3]) for r in held])
-        w, n = _summed(np.argsort(w, kind="stable"), n, w)
-        store.put(f"word-{bucket}-id", w)
-        store.put(f"word-{bucket}-count", n.astype("<u4"))
-        yield bucket, int(n.sum()), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n > 2).sum())
-
-    dealt = map_rows(texts, gather, "bucket int, h binary, runs binary, w binary, c binary, c_large binary")
-    merged = written(_grouped(dealt, merge, "bucket int, from_bucket int, pairs long, wide int, n1 long, n2 long, n3 long, n4 long, contexts long, tokens long, w binary, n binary, n_large binary"))
-    # One row for each bucket: their number is a setting, not a matter of the data.
-    about = merged.where("bucket < 0").collect()
-    words = _grouped(merged.where("bucket >= 0").select("bucket", "w", "n", "n_large"), continued, "bucket int, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()
-    split: dict[int, np.ndarray] = {}
-    for r in about:
-        for row in np.frombuffer(bytes(r["w"]), dtype="<i8").reshape(-1, 5):
-            split[int(row[0])] = split.get(int(row[0]), np.zeros(4, dtype=np.int64)) + row[1:]
-    begun = split.pop(int(BEGIN), np.zeros(4, dtype=np.int64))
-    documents = int(begun[0])
-    total = sum(r["total"] for r in words)
-    by = [sum(r[f"n{k}"] for r in words) for k in (1, 2, 3, 4)]
-    d1 = discounts(by)
+        grams = np.concatenate([np.stack([words[_unpacked(c)] for c in r[3:]]) for r in held for words in (_of_seven(r[1]),)], axis=1)
+        counts = np.concatenate([_unpacked(r[2]).astype(np.int64) for r in held])
+        chain = _chain(grams)
+        raw_word, raw = _summed(grams[-1], counts)
+        raw_word = grams[-1][raw_word]
+        arrays, about = {}, []
+        for level in range(order, 1, -1):
+            # Equal n-grams of this length: raw counts at the top, below it the number of words that stand before.
+            first, n = _summed(chain[level - 1], counts if level == order else np.ones(grams.shape[1], dtype=np.int64))
+            grams, chain = grams[-level:, first], [c[first] for c in chain[:level]]
+            mine = ~np.isin(grams[-2], hot) if level == 2 else np.ones(len(n), dtype=bool)
+            arrays |= _sorted_hashes(f"{level}", chain[level - 1][mine], n[None, mine])
+            context, stats = _context_stats(_chain(grams[:-1][:, mine])[-1], n[mine])
+            # A context that was seen once in all is known by its single word.
+            once = stats[0] == 1
+            arrays |= _sorted_hashes(f"{level}.once", context[once], np.zeros((0, once.sum()), dtype=np.int64))
+            arrays |= _sorted_hashes(f"{level}.context", context[~once], stats[:, ~once])
+            about.append(_counts_of_counts(n[mine]))
+        store.put(f"grams-{bucket}", arrays)
+        yield -1, bucket, np.concatenate(about).astype("<i8").tobytes(), b"", b"", b"", b""
+        # Words with their counts and the number of words that stand before; bigrams of frequent contexts apart.
+        word, left = np.unique(grams[-1][mine], return_counts=True)
+        before = np.zeros(len(raw_word), dtype=np.int64)
+        before[np.searchsorted(raw_word, word)] = left
+        v, w, c = grams[-2][~mine], grams[-1][~mine], n[~mine]
+        to, to_w = (mix64(x) % np.uint64(buckets) for x in (raw_word, w))
+        for k in np.unique(np.concatenate([to, to_w])).tolist():
+            x, y = to == np.uint64(k), to_w == np.uint64(k)
+            yield k, bucket, _seven(raw_word[x]), _packed(raw[x]), _packed(before[x]), _seven(np.concatenate([v[y], w[y]])), _packed(c[y])
+
+    def by_word(bucket: int, held: list[tuple]) -> Iterator[tuple]:
+        word = np.concatenate([_of_seven(r[2]) for r in held])
+        first, raw = _summed(word, np.concatenate([_unpacked(r[3]).astype(np.int64) for r in held]))
+        _, before = _summed(word, np.concatenate([_unpacked(r[4]).astype(np.int64) for r in held]))
+        word = word[first]
+        pairs = np.concatenate([_of_seven(r[5]).reshape(2, -1) for r in held], axis=1)
+        pair = _chain(pairs)[1]
+        first, n = _summed(pair, np.concatenate([_unpacked(r[6]).astype(np.int64) for r in held]))
+        pairs, pair = pairs[:, first], pair[first]
+        np.add.at(before, np.searchsorted(word, pairs[1]), 1)
+        store.put(f"words-{bucket}", _sorted_hashes("word", mix64(word), np.stack([raw, before])) | _sorted_hashes("hot", pair, n[None]))
+        # Every word but the begin mark is the last of some n-gram.
+        yield -1, bucket, int(raw.sum()), len(word), int(raw[word == END].sum()), int(before.sum()), *_counts_of_counts(before).tolist(), int((before > 2).sum()), *_counts_of_counts(n).tolist()
+        context, stats = _context_stats(pairs[0], n)
+        for v, s in zip(context.tolist(), stats.T.tolist(), strict=True):
+            yield v, bucket, *s, 0, 0, 0, 0, 0, 0, 0, 0, 0
+
+    dealt = _gathered(texts, counted, f"bucket int, words binary, n binary, {columns}")
+    merged = written(_grouped(dealt, merge, "bucket int, source int, words binary, raw binary, before binary, pairs binary, n binary"))
+    # One row for each bucket: their number follows BUCKET_BYTES.
+    levels = sum((np.frombuffer(bytes(r["words"]), dtype="<i8").reshape(order - 1, 4) for r in merged.where("bucket < 0").select("words").toLocalIterator()), np.zeros((order - 1, 4), dtype=np.int64))
+    schema = "word long, bucket int, tokens long, words long, documents long, before long, b1 long, b2 long, b3 long, b4 long, b_more long, h1 long, h2 long, h3 long, h4 long"
+    words = written(_grouped(merged.where("bucket >= 0"), by_word, schema))
+    total = words.where("word < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in words.columns[2:])).first()
+    # At most 2 / HOT_SHARE frequent words a bucket, a row each.
+    contexts = words.where("word >= 0").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "documents", "before"))).collect()
+    by = [total[f"b{k}"] for k in (1, 2, 3, 4)]
+    levels[-1] += [total[f"h{k}"] for k in (1, 2, 3, 4)]
+    d = {k: discounts(row.tolist()) for k, row in zip(range(order, 1, -1), levels, strict=True)} | {1: discounts(by)}
     return {
         "root": root,
+        "order": order,
         "buckets": buckets,
+        "filled": {r["source"] for r in merged.where("bucket < 0").select("source").toLocalIterator()},
+        "filled_words": {r["bucket"] for r in words.where("word < 0").select("bucket").toLocalIterator()},
         "hot": hot,
-        "split": {**split, int(BEGIN): begun},
-        "wide": {r["from_bucket"]: r["wide"] for r in about},
-        "words": [r["bucket"] for r in words],
-        "train_tokens": sum(r["tokens"] for r in about) + sum(int(s[0]) for s in split.values()) + documents,
-        "vocabulary": sum(r["contexts"] for r in about) + len(split) + (documents > 0),
-        "documents": documents,
-        "d2": discounts([sum(r[f"n{k}"] for r in about) for k in (1, 2, 3, 4)]),
-        "d1": d1,
-        "continuations": total,
-        "rest": (d1[0] * by[0] + d1[1] * by[1] + d1[2] * sum(r["more"] for r in words)) / total if total else 1.0,
+        "hot_stats": {r["word"]: (r["tokens"], r["words"], r["documents"], r["before"]) for r in contexts},
+        "train_tokens": total["tokens"],
+        "vocabulary": total["words"],
+        "documents": total["documents"],
+        "discounts": d,
+        "before": total["before"],
+        "rest": (d[1][0] * by[0] + d[1][1] * by[1] + d[1][2] * total["b_more"]) / total["before"] if total["before"] else 1.0,
     }
 
 
@@ -281,72 +419,58 @@ class Model:
 
     def __init__(self, about: dict) -> None:
         self.about, self.store, self.open = about, Store(about["root"]), {}
-        self.hot_ids = np.array(sorted(about["split"]), dtype=np.uint64)
-        self.hot_stats = np.array([about["split"][int(i)] for i in self.hot_ids], dtype=np.int64).reshape(-1, 4)
+        self.hot_ids = np.array(sorted(about["hot_stats"]), dtype=np.uint64)
+        self.hot_stats = np.array([about["hot_stats"][int(i)] for i in self.hot_ids], dtype=np.int64).reshape(-1, 4).T
 
-    def _array(self, name: str, kind: str) -> np.ndarray:
+    def _arrays(self, name: str) -> dict[str, np.ndarray]:
         if name not in self.open:
-            self.open[name] = self.store.get(name, kind)
+            self.open[name] = self.store.get(name)
         return self.open[name]
 
-    def _by_bucket(self, to: np.ndarray, known) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_bucket(self, to: np.ndarray, filled: set[int]) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[order], np.arange(self.about["buckets"] + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            if k in known:
+            if k in filled:
                 yield k, order[edges[k] : edges[k + 1]]
 
-    def pairs(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts of bigrams."""
-        key, inverse = np.unique(_key(h, w), return_inverse=True)
-        one = np.empty(len(key), dtype=np.int64)
-        one[inverse] = np.arange(len(h))
-        out = np.zeros(len(key), dtype=np.int64)
-        for k, mine in self._by_bucket(_route(h[one], w[one], self.about["buckets"], self.about["hot"]), self.about["wide"]):
-            there, at = _find(self._array(f"pair-{k}-key", "<u8"), key[mine])
-            counts = self._array(f"pair-{k}-count", "<u4" if self.about["wide"][k] == 4 else "u1")
-            out[mine[there]] = counts[at[there]]
-        return out[inverse]
-
-    def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """(ids, 4): total and numbers of words seen once, twice, more often after each distinct context."""
-        out = np.zeros((len(ids), 4), dtype=np.int64)
-        there, at = _find(self.hot_ids, ids)
-        out[there] = self.hot_stats[at[there]]
-        for k, mine in self._by_bucket(mix64(ids) % np.uint64(self.about["buckets"]), self.about["wide"]):
-            there, at = _find(self._array(f"context-{k}-id", "<u8"), ids[mine])
-            out[mine[there]] = self._array(f"context-{k}-stat", "<u4").reshape(-1, 4)[at[there]]
-        return out
-
-    def continuations(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), dtype=np.int64)
-        for k, mine in self._by_bucket(mix64(ids) % np.uint64(self.about["buckets"]), set(self.about["words"])):
-            there, at = _find(self._array(f"word-{k}-id", "<u8"), ids[mine])
-            out[mine[there]] = self._array(f"word-{k}-count", "<u4")[at[there]]
-        return out
-
     def score(self, documents: list[np.ndarray]) -> Iterator[tuple[int, int, float, float]]:
         """(tokens, known, base_score, score) of each document of word ids."""
-        a = self.about
-        both = [_pairs(d) for d in documents]
-        h, w = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
-        ids, inverse = np.unique(np.concatenate([h, w]), return_inverse=True)
-        stats = self.contexts(ids)
-        seen = stats[:, 0].copy()
-        seen[ids == END] = a["documents"]
-        continued = self.continuations(ids)
-        of_h, of_w = inverse[: len(h)], inverse[len(h) :]
-        even = 1.0 / (a["vocabulary"] + 1)
-        lower = (_discounted(continued, a["d1"]) / max(1, a["continuations"]) + a["rest"] * even)[of_w]
-        total = stats[:, 0].astype(float)
-        left = np.where(total > 0, stats[:, 1:] @ np.array(a["d2"]) / np.maximum(total, 1), 1.0)
-        upper = np.where(total[of_h] > 0, _discounted(self.pairs(h, w), a["d2"]) / np.maximum(total[of_h], 1), 0.0)
-        logs = np.log10(upper + left[of_h] * lower)
-        count = seen[of_w]
-        base = np.log10((count + 1) / (a["train_tokens"] + a["vocabulary"] + 1))
-        n = np.array([len(x) for x, _ in both])
+        a, order = self.about, self.about["order"]
+        grams = _grams(documents, order)
+        tokens = grams.shape[1]
+        chain, contexts = _chain(grams), _chain(grams[:-1])
+        hot = np.searchsorted(self.hot_ids, grams[-2])
+        is_hot = np.isin(grams[-2], a["hot"])
+        counts, stats = np.zeros((order + 1, tokens), dtype=np.int64), np.zeros((order + 1, 4, tokens), dtype=np.int64)
+        for k, mine in self._by_bucket(_route(grams, a["buckets"], a["hot"]), a["filled"]):
+            arrays = self._arrays(f"grams-{k}")
+            for level in range(2, order + 1):
+                counts[level, mine] = _looked_up(arrays, f"{level}", chain[level - 1][mine], 1)[0]
+                key = contexts[level - 2][mine]
+                found = _looked_up(arrays, f"{level}.context", key, 4)
+                left = np.flatnonzero(found[0] == 0)
+                found[:2, left[_places(arrays, f"{level}.once", key[left])[0]]] = 1
+                stats[level][:, mine] = found
+        seen = np.zeros((2, tokens), dtype=np.int64)
+        for k, mine in self._by_bucket(mix64(grams[-1]) % np.uint64(a["buckets"]), a["filled_words"]):
+            arrays = self._arrays(f"words-{k}")
+            seen[:, mine] = _looked_up(arrays, "word", mix64(grams[-1][mine]), 2)
+            mine = mine[is_hot[mine]]
+            counts[2, mine] = _looked_up(arrays, "hot", chain[1][mine], 1)[0]
+        known = np.flatnonzero(is_hot)
+        known = known[np.isin(grams[-2][known], self.hot_ids)]
+        stats[2][:, known] = self.hot_stats[:, hot[known]]
+        p = _discounted(seen[1], a["discounts"][1]) / max(1, a["before"]) + a["rest"] / (a["vocabulary"] + 1)
+        for level in range(2, order + 1):
+            total, d = stats[level][0], a["discounts"][level]
+            left = np.array(d) @ stats[level][1:]
+            p = np.where(total > 0, (_discounted(counts[level], d) + left * p) / np.maximum(total, 1), p)
+        base = np.log10((seen[0] + 1) / (a["train_tokens"] + a["vocabulary"] + 1))
+        n = np.array([len(x) + 1 for x in documents])
         at = np.cumsum(n) - n
-        yield from zip(n.tolist(), np.add.reduceat((count > 0).astype(np.int64), at).tolist(), np.add.reduceat(base, at).tolist(), np.add.reduceat(logs, at).tolist(), strict=True)
+        sums = (np.add.reduceat(x, at).tolist() for x in ((seen[0] > 0).astype(np.int64), base, np.log10(p)))
+        yield from zip(n.tolist(), *sums, strict=True)
 
 
 def score(docs: DataFrame, about: dict, id_column: str = "doc_id") -> DataFrame:
@@ -366,9 +490,9 @@ def score(docs: DataFrame, about: dict, id_column: str = "doc_id") -> DataFrame:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.append((d, ids_of(t)))
                 size += len(held[-1][1]) + 1
-            if size >= SCORE_TOKENS:
-                yield from done()
-                held, size = [], 0
+                if size >= SCORE_TOKENS:
+                    yield from done()
+                    held, size = [], 0
         if held:
             yield from done()
 
