@@ -130,16 +130,17 @@ def kneser_ney(texts, discounts, order):
     for c in counts.values():
         for g, n in c.items():
             after[len(g), g[:-1]].append(n)
+    total = {x: sum(n) for x, n in after.items()}
+    left = {(k, h): sum(d[k][min(x, 3) - 1] for x in n) for (k, h), n in after.items()}
     v = len({w for t in texts for w in t}) + bool(texts)
 
     def p(context, w):
         low = 1 / (v + 1)
         for k in range(1, order + 1):
             h = tuple(context[len(context) - k + 1 :])
-            seen = after[k, h]
-            if seen:
+            if (k, h) in total:
                 n = counts[k][*h, w]
-                low = (max(n - (0, *d[k])[min(n, 3)], 0) + sum(d[k][min(x, 3) - 1] for x in seen) * low) / sum(seen)
+                low = (max(n - (0, *d[k])[min(n, 3)], 0) + left[k, h] * low) / total[k, h]
         return low
 
     return p
