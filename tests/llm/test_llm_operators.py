@@ -366,6 +366,19 @@ def test_sharding(docs, rows, empty, limit):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_uneven(spark):
+    """One document outweighs all others, so shallow buckets fit far above the even depth and one stays oversized."""
+    rows = [(i, "x" * (1 + i % 7), 1) for i in range(300)] + [(None, "x" * 500_000, 1), (None, None, 1)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, _p int"), 200).collect()
+    assert len(got) == len(rows) and [r["n_bytes"] for r in got if r["oversized"]] == [500_000]
+    by = defaultdict(int)
+    for r in got:
+        by[r["shard"]] += r["n_bytes"]
+    assert all(by[r["shard"]] == r["shard_bytes"] for r in got) and sum(n > 200 for n in by.values()) == 1
+    for name in by:
+        assert sum(n for k, n in by.items() if k.startswith(name[:-1])) > 200
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 20_000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()

@@ -2,8 +2,9 @@
 
 The directory is indexed by prefix bits of a document's hash. A bucket over the
 byte limit splits on its next bit; the others stay. A document's shard is thus the
-shortest prefix of its hash whose bucket fits. Sums are taken over a table of
-prefixes, never over the documents of a bucket in one task.
+shortest prefix of its hash whose bucket fits. All this is worked out on a table of
+hashes (24 bytes a document): first down to a depth at which nearly every bucket
+fits, then, with the hashes of oversized buckets alone, a few bits at a time.
 
 Defined results: null text has 0 bytes; null ids hash like a value of their own;
 rows equal in id and text can't be told apart by any hash, share a shard, and are
@@ -18,11 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, written
 
 LIMIT_BYTES = 16 * 2**20
-#: Bits beyond the even depth that the first pass of the directory goes.
-SLACK = 8
+#: The limit of the registered query: small, so that tables of a few MB split over several depths too.
+QUERY_LIMIT_BYTES = 256 * 2**10
+#: Bits beyond the even depth that the first descent goes, and bits of each further one.
+SLACK, STEP = 8, 8
 DEEPEST = 52
 
 
@@ -31,17 +34,58 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
 
 
-def _buckets(leaves: DataFrame, first: int, last: int, limit: int) -> DataFrame:
-    """(_leaf, _d, _p, bytes, docs) of the shortest fitting prefix of each leaf, and at `last` if none fits.
+def _summed(df: DataFrame, prefix: Column) -> DataFrame:
+    return df.groupBy(prefix.alias("_p")).agg(F.sum("_b").alias("_b"), F.sum("_n").alias("_n"))
 
-    leaves: (_leaf, _bits, _bytes, _docs).
+
+def _shards(leaves: DataFrame, first: int, last: int, limit: int) -> DataFrame:
+    """(_d, _p, _b, _n): buckets of depth first + 1 to last that fit while the one above doesn't, and those at `last` that don't fit either.
+
+    leaves: (_p, _b, _n), bytes and documents of the buckets at depth `last`, all under buckets
+    of depth `first` that are over the limit. Sums go up STEP depths at a time, and each
+    pass starts from 2^STEP times fewer buckets; no key but a sum's has more than two rows.
     """
-    steps = leaves.withColumn("_d", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("_p", F.expr(f"shiftright(_bits, {DEEPEST} - _d)"))
-    sums = steps.groupBy("_d", "_p").agg(F.sum("_bytes").alias("_b"), F.sum("_docs").alias("_n"))
-    fits = sums.where((F.col("_b") <= limit) | (F.col("_d") == last))
-    found = steps.select("_leaf", "_d", "_p").join(fits, ["_d", "_p"])
-    best = found.groupBy("_leaf").agg(F.min_by(F.struct("_d", "_p", "_b", "_n"), "_d").alias("_s"))
-    return best.select("_leaf", "_s.*")
+    sums, at = None, last
+    while at > first:
+        top = max(first + 1, at - STEP + 1)
+        each = leaves.withColumn("_d", F.explode(F.sequence(F.lit(top), F.lit(at)))).withColumn("_p", F.expr(f"shiftright(_p, {at} - _d)"))
+        each = each.groupBy("_d", "_p").agg(F.sum("_b").alias("_b"), F.sum("_n").alias("_n"))
+        sums = each if sums is None else sums.unionByName(each)
+        if top > first + 1:
+            leaves = written(_summed(leaves, F.shiftright("_p", at - top + 1)))
+        at = top - 1
+    pairs = sums.groupBy("_d", F.shiftright("_p", 1).alias("_above")).agg(F.collect_list(F.struct("_p", "_b", "_n")).alias("_both"), F.sum("_b").alias("_sum")).where(F.col("_sum") > limit)
+    return pairs.select("_d", F.explode("_both").alias("_x")).select("_d", "_x.*").where((F.col("_b") <= limit) | (F.col("_d") == last))
+
+
+def _by_leaf(shards: DataFrame, last: int) -> DataFrame:
+    """shards with a row for each leaf of depth `last` under them; in two steps, so that no array is long."""
+
+    def under(p: str, bits: str) -> Column:
+        return F.explode(F.expr(f"sequence(shiftleft({p}, {bits}), shiftleft({p} + 1, {bits}) - 1)"))
+
+    halfway = shards.withColumn("_h", F.expr(f"cast((_d + {last}) div 2 AS int)"))
+    return halfway.withColumn("_q", under("_p", "_h - _d")).withColumn("_leaf", under("_q", f"{last} - _h")).drop("_h", "_q")
+
+
+def directory(hashes: DataFrame, limit_bytes: int) -> DataFrame:
+    """(_bits, _d, _p, _b, _n): the bucket of each hash. hashes: (_bits, _b, _n), distinct hashes with bytes and documents."""
+    total = hashes.agg(F.sum("_b"), F.sum("_n")).first()
+    if (total[0] or 0) <= limit_bytes:
+        return hashes.select("_bits", F.lit(0).alias("_d"), F.lit(0).cast("long").alias("_p"), F.lit(total[0] or 0).cast("long").alias("_b"), F.lit(total[1] or 0).cast("long").alias("_n"))
+    placed, first, last = None, 0, min(DEEPEST, math.ceil(math.log2(total[0] / limit_bytes)) + SLACK)
+    while True:
+        leaf = F.shiftright("_bits", DEEPEST - last)
+        shards = written(_shards(written(_summed(hashes, leaf)), first, last, limit_bytes))
+        done = shards if last == DEEPEST else shards.where(F.col("_b") <= limit_bytes)
+        part = hashes.select("_bits", leaf.alias("_leaf")).join(_by_leaf(done, last), "_leaf").select("_bits", "_d", "_p", "_b", "_n")
+        placed = part if placed is None else placed.unionByName(part)
+        over = shards.where(F.col("_b") > limit_bytes).select(F.col("_p").alias("_leaf"))
+        if last == DEEPEST or over.isEmpty():
+            return placed
+        # On with the oversized buckets alone.
+        hashes = written(hashes.withColumn("_leaf", leaf).join(over, "_leaf", "left_semi").drop("_leaf"))
+        first, last = last, min(DEEPEST, last + STEP)
 
 
 def shard(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -49,26 +93,16 @@ def shard(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...]
     text = text_of()
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\x1f"), text)
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), hash_bits(key).alias("_bits"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(1.0, total / limit_bytes)))) + SLACK)
-    rows = rows.withColumn("_leaf", F.shiftright("_bits", DEEPEST - depth))
-    leaves = rows.groupBy("_leaf").agg(F.sum("n_bytes").alias("_bytes"), F.count("*").alias("_docs")).withColumn("_bits", F.shiftleft("_leaf", DEEPEST - depth))
-    near = _buckets(leaves, 0, depth, limit_bytes)
-    # Leaves that are over the limit at this depth: the same again, over the remaining bits of their documents alone.
-    over = near.where((F.col("_d") == depth) & (F.col("_b") > limit_bytes)).select("_leaf")
-    deep_rows = rows.join(over, "_leaf", "left_semi").groupBy("_bits").agg(F.sum("n_bytes").alias("_bytes"), F.count("*").alias("_docs"))
-    deep = _buckets(deep_rows.withColumn("_leaf", F.col("_bits")), depth, DEEPEST, limit_bytes)
-    placed = rows.join(near, "_leaf").join(deep.select(F.col("_leaf").alias("_bits"), *(F.col(c).alias(f"{c}2") for c in ("_d", "_p", "_b", "_n"))), "_bits", "left")
-    either = lambda c: F.coalesce(F.col(f"{c}2"), F.col(c))
-    placed = placed.withColumns({"depth": either("_d").cast("long"), "_at": either("_p"), "shard_bytes": either("_b"), "shard_docs": either("_n")})
+    hashes = written(rows.groupBy("_bits").agg(F.sum("n_bytes").alias("_b"), F.count("*").alias("_n")))
+    placed = rows.join(directory(hashes, limit_bytes), "_bits")
     return placed.select(
         "doc_id",
-        F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("_at").cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0"))).alias("shard"),
-        "depth",
+        F.when(F.col("_d") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("_p").cast("string"), 10, 2), F.col("_d").cast("int"), F.lit("0"))).alias("shard"),
+        F.col("_d").cast("long").alias("depth"),
         "n_bytes",
-        "shard_bytes",
-        "shard_docs",
-        (F.col("shard_bytes") > limit_bytes).alias("oversized"),
+        F.col("_b").alias("shard_bytes"),
+        F.col("_n").alias("shard_docs"),
+        (F.col("_b") > limit_bytes).alias("oversized"),
         *(F.col(f"_keep_{c}").alias(c) for c in keep if c != "doc_id"),
     )
 
@@ -81,10 +115,10 @@ def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) ->
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), QUERY_LIMIT_BYTES)
 
 
-def oracle(limit_bytes: int = LIMIT_BYTES) -> str:
+def oracle(limit_bytes: int = QUERY_LIMIT_BYTES) -> str:
     return rf"""
 WITH r AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
