@@ -10,7 +10,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from brute import contamination, kneser_ney, neardup, quality, repeats, secret_spans, shingle_set, targets, url_parts, UP, WORD
 from pyspark.sql import functions as F
@@ -224,28 +223,55 @@ def test_urls(spark):
         assert m[i].tolist() == [fnmatch.fnmatchcase(t, g) for g in globs]
 
 
-@pytest.mark.parametrize("unit", [2_000, 10**9])
-def test_substrings(docs, rows, empty, unit):
-    old = substrings.UNIT_BYTES
-    substrings.UNIT_BYTES = unit
-    try:
-        got = substrings.remove_repeats(docs, depth=30, block=12).collect()
-        assert substrings.remove_repeats(empty).count() == 0
-    finally:
-        substrings.UNIT_BYTES = old
+@pytest.mark.parametrize("unit,hot_runs", [(2_000, 2000), (10**9, 2000), (2_000, 2), (10**9, 2)])
+def test_substrings(docs, rows, empty, monkeypatch, unit, hot_runs):
+    """Many units and one; with anchors whose windows are dealt one by one, and without."""
+    monkeypatch.setattr(substrings, "UNIT_BYTES", unit)
+    got = substrings.remove_repeats(docs, depth=30, block=12, hot_runs=hot_runs).collect()
     assert bag(got) == Counter(repeats([(r[0], (r[1] or "").encode()) for r in rows], 30))
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_repeats_in_one_text(spark):
+    """Overlapping repeats inside texts, of few letters, across block edges."""
+    rnd = random.Random(7)
+    rows = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 150))) + rnd.choice(["", "ab" * 60, "a" * 90])) for i in range(40)]
+    for hot_runs in (2000, 2):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), depth=13, block=5, hot_runs=hot_runs).collect()
+        assert bag(got) == Counter(repeats([(d, t.encode()) for d, t in rows], 13))
 
 
-def test_windows_of_equal_hash(monkeypatch):
-    """Windows whose 64-bit hashes clash stay apart by their anchors, in a unit and between units."""
+def test_radix_groups():
+    """Groups are those of equal windows, in the order of their bytes; what is alone drops out."""
     rnd = random.Random(6)
-    u = substrings.Unit(pa.table({"doc_id": [1, 2], "text": ["".join(rnd.choice("abcdefgh") for _ in range(300)) for _ in range(2)]}), 100, 40)
-    monkeypatch.setattr(substrings, "mix64", np.zeros_like)
-    *_, h, g, doc = u.windows(np.arange(len(u.g)))
-    assert not h.any() and len(h) == len(set(u.g.tolist())) > 1
-    one = lambda unit, anchor, d: (unit, 0, np.zeros(1, np.uint64).tobytes(), np.array([anchor], np.uint64).tobytes(), np.array([d]).tobytes())
-    assert not list(substrings._by_window([one(0, 5, 1), one(1, 6, 2)]))
-    assert [r[0] for r in substrings._by_window([one(0, 5, 1), one(1, 5, 2)])] == [1]
+    for depth in (1, 7, 8, 20, 100):
+        text = bytes(rnd.choice(b"ab\x00\xff") for _ in range(40)) * 3 + bytes(rnd.choice(b"ab") for _ in range(300))
+        raw, starts = np.frombuffer(text, dtype=np.uint8), np.array(rnd.sample(range(len(text) - depth + 1), 200))
+        which, group = substrings.radix_groups(raw, starts, depth)
+        windows = [text[s : s + depth] for s in starts.tolist()]
+        many = Counter(windows)
+        assert sorted(which.tolist()) == [i for i, w in enumerate(windows) if many[w] > 1]
+        assert [windows[i] for i in which] == sorted(windows[i] for i in which) and (np.diff(group) >= 0).all()
+        assert len(set(group.tolist())) == sum(n > 1 for n in many.values())
+        for g in set(group.tolist()):
+            assert sorted(which[group == g].tolist()) == which[group == g].tolist()
+    assert not len(substrings.radix_groups(raw, starts[:0], 5)[0])
+
+
+def test_bytes_decide():
+    """Buckets where all hashes clash tell runs and windows apart by their bytes."""
+    z = lambda *texts: substrings._zipped("".join(texts).encode())
+    n = lambda *x, kind="<u4": np.array(x, dtype=kind).tobytes()
+    row = lambda unit, doc, *texts: (unit, 0, 1, n(*map(len, texts)), n(*(0 for _ in texts)), n(*(doc for _ in texts), kind="<i8"), z(*texts))
+    assert not list(substrings._runs([row(0, 1, "abcdefgh"), row(1, 2, "bcdefghi")], 8, 4))
+    (reply,) = substrings._runs([row(0, 1, "abcdefgh"), row(1, 2, "abcdefgh")], 8, 4)
+    assert reply[0] == 1 and substrings._unmasked(reply[3], 1).all()
+    first, second = substrings._runs([row(0, 1, "abcdefgha"), row(1, 2, "abcdefghb")], 8, 4)
+    assert not substrings._unmasked(first[3], 1).any() and substrings._unmasked(second[4], 1).all()
+    assert substrings._unmasked(substrings._unzipped(second[5]), 2).tolist() == [True, False]
+    window = lambda unit, doc, text: (unit, 0, 3, b"", b"", n(doc, kind="<i8"), z(text))
+    assert not list(substrings._windows([window(0, 1, "abcd"), window(1, 2, "abce")], 4))
+    assert [r[0] for r in substrings._windows([window(0, 1, "abcd"), window(1, 2, "abcd")], 4)] == [1]
 
 
 def test_substring_text(spark):
