@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import string
 from collections import Counter, defaultdict
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,6 +111,69 @@ def secret_spans(text):
     return [f"{n}:{s}:{e}" for s, _, n, e in sorted(out)]
 
 
+def plain_guess_cost(value, rank, secrets):
+    """The cheapest segmentation, every segment tried."""
+    low = value.lower() if len(value.lower()) == len(value) else value
+    leet = low.translate(secrets._PLAIN)
+    best = [0.0] + [math.inf] * len(value)
+    for i, c in enumerate(value):
+        steps = [(i + 1, 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33))]
+        for j in range(i + 3, len(value) + 1):
+            known, swapped = rank.get(low[i:j]), rank.get(leet[i:j])
+            if known or swapped:
+                steps.append((j, math.log10((known or swapped) * (2 if low[i:j] != value[i:j] else 1) * (1 if known else 2)) + 0.3))
+            if len(set(value[i:j])) == 1:
+                steps.append((j, math.log10(40 * (j - i))))
+            if all(secrets._near(a, b) for a, b in zip(low[i:j], low[i + 1 : j])):
+                steps.append((j, math.log10(47 * (j - i)) + 0.3 * (j - i)))
+        if m := secrets._DATE.match(value, i):
+            steps.append((m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)))
+        for j, cost in steps:
+            best[j] = min(best[j], best[i] + cost)
+    return best[-1]
+
+
+def all_spans(text, rank, secrets):
+    """kind:start:end of base spans and of guessed ones: names and values are read character by character."""
+    text, name = text or "", set(string.ascii_letters + string.digits + "_-")
+    base = [s.split(":") for s in secret_spans(text)]
+    covered = {i for _, s, e in base for i in range(int(s), int(e))}
+    found, i, n = [], 0, len(text)
+    while i < n:
+        if text[i] not in name or (i and text[i - 1] in name):
+            i += 1
+            continue
+        j = i
+        while j < n and text[j] in name:
+            j += 1
+        k = j + (text[j : j + 1] in ("'", '"') and j < n)
+        while k < n and text[k] in " \t":
+            k += 1
+        sign = next((x for x in (":=", "=>", ":", "=") if text.startswith(x, k)), None)
+        if sign is None:
+            i = j
+            continue
+        k += len(sign)
+        while k < n and text[k] in " \t":
+            k += 1
+        k += text[k : k + 1] in ("'", '"') and k < n
+        e = k
+        while e < n and not (text[e] in " \t\n\r\f\v" or text[e] in "\"'<>,;()[]{}"):
+            e += 1
+        if e - k < 6:
+            i = j
+            continue
+        credential = secrets._CREDENTIAL.search(text[i:j])
+        value = text[k:e].rstrip(".:!?")
+        if credential and len(value) >= 6 and not set(range(k, k + len(value))) <= covered:
+            if plain_guess_cost(value, rank, secrets) >= secrets.LEAST_GUESSES + secrets.MORE_FOR_WORDS * secrets._plain_words(value):
+                found.append((k, 3, f"guess:{k}:{k + len(value)}"))
+        i = e
+    order = {k: i for i, k in enumerate(secrets.KINDS)}
+    spans = [(int(s), order[k], f"{k}:{s}:{e}") for k, s, e in base] + found
+    return [x for _, _, x in sorted(spans)]
+
+
 def url_parts(url):
     if not url or "://" not in url:
         return "", ""

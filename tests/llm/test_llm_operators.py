@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import contamination, kneser_ney, neardup, quality, repeats, secret_spans, shingle_set, targets, url_parts, UP, WORD
+from brute import all_spans, contamination, kneser_ney, neardup, plain_guess_cost, quality, repeats, secret_spans, shingle_set, targets, url_parts, UP, WORD
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, lm, mixing, neardup as nd, quality as q, secrets, sharding, substrings, tokens, urls
@@ -155,47 +155,49 @@ def test_whole_values(spark):
 
 def test_values_without_digits():
     """guess_cost judges every value; plain words take more."""
-    kept = {"pwd: XkqWzQtmPlrBvN": (5, 19), "passphrase: correct-horse$battery": (12, 33), "auth: 8#30!592%7461": (6, 19), "auth= $%^&*!#": (6, 13), "passphrase: correct-horse-battery-staple": (12, 40)}
+    kept = {
+        "pwd: XkqWzQtmPlrBvN": (5, 19), "passphrase: correct-horse$battery": (12, 33), "auth: 8#30!592%7461": (6, 19), "auth= $%^&*!#": (6, 13), "passphrase: correct-horse-battery-staple": (12, 40),
+        "passphrase: correcthorsebatterystaple": (12, 37), "auth: zqjxkvbwpfmgh": (6, 19), "pin_token_: 83920174651": (12, 23), "auth_for_the_staging_cluster_of_the_second_region = Xk9$wQz7!pL": (52, 63),
+    }
     for text, (s, e) in kept.items():
-        assert secrets.guessed_spans(text, secrets.base_spans(text)) == [(s, 3, e)], text
-    for prose in ("The secret: remember this", "Auth: Required", "token: straightforward.", "auth = self.session", "auth: two-factor", "pwd: password", "the password: Geheimnis", "pass: l'été-dernier"):
+        assert (s, 3, e) in secrets.guessed_spans(text, []), text
+    for prose in ("The secret: remember this", "Auth: Required", "token: straightforward.", "auth = self.session", "auth: two-factor", "pwd: password", "the password: Geheimnis", "pass: l'été-dernier", "compass=Xk9$wQz7!pL"):
         assert not secrets.guessed_spans(prose, secrets.base_spans(prose)), prose
 
 
-def test_guess_cost_in_linear_time():
-    """The bounded search gives the plain one's results; long runs and walks stay cheap."""
-    rnd = random.Random(5)
+def test_all_spans_against_brute_force(docs, rows):
+    """Names, signs, quotes and values of all kinds, strung together: every span is that of the plain search."""
+    rnd = random.Random(9)
+    names = ["password", "my_pwd", "api-key", "x-auth-token-of-a-very-long-name", "compass", "note", "PASS", "Secrets", "accessKey9"]
+    values = ["summer2019", "Xk9$wQz7!pL", "aaaaaaaaaa", "qwertyuiop", "correcthorsebatterystaple", "12.11.2011", "zqjxkvbwpfmgh", "tok_en.12345678", "f" * 40, "ab", "remember", "x" * 30 + "7$Q!z", "é" * 9, "http://u:p@h/x"]
+    words = secrets.dictionary()
+    for _ in range(300):
+        text = "".join(rnd.choice(names) + rnd.choice(["", '"']) + rnd.choice([":", " = ", ":=", " =>", " ", ": \n"]) + rnd.choice(["", "'", " "]) + rnd.choice(values) + rnd.choice([" ", ", ", ". ", "'\n", ""]) for _ in range(rnd.randint(1, 6)))
+        base = secrets.base_spans(text)
+        assert secrets._said(sorted(base + secrets.guessed_spans(text, base))) == ",".join(all_spans(text, words.rank, secrets)), text
+    got = {(r["doc_id"], r["spans"]) for r in secrets.scan(docs).collect()}
+    assert got == {(r[0], ",".join(all_spans(r[1], words.rank, secrets))) for r in rows}
 
-    def plain(value):
-        low = value.lower()
-        leet = low.translate(secrets._PLAIN)
-        best = [0.0] + [math.inf] * len(value)
-        for i, c in enumerate(value):
-            steps = [(i + 1, 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33))]
-            for j in range(i + 3, len(value) + 1):
-                rank, swapped = secrets._RANK.get(low[i:j]), secrets._RANK.get(leet[i:j])
-                if rank or swapped:
-                    steps.append((j, math.log10((rank or swapped) * (2 if low[i:j] != value[i:j] else 1) * (1 if rank else 2)) + 0.3))
-                if len(set(value[i:j])) == 1:
-                    steps.append((j, math.log10(40 * (j - i))))
-                if all(secrets._near(a, b) for a, b in zip(low[i:j], low[i + 1 : j])):
-                    steps.append((j, math.log10(47 * (j - i)) + 0.3 * (j - i)))
-            if m := secrets._DATE.match(value, i):
-                steps.append((m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)))
-            for j, cost in steps:
-                best[j] = min(best[j], best[i] + cost)
-        return best[-1]
 
+def test_guess_cost_in_linear_time():
+    """The bounded search gives the plain one's results; long runs, walks and names stay cheap."""
+    rnd = random.Random(5)
+    words = secrets.dictionary()
     parts = ["aaaa", "1" * 30, "ss" * 9, "qwerty", "asdfgh", "1qaz", "pass", "P4ss", "2019", "2011", "12.11.2011", "x", "$", "7", "zz", "!!!!", "letmein", "Q"]
     for _ in range(300):
         value = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 7)))
-        want = plain(value)
+        want = plain_guess_cost(value, words.rank, secrets)
         assert secrets.guess_cost(value) == pytest.approx(want), value
         assert (secrets.guess_cost(value, 7.0) >= 7.0) == (want >= 7.0), value
     start = time.process_time()
     for value in ("a" * 200_000, "a" * 200_000 + "7$kQ", "qwer" * 50_000, "qw" * 100_000, "x7$Q" * 50_000):
         secrets.guess_cost(value, 7.0)
-    assert secrets.guess_cost("a" * 200_000, 7.0) < 7.0 and time.process_time() - start < 20
+    assert secrets.guess_cost("a" * 200_000, 7.0) < 7.0
+    for text in ("pass-" * 100_000, "pass" * 100_000 + "=", "pwd: " * 50_000, "=" * 200_000 + " auth"):
+        secrets.guessed_spans(text, secrets.base_spans(text))
+    assert time.process_time() - start < 30
+    long = "".join(rnd.choice("abcdefghXYZ0123456789$%") for _ in range(10_000))
+    assert secrets.redact(f"auth: {long} end") == "auth: [secret] end"
 
 
 def test_urls(spark):

@@ -5,22 +5,28 @@ them, values in a credential context are held against a guesser: the cheapest cu
 of the value into dictionary words, dates, repeats, keyboard walks and brute-force
 characters, by dynamic programming over its positions. A value that takes many
 guesses is a secret; `password: summer2019` isn't one. Plain lower-case words take
-more guesses to be one, so that prose isn't, but for words of 17 letters and more
-that aren't in the list.
+more guesses to be one, so that prose isn't, but for words of 11 letters and more
+of which the dictionary knows no part.
+
+The dictionary is the words of a public tokenizer's vocabulary in the order of their
+merges, which is about that of their frequency, behind the words that people choose
+for passwords. Its path is a parameter. Neither names nor values have a length limit.
 
 Spans are `kind:start:end` in code points of the whole text, end exclusive.
 
 Defined results: a null text counts as empty and has no spans; null ids, equal
-rows and extra columns (which aren't read) don't matter; an empty table gives an
-empty result.
+rows and extra columns (which aren't read, whatever their names) don't matter; an
+empty table gives an empty result; a very long text or value is judged whole.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +38,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Least guesses, as a power of ten, that make a value in a credential context a secret.
 LEAST_GUESSES = 7.0
 #: Further powers of ten that plain words take: prose after a colon is such, and a letter of it counts as a random one.
-MORE_FOR_WORDS = 17.0
+MORE_FOR_WORDS = 8.0
 
 # The words that people choose, the most frequent first.
 COMMON_WORDS = (
@@ -48,10 +54,6 @@ COMMON_WORDS = (
 # Rows of the keyboard.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON_WORDS)))}
-_LONGEST = max(map(len, _RANK))
-# What a word or a date spans at most.
-_REACH = max(_LONGEST, 10)
 _KEY = {c: (y, x) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row)}
 _PLAIN = str.maketrans("@4310$5!", "aaeiossi")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
@@ -59,10 +61,9 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)s?[A-Za-z0-9_-]{0,16}["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>,;()\[\]{}]{6,})""",
-    re.IGNORECASE | re.ASCII,
-)
+# A name, a sign and a value. A name is tried from its start alone, so the time is linear in the text.
+_NAMED = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]+)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>,;()\[\]{}]{6,})""", re.ASCII)
+_CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)", re.IGNORECASE | re.ASCII)
 # Lower-case words, perhaps with a capital, and what may join them.
 _PLAIN_WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[-_./'\u2019](?=[^\W\d_]))*")
 _INNER_CAPITAL = re.compile(r"(?<=[^\W\d_])[^\W\d_]")
@@ -75,13 +76,42 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q) and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+class Dictionary:
+    """Ranks of words by frequency."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            tokens = json.load(f)["model"]["vocab"]
+        end = "</w>"
+        whole = (t.removesuffix(end) for t in sorted(tokens, key=tokens.get) if t.endswith(end))
+        words = dict.fromkeys([*COMMON_WORDS, *(w for w in whole if len(w) >= 3 and w.isalpha())])
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
+        self.longest = max(map(len, self.rank))
+        # What a word or a date spans at most.
+        self.reach = max(self.longest, 10)
+
+
+def words_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@cache
+def dictionary(path: str | None = None) -> Dictionary:
+    """One for each process."""
+    return Dictionary(path or words_path())
+
+
+def guess_cost(value: str, enough: float = math.inf, words: Dictionary | None = None) -> float:
     """The power of ten of the guesses that the cheapest segmentation of value takes; from `enough` on it may be infinite.
 
     Below `enough`, segments are bounded but for repeats, so the time is linear in the
     length of value. A repeat that starts deep in its run never pays: what leads into a
-    run ends within its first _REACH characters, and from there the run itself is cheapest.
+    run ends within its first `reach` characters, and from there the run itself is cheapest.
     """
+    words = words or dictionary()
+    rank_of, longest, reach = words.rank.get, words.longest, words.reach
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
@@ -108,16 +138,16 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
             return True
 
         offer(i + 1, 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
-            swapped = _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = rank_of(low[i:j])
+            swapped = rank_of(plain[i:j])
             if rank or swapped:
                 cased = low[i:j] != value[i:j]
                 offer(j, math.log10((rank or swapped) * (2 if cased else 1) * (1 if rank else 2)) + 0.3)
         if m := _DATE.match(value, i):
             offer(m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120))
         j = i + 1
-        while i - run <= _REACH and j < n and value[j] == c:
+        while i - run <= reach and j < n and value[j] == c:
             j += 1
             if j - i >= 3 and not offer(j, math.log10(40 * (j - i))):
                 break
@@ -159,21 +189,23 @@ def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST_GUESSES) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST_GUESSES, words: Dictionary | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of values in a credential context that base spans don't cover whole and that take at least 10^least guesses, plain words 10^MORE_FOR_WORDS times as many."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
     out = []
     starts, ends = _merged(base)
-    for m in _CONTEXT.finditer(text):
-        start = m.start(1)
-        value = m[1].rstrip(".:!?")
+    for m in _NAMED.finditer(text):
+        if not _CREDENTIAL.search(m[1]):
+            continue
+        start = m.start(2)
+        value = m[2].rstrip(".:!?")
         k = bisect_right(starts, start) - 1
         if len(value) < 6 or (k >= 0 and start + len(value) <= ends[k]):
             continue
         needed = least + MORE_FOR_WORDS * _plain_words(value)
-        if guess_cost(value, needed) >= needed:
+        if guess_cost(value, needed, words) >= needed:
             out.append((start, 3, start + len(value)))
     return out
 
@@ -182,16 +214,17 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", least: float = LEAST_GUESSES) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", least: float = LEAST_GUESSES, words: str | None = None) -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_guess, base, spans) of each document."""
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator[dict]:
+        known = dictionary(words)
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
                 base = base_spans(text)
-                more = guessed_spans(text, base, least)
+                more = guessed_spans(text, base, least, known)
                 rows.append((*(sum(k == kind for _, k, _ in base) for kind in range(3)), len(more), _said(base), _said(sorted(base + more))))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield {"id": b.column(0)} | dict(zip(("n_assign", "n_access", "n_hex", "n_guess", "base", "spans"), map(list, columns), strict=True))
