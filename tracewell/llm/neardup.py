@@ -10,11 +10,14 @@ Steps:
 2. Bands of registers put classes into buckets. Every member of a bucket is paired
    with its smallest member only; a joint likelihood of the two sketches drops pairs
    that are far below the threshold, and the rest is confirmed on full sets.
-3. Components of the confirmed links. In a bucket whose members still have several
-   labels, the members outside the most frequent label are a query set that is held
-   against all its members, in blocks of bounded size, on full sets; a block returns
-   no more links than it takes to connect what it found.
-4. Components of all confirmed links; each class takes its label.
+3. Components of the confirmed links. A bucket whose members still have several labels
+   gets a further centre, from the largest label but the main one, that is held against
+   the members of other labels in the same way; again, as long as that brings the members
+   outside the main labels down by a quarter a round.
+4. In buckets that still have several labels the members outside the main one are a query
+   set that is held against all members, in blocks of bounded size, on full sets; a block
+   returns no more links than it takes to connect what it found.
+5. Components of all confirmed links; each class takes its label.
 
 With 48 bands of 6 registers a pair at similarity 0.85 shares no bucket with a
 chance of about 1e-10 (0.8: 5e-7).
@@ -44,8 +47,10 @@ BASE = 1.01
 _LEVELS = 4096
 #: How much less likely (as a natural logarithm) the threshold may be than the best fit before a pair is dropped.
 MARGIN = 12.0
-#: Shingles in a block of step 3.
-BLOCK = 2**19
+#: Shingles in a block of step 4.
+BLOCK = 2**16
+#: Step 3 ends when more than this share of the members outside the main labels is left.
+PROGRESS = 0.75
 #: Ids (8 bytes each) that are broadcast at most; beyond, the same join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -219,17 +224,29 @@ def block_links(rows: list[tuple[int, int, bool, bytes]], percent: int) -> list[
     return out
 
 
-def _blocked(buckets: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 3: links between different labels of a bucket.
+def _mixed(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(band, h, rep, n, label, main): members of the buckets with several labels; main is the one with most members. sizes: (rep, n)."""
+    named = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    by_label = named.groupBy("band", "h", "label").agg(F.count("*").alias("c"))
+    main = by_label.groupBy("band", "h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
+    return written(named.join(main.where("labels > 1").drop("labels"), ["band", "h"]).join(sizes, "rep").select("band", "h", "rep", "n", "label", "main"))
 
-    sizes: (rep, n). Query rows and members of a bucket are each cut into parts of about
-    BLOCK shingles, and each part of the one meets each part of the other in one block.
+
+def _next_centres(mixed: DataFrame) -> DataFrame:
+    """(a, b): the members of other labels with the smallest member of the largest label but the main one, in each bucket."""
+    others = mixed.where("label <> main").groupBy("band", "h", "label").agg(F.count("*").alias("c"), F.min("rep").alias("b"))
+    centre = others.groupBy("band", "h").agg(F.max_by(F.struct("b", "label"), F.struct("c", "label")).alias("x")).select("band", "h", "x.b", F.col("x.label").alias("own"))
+    return mixed.join(centre, ["band", "h"]).where("label <> own").select(F.col("rep").alias("a"), "b").distinct()
+
+
+def _blocked(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 4: links between the labels of a bucket.
+
+    Query rows (outside the main label) and members of a bucket are each cut into parts of
+    about BLOCK shingles, and each part of the one meets each part of the other in one block.
     """
-    named = buckets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(sizes, "rep").withColumn("label", F.coalesce("label", "rep"))
-    by_label = named.groupBy("band", "h", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    main = by_label.groupBy("band", "h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("w").alias("all"), F.max_by("w", F.struct("c", "label")).alias("mw"))
-    mixed = main.where("labels > 1").select("band", "h", "main", F.expr(f"cast(1 + all div {BLOCK} AS int)").alias("m_parts"), F.expr(f"cast(1 + (all - mw) div {BLOCK} AS int)").alias("q_parts"))
-    inside = written(named.join(mixed, ["band", "h"]))
+    parts = inside.groupBy("band", "h").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))).alias("q"))
+    inside = inside.join(parts.select("band", "h", F.expr(f"cast(1 + w div {BLOCK} AS int)").alias("m_parts"), F.expr(f"cast(1 + q div {BLOCK} AS int)").alias("q_parts")), ["band", "h"])
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     member = inside.select("band", "h", "rep", "label", F.lit(False).alias("q"), F.explode(F.expr("sequence(0, q_parts - 1)")).alias("i"), part("m_parts").alias("j"))
     query = inside.where("label <> main").select("band", "h", "rep", "label", F.lit(True).alias("q"), part("q_parts").alias("i"), F.explode(F.expr("sequence(0, m_parts - 1)")).alias("j"))
@@ -265,8 +282,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     in_buckets = written(members.select("rep").distinct().join(classes.select("rep", "digest"), "rep"))
     sets = written(_sets(docs, in_buckets, width))
     first = written(_confirmed(likely, sets, percent))
-    more = _blocked(members.select("band", "h", "rep"), components(first), classes.select("rep", "n"), sets, percent)
-    final = components(first.unionByName(more))
+    links, sizes, outside = first, classes.select("rep", "n"), None
+    while True:
+        final = components(links)
+        mixed = _mixed(members.select("band", "h", "rep"), final, sizes)
+        left = mixed.where("label <> main").count()
+        if not left:
+            break
+        if outside is not None and left > PROGRESS * outside:
+            final = components(links.unionByName(_blocked(mixed, sets, percent)))
+            break
+        outside = left
+        links = written(links.unionByName(_confirmed(_likely(_next_centres(mixed), classes, percent / 100), sets, percent)))
     labelled = by_digest.select("digest", "rep").join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     labelled = written(labelled)
     out = scan.select("doc_id", "n", "digest").join(labelled, "digest", "left")
