@@ -17,7 +17,7 @@ Only counts of counts, a row a bucket and the totals of frequent words come to t
 driver. Scoring: workers memory-map the arrays; no n-gram is dealt out again.
 
 Buckets are as many as the text needs at BUCKET_BYTES each, at least the session's
-number of shuffle partitions. Words are known by 56 bits of their hash. An array of n
+number of shuffle partitions. Words are known by 48 bits of their hash. An array of n
 hashes keeps 32 bits beyond the 2^b parts of about 16 hashes that an index cuts it
 into, so an n-gram that isn't there is taken for one that is with a chance of 4e-9.
 Counts have 64 bits.
@@ -46,7 +46,7 @@ from .common import mix64, shared_dir, table, text_of, word_hashes, written
 
 ORDER = 3
 BEGIN, END = np.uint64(1), np.uint64(2)
-_DROP = np.uint64(8)
+_DROP = np.uint64(16)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens that a worker gathers before it deals out their n-grams, and that it scores at once.
 COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
@@ -95,24 +95,27 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Integers in the fewest bytes each, compressed, behind their width and number."""
-    kind = np.min_scalar_type(a.max()) if len(a) else np.dtype("u1")
-    raw = a.astype(kind).tobytes()
-    return bytes([kind.itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Integers in the fewest bytes each, all first bytes, then all second ones and so on, compressed, behind their width and size."""
+    width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     size = int.from_bytes(raw[1:9], "little")
-    return np.frombuffer(pa.decompress(raw[9:], decompressed_size=size, codec="zstd", asbytes=True), dtype=f"<u{raw[0]}")
+    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.int64)
 
 
-def _seven(ids: np.ndarray) -> bytes:
-    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+def _six(ids: np.ndarray) -> bytes:
+    return ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _of_seven(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), dtype=np.uint8)
-    out[:, :7] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 7)
+def _of_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
@@ -173,7 +176,7 @@ class Store:
             if not os.path.exists(f"{local}/{name}"):
                 system, path = self._remote()
                 Store(local)._write(name, system.open_input_stream(f"{path}/{name}").read())
-        raw = np.memmap(f"{local}/{name}", dtype=np.uint8, mode="r")
+        raw = np.asarray(np.memmap(f"{local}/{name}", dtype=np.uint8, mode="r"))
         said = int.from_bytes(raw[-8:].tobytes(), "little")
         index = json.loads(raw[-8 - said : -8].tobytes())
         return {k: raw[at : at + np.dtype(kind).itemsize * n].view(kind) for k, (at, kind, n) in index.items()}
@@ -332,14 +335,18 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
         edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[k], edges[k + 1]
-            words, codes = np.unique(grams[:, i:j], return_inverse=True)
-            yield k, _seven(words), _packed(n[i:j]), *(_packed(c) for c in codes.reshape(order, -1))
+            words, codes, often = np.unique(grams[:, i:j], return_inverse=True, return_counts=True)
+            # Frequent words have small codes.
+            ranked = np.argsort(-often, kind="stable")
+            code = np.empty(len(words), dtype=np.int64)
+            code[ranked] = np.arange(len(words))
+            yield k, _six(words[ranked]), _packed(n[i:j]), *(_packed(c) for c in code[codes].reshape(order, -1))
 
     store = Store(root)
 
     def merge(bucket: int, held: list[tuple]) -> Iterator[tuple]:
-        grams = np.concatenate([np.stack([words[_unpacked(c)] for c in r[3:]]) for r in held for words in (_of_seven(r[1]),)], axis=1)
-        counts = np.concatenate([_unpacked(r[2]).astype(np.int64) for r in held])
+        grams = np.concatenate([np.stack([words[_unpacked(c)] for c in r[3:]]) for r in held for words in (_of_six(r[1]),)], axis=1)
+        counts = np.concatenate([_unpacked(r[2]) for r in held])
         chain = _chain(grams)
         raw_word, raw = _summed(grams[-1], counts)
         raw_word = grams[-1][raw_word]
@@ -351,10 +358,10 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
             mine = ~np.isin(grams[-2], hot) if level == 2 else np.ones(len(n), dtype=bool)
             arrays |= _sorted_hashes(f"{level}", chain[level - 1][mine], n[None, mine])
             context, stats = _context_stats(_chain(grams[:-1][:, mine])[-1], n[mine])
-            # A context that was seen once in all is known by its single word.
-            once = stats[0] == 1
-            arrays |= _sorted_hashes(f"{level}.once", context[once], np.zeros((0, once.sum()), dtype=np.int64))
-            arrays |= _sorted_hashes(f"{level}.context", context[~once], stats[:, ~once])
+            # Contexts that count once in all need no record but at level two: what ends a word before shows that they are there.
+            if level > 2:
+                context, stats = context[stats[0] > 1], stats[:, stats[0] > 1]
+            arrays |= _sorted_hashes(f"{level}.context", context, stats)
             about.append(_counts_of_counts(n[mine]))
         store.put(f"grams-{bucket}", arrays)
         yield -1, bucket, np.concatenate(about).astype("<i8").tobytes(), b"", b"", b"", b""
@@ -366,16 +373,16 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
         to, to_w = (mix64(x) % np.uint64(buckets) for x in (raw_word, w))
         for k in np.unique(np.concatenate([to, to_w])).tolist():
             x, y = to == np.uint64(k), to_w == np.uint64(k)
-            yield k, bucket, _seven(raw_word[x]), _packed(raw[x]), _packed(before[x]), _seven(np.concatenate([v[y], w[y]])), _packed(c[y])
+            yield k, bucket, _six(raw_word[x]), _packed(raw[x]), _packed(before[x]), _six(np.concatenate([v[y], w[y]])), _packed(c[y])
 
     def by_word(bucket: int, held: list[tuple]) -> Iterator[tuple]:
-        word = np.concatenate([_of_seven(r[2]) for r in held])
-        first, raw = _summed(word, np.concatenate([_unpacked(r[3]).astype(np.int64) for r in held]))
-        _, before = _summed(word, np.concatenate([_unpacked(r[4]).astype(np.int64) for r in held]))
+        word = np.concatenate([_of_six(r[2]) for r in held])
+        first, raw = _summed(word, np.concatenate([_unpacked(r[3]) for r in held]))
+        _, before = _summed(word, np.concatenate([_unpacked(r[4]) for r in held]))
         word = word[first]
-        pairs = np.concatenate([_of_seven(r[5]).reshape(2, -1) for r in held], axis=1)
+        pairs = np.concatenate([_of_six(r[5]).reshape(2, -1) for r in held], axis=1)
         pair = _chain(pairs)[1]
-        first, n = _summed(pair, np.concatenate([_unpacked(r[6]).astype(np.int64) for r in held]))
+        first, n = _summed(pair, np.concatenate([_unpacked(r[6]) for r in held]))
         pairs, pair = pairs[:, first], pair[first]
         np.add.at(before, np.searchsorted(word, pairs[1]), 1)
         store.put(f"words-{bucket}", _sorted_hashes("word", mix64(word), np.stack([raw, before])) | _sorted_hashes("hot", pair, n[None]))
@@ -388,7 +395,8 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     dealt = _gathered(texts, counted, f"bucket int, words binary, n binary, {columns}")
     merged = written(_grouped(dealt, merge, "bucket int, source int, words binary, raw binary, before binary, pairs binary, n binary"))
     # One row for each bucket: their number follows BUCKET_BYTES.
-    levels = sum((np.frombuffer(bytes(r["words"]), dtype="<i8").reshape(order - 1, 4) for r in merged.where("bucket < 0").select("words").toLocalIterator()), np.zeros((order - 1, 4), dtype=np.int64))
+    told = merged.where("bucket < 0").select("source", "words").collect()
+    levels = sum((np.frombuffer(bytes(r["words"]), dtype="<i8").reshape(order - 1, 4) for r in told), np.zeros((order - 1, 4), dtype=np.int64))
     schema = "word long, bucket int, tokens long, words long, documents long, before long, b1 long, b2 long, b3 long, b4 long, b_more long, h1 long, h2 long, h3 long, h4 long"
     words = written(_grouped(merged.where("bucket >= 0"), by_word, schema))
     total = words.where("word < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in words.columns[2:])).first()
@@ -401,8 +409,8 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
         "root": root,
         "order": order,
         "buckets": buckets,
-        "filled": {r["source"] for r in merged.where("bucket < 0").select("source").toLocalIterator()},
-        "filled_words": {r["bucket"] for r in words.where("word < 0").select("bucket").toLocalIterator()},
+        "filled": {r["source"] for r in told},
+        "filled_words": {r["bucket"] for r in words.where("word < 0").select("bucket").collect()},
         "hot": hot,
         "hot_stats": {r["word"]: (r["tokens"], r["words"], r["documents"], r["before"]) for r in contexts},
         "train_tokens": total["tokens"],
@@ -447,11 +455,7 @@ class Model:
             arrays = self._arrays(f"grams-{k}")
             for level in range(2, order + 1):
                 counts[level, mine] = _looked_up(arrays, f"{level}", chain[level - 1][mine], 1)[0]
-                key = contexts[level - 2][mine]
-                found = _looked_up(arrays, f"{level}.context", key, 4)
-                left = np.flatnonzero(found[0] == 0)
-                found[:2, left[_places(arrays, f"{level}.once", key[left])[0]]] = 1
-                stats[level][:, mine] = found
+                stats[level][:, mine] = _looked_up(arrays, f"{level}.context", contexts[level - 2][mine], 4)
         seen = np.zeros((2, tokens), dtype=np.int64)
         for k, mine in self._by_bucket(mix64(grams[-1]) % np.uint64(a["buckets"]), a["filled_words"]):
             arrays = self._arrays(f"words-{k}")
@@ -461,14 +465,20 @@ class Model:
         known = np.flatnonzero(is_hot)
         known = known[np.isin(grams[-2][known], self.hot_ids)]
         stats[2][:, known] = self.hot_stats[:, hot[known]]
+        n = np.array([len(x) + 1 for x in documents])
+        at = np.cumsum(n) - n
+        for level in range(3, order + 1):
+            # The context is the shorter n-gram that ends at the word before; at the begin it was seen if anything was.
+            there = np.append(False, counts[level - 1, :-1] > 0)
+            there[at] = a["documents"] > 0
+            once = np.flatnonzero(there & (stats[level][0] == 0))
+            stats[level][:2, once] = 1
         p = _discounted(seen[1], a["discounts"][1]) / max(1, a["before"]) + a["rest"] / (a["vocabulary"] + 1)
         for level in range(2, order + 1):
             total, d = stats[level][0], a["discounts"][level]
             left = np.array(d) @ stats[level][1:]
             p = np.where(total > 0, (_discounted(counts[level], d) + left * p) / np.maximum(total, 1), p)
         base = np.log10((seen[0] + 1) / (a["train_tokens"] + a["vocabulary"] + 1))
-        n = np.array([len(x) + 1 for x in documents])
-        at = np.cumsum(n) - n
         sums = (np.add.reduceat(x, at).tolist() for x in ((seen[0] > 0).astype(np.int64), base, np.log10(p)))
         yield from zip(n.tolist(), *sums, strict=True)
 
