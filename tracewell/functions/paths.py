@@ -72,6 +72,31 @@ def glob_error(pattern: str) -> str | None:
     return "pattern must not contain .." if ".." in pattern.split("/") else None
 
 
+def bracket(glob: str, at: int) -> tuple[str, int]:
+    """The regular expression of the character class that begins at glob[at], and where it ends; a bracket that isn't closed stands for itself.
+
+    A class matches one character but a slash. `!` in front negates, a `]` in front is a
+    member, ranges run from the lesser character to the greater; nothing else is special.
+    """
+    i = at + 1 + (glob[at + 1 : at + 2] == "!")
+    close = glob.find("]", i + 1)
+    if close < 0:
+        return re.escape("["), at + 1
+    body, members, k = glob[i:close], "", 0
+    plain = lambda c: "\\" + c if c in r"\[]^-&" else c
+    while k < len(body):
+        if body[k + 1 : k + 2] == "-" and k + 2 < len(body):
+            if body[k] <= body[k + 2]:
+                members += f"{plain(body[k])}-{plain(body[k + 2])}"
+            k += 3
+        else:
+            members += plain(body[k])
+            k += 1
+    if glob[at + 1] == "!":
+        return f"[^/{members}]", close + 1
+    return (f"(?!/)[{members}]" if members else "(?!)"), close + 1
+
+
 def glob_regex(pattern: str) -> str:
     """A regular expression for whole relative paths: `**` crosses directories, `*` doesn't, no braces."""
     if error := glob_error(pattern):
@@ -86,18 +111,16 @@ def glob_regex(pattern: str) -> str:
         piece, k = "", 0
         while k < len(part):
             c = part[k]
-            close = part.find("]", k + 2) if c == "[" else -1
+            k += 1
             if c == "*":
                 piece += "[^/]*"
             elif c == "?":
                 piece += "[^/]"
-            elif close > 0:
-                body = part[k + 1 : close].replace("\\", r"\\")
-                piece += f"[{'^' + body[1:] if body[0] == '!' else body}]"
-                k = close
+            elif c == "[":
+                more, k = bracket(part, k - 1)
+                piece += more
             else:
                 piece += re.escape(c)
-            k += 1
         out.append(piece + ("" if last else "/"))
     return rf"\A{''.join(out)}\z"
 

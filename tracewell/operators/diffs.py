@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import stripped
 from ..shipping import ship
 
 _RANGE = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -96,7 +97,7 @@ def eligibility(statement, parsed_error, lines):
     """Why a raw row can't become a task, in this order, else null."""
     files = F.array_distinct(F.transform(lines, lambda x: F.struct(x["path"].alias("path"), (x["is_added"] | x["is_removed"]).alias("moved"))))
     return (
-        F.when(F.trim(F.coalesce(statement, F.lit(""))) == "", "empty_problem_statement")
+        F.when(stripped(F.coalesce(statement, F.lit(""))) == "", "empty_problem_statement")
         .when(parsed_error.isNotNull() | (F.coalesce(F.size(lines), F.lit(0)) == 0), "invalid_patch")
         .when(F.exists(files, lambda f: f["moved"]), "creates_or_deletes_file")
         .when(~F.exists(files, lambda f: f["path"].endswith(".py")), "no_python_changes")

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import component_order, glob_error, glob_regex, ignored
+from ..functions.paths import bracket, component_order, glob_error, glob_regex, ignored
 from ..functions.text import CONTEXT_LINES, READ_LINES, SEARCH_LINES, lines
 
 MOST_RESULTS, MOST_CHARS, MOST_BYTES = 100, 30_000, 5 * 2**20
@@ -32,19 +32,23 @@ def pattern_error(pattern: str) -> str | None:
     return None
 
 
-def glob_search(files: DataFrame, pattern: str, limit: int = MOST_RESULTS) -> DataFrame:
-    """(path, truncated): the first `limit` matching paths in code-point order."""
-    if error := glob_error(pattern):
+def glob_search(files: DataFrame, pattern: str, limit: int = MOST_RESULTS, path: str | None = None) -> DataFrame:
+    """(path, truncated): the first `limit` matching paths in code-point order; the pattern is relative to the start path."""
+    if error := glob_error(pattern) or start_error(path):
         raise ValueError(error)
-    found = files.select("path").where(F.col("path").rlike(glob_regex(pattern)) & ~ignored(F.col("path")))
+    start = "/".join(p for p in (path or "").split("/") if p not in ("", "."))
+    relative = F.when(F.lit(not start) | F.col("path").startswith(start + "/"), F.substring("path", F.lit(len(start) + 2 if start else 1), F.length("path")))
+    found = files.select("path").where(relative.rlike(glob_regex(pattern)) & ~ignored(F.col("path")))
     top = found.orderBy("path").limit(limit + 1)
     return top.select("path", F.row_number().over(Window.orderBy("path")).alias("_i"), (F.count("*").over(Window.partitionBy()) > limit).alias("truncated")).where(F.col("_i") <= limit).drop("_i")
 
 
 def include_regex(include: str) -> str:
-    """A pattern for file names or, with a slash, for paths; braces are alternatives here."""
-    out, depth = "", 0
-    for i, c in enumerate(include):
+    """A pattern for file names or, with a slash, for whole paths; braces are alternatives here, and `^` negates a class too."""
+    out, depth, i = "", 0, 0
+    while i < len(include):
+        c = include[i]
+        i += 1
         if c == "{":
             out, depth = out + "(?:", depth + 1
         elif c == "}" and depth:
@@ -52,46 +56,84 @@ def include_regex(include: str) -> str:
         elif c == "," and depth:
             out += "|"
         elif c == "*":
-            out += ".*" if include[i : i + 2] == "**" or include[max(0, i - 1) : i + 1] == "**" else "[^/]*"
+            double = include[i : i + 1] == "*"
+            i += double
+            if double and include[i : i + 1] == "/":
+                out, i = out + "(?:[^/]+/)*", i + 1
+            else:
+                out += ".*" if double else "[^/]*"
         elif c == "?":
             out += "[^/]"
+        elif c == "[":
+            same = include[:i] + include[i:].replace("^", "!", 1) if include[i : i + 1] == "^" else include
+            more, i = bracket(same, i - 1)
+            out += more
         else:
             out += re.escape(c)
     return rf"\A{out}\z" if "/" in include else rf"(?:\A|/){out}\z"
 
 
-def grep_search(files: DataFrame, pattern: str, include: str | None = None, limit: int = MOST_RESULTS, budget: int = MOST_CHARS) -> DataFrame:
-    """(path, line, text, truncated): matching lines by path component, then line, within a number of results and characters; the last may be clipped.
+def start_error(path: str | None) -> str | None:
+    """Why a search can't start at path."""
+    if path and path.startswith("/"):
+        return "path must be relative"
+    return "path must not contain .." if path and ".." in path.replace("\\", "/").split("/") else None
 
+
+def _under(path: str | None) -> tuple[Column, Column]:
+    """Whether a file lies at or under a start path, and whether it is that path itself."""
+    parts = [p for p in (path or "").split("/") if p not in ("", ".")]
+    if not parts:
+        return F.lit(True), F.lit(False)
+    exact = F.col("path") == "/".join(parts)
+    return exact | F.col("path").startswith("/".join(parts) + "/"), exact
+
+
+def grep_search(files: DataFrame, pattern: str, include: str | None = None, limit: int = MOST_RESULTS, budget: int = MOST_CHARS, path: str | None = None) -> DataFrame:
+    """(path, line, text, match, truncated): matching lines by path component, then line, within a number of results and characters.
+
+    match is `path:line:text`; the last one is clipped to what is left of the budget. Hidden
+    directories are left out, hidden files too unless `include` (`!` in front excludes) fits them; binary
+    files are left out. A file that is itself the start path is searched whatever it is.
     The top `limit` + 1 lines are taken before the running sum, which is thus over a bounded number of rows.
     """
-    if error := pattern_error(pattern):
+    if error := pattern_error(pattern) or start_error(path):
         raise ValueError(error)
-    kept = files.where((F.octet_length("text") <= MOST_BYTES) & ~F.contains("text", F.lit("\0")))
-    if include:
-        kept = kept.where(F.col("path").rlike(include_regex(include)))
-    else:
-        kept = kept.where(~F.exists(component_order(F.col("path")), lambda p: p.startswith(".")))
-    rows = kept.select("path", F.posexplode(lines(F.col("text"), SEARCH_LINES)).alias("at", "raw")).select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"\r\z", "").alias("text"))
-    top = rows.where(F.col("text").rlike(pattern)).orderBy(component_order(F.col("path")), "line").limit(limit + 1)
-    return within_budget(top.withColumn("_o", F.struct(component_order(F.col("path")), "line")), "_o", F.length("path") + F.length(F.col("line").cast("string")) + 2, limit, budget).drop("_o")
-
-
-def within_budget(rows: DataFrame, order: str, prefix, limit: int, budget: int) -> DataFrame:
-    """The leading rows whose rendered lines fit a budget of characters, the last one clipped, and whether anything was cut."""
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = prefix + F.length("text") + 1
-    told = rows.withColumns({"_i": F.row_number().over(Window.orderBy(order)), "_upto": F.sum(size).over(upto), "_size": size, "_n": F.count("*").over(Window.partitionBy())})
-    room = F.lit(budget) - (F.col("_upto") - F.col("_size")) - prefix - 1
-    cut = F.col("_upto") > budget
-    told = told.withColumn("_cut", F.max(cut).over(Window.partitionBy()) | (F.col("_n") > limit))
-    kept = told.where((F.col("_i") <= limit) & (room > 0))
-    return kept.withColumns({"text": F.when(cut, F.substring("text", F.lit(1), room.cast("int"))).otherwise(F.col("text")), "truncated": F.col("_cut")}).drop("_i", "_upto", "_size", "_n", "_cut")
-
-
-def read_error(files: DataFrame, start, end):
-    """Why a file can't be read so, else null; columns."""
-    total = F.size(lines(F.col("text"), READ_LINES))
+    within, exact = _under(path)
+    named = files.where(within)
+    if path and named.isEmpty():
+        raise ValueError(f"search path does not exist: {path}")
+    parts = component_order(F.col("path"))
+    hidden = lambda c: F.exists(c, lambda p: p.startswith("."))
+    shown = ~hidden(parts)
+    if include and include.startswith("!"):
+        shown = shown & ~F.col("path").rlike(include_regex(include[1:]))
+    elif include:
+        shown = F.col("path").rlike(include_regex(include)) & ~hidden(F.slice(parts, 1, F.size(parts) - 1))
+    kept = named.where((F.octet_length("text") <= MOST_BYTES) & (exact | (shown & ~F.contains("text", F.lit("\0")))))
+    rows = kept.select("path", F.posexplode(lines(F.col("text"), SEARCH_LINES)).alias("at", "raw")).select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"[\r\n]+\z", "").alias("text"))
+    top = rows.where(F.col("text").rlike(pattern)).orderBy(parts, "line").limit(limit + 1)
+    top = top.withColumns({"_o": F.struct(parts, "line"), "match": F.concat_ws(":", "path", F.col("line").cast("string"), "text")})
+    prefix = F.length("path") + F.length(F.col("line").cast("string")) + 2
+    out = within_budget(top, "_o", "match", limit, budget)
+    return out.select("path", "line", F.substring("match", prefix + 1, F.length("text")).alias("text"), "match", "truncated")
+
+
+def within_budget(rows: DataFrame, order: str, shown: str, limit: int, budget: int) -> DataFrame:
+    """The leading rows whose `shown` texts, each with a line end, start within a budget of characters; the last one is clipped.
+
+    `truncated`: the budget is used up, even exactly, or there are more than `limit` rows.
+    """
+    size = F.length(shown) + 1
+    upto = F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = rows.withColumns({"_i": F.row_number().over(Window.orderBy(order)), "_before": upto - size, "_full": upto >= budget, "_n": F.count("*").over(Window.partitionBy())})
+    told = told.withColumn("truncated", F.max("_full").over(Window.partitionBy()) | (F.col("_n") > limit))
+    kept = told.where((F.col("_i") <= limit) & (F.col("_before") < budget))
+    return kept.withColumn(shown, F.substring(shown, F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).drop("_i", "_before", "_full", "_n")
+
+
+def read_error(files: DataFrame, start, end, total):
+    """Why a file of so many lines can't be read so, else null; columns."""
     return (
         F.when(end < start, "end before start")
         .when(end - start + 1 > MOST_LINES, "range too long")
@@ -110,21 +152,23 @@ def read_lines(files: DataFrame, start=None, end=None, budget: int = MOST_CHARS)
     first = F.coalesce(start if start is not None else F.lit(1), F.lit(1))
     asked = end if end is not None else F.lit(None).cast("int")
     last = F.coalesce(asked, first + DEFAULT_LINES - 1)
-    rows = files.select("path", "text", lines(F.col("text"), READ_LINES).alias("_l"), first.alias("_a"), last.alias("_b"), asked.isNull().alias("_open"))
-    error = read_error(rows, F.col("_a"), F.col("_b"))
-    picked = F.slice("_l", F.col("_a"), F.greatest(F.col("_b") - F.col("_a") + 1, F.lit(0)))
-    state = "named_struct('left', {0}, 'out', cast(array() AS array<string>), 'cut', false)".format(budget)
-    fold = (
-        f"aggregate(_p, {state}, (s, x) -> CASE WHEN s.cut THEN s WHEN length(x) <= s.left THEN named_struct('left', s.left - length(x), 'out', concat(s.out, array(x)), 'cut', false) "
-        "ELSE named_struct('left', 0, 'out', CASE WHEN s.left > 0 THEN concat(s.out, array(substring(x, 1, s.left))) ELSE s.out END, 'cut', true) END)"
-    )
-    told = rows.withColumns({"error": error, "_p": F.when(error.isNull(), picked).otherwise(F.array().cast("array<string>"))}).withColumn("_f", F.expr(fold))
-    shown = F.transform("_f.out", lambda x, i: F.concat(F.lpad((F.col("_a") + i).cast("string"), 6, " "), F.lit("→"), x))
-    end_line = F.when(F.size("_l") == 0, F.lit(0)).otherwise(F.col("_a") + F.size("_f.out") - 1)
-    truncated = F.col("_f.cut") | (F.col("_open") & (F.col("_b") < F.size("_l")))
-    good = F.col("error").isNull()
+    rows = files.select("path", "text", first.alias("_a"), last.alias("_b"), asked.isNull().alias("_open"))
+    # The lines are cut once, inside a lambda: columns of them would be cut again for each mention.
+    cut = lambda l: F.struct(F.size(l).alias("total"), F.slice(l, F.col("_a"), F.greatest(F.col("_b") - F.col("_a") + 1, F.lit(0))).alias("asked"))
+    rows = rows.withColumn("_c", F.element_at(F.transform(F.array(lines(F.col("text"), READ_LINES)), cut), 1))
+    error = read_error(rows, F.col("_a"), F.col("_b"), F.col("_c.total"))
+    told = rows.withColumns({"error": error, "_p": F.when(error.isNull(), F.col("_c.asked")).otherwise(F.array().cast("array<string>"))})
+    # Lines are counted while they fit; the state has no array in it.
+    fold = f"aggregate(_p, named_struct('left', {budget}, 'k', 0, 'cut', false), (s, x) -> CASE WHEN s.cut THEN s WHEN length(x) <= s.left THEN named_struct('left', s.left - length(x), 'k', s.k + 1, 'cut', false) ELSE named_struct('left', s.left, 'k', s.k, 'cut', true) END)"
+    told = told.withColumn("_f", F.expr(fold))
+    out = F.expr("CASE WHEN _f.cut AND _f.left > 0 THEN concat(slice(_p, 1, _f.k), array(substring(_p[_f.k], 1, _f.left))) ELSE slice(_p, 1, _f.k) END")
+    told = told.withColumn("_out", out)
+    shown = F.transform("_out", lambda x, i: F.concat(F.lpad((F.col("_a") + i).cast("string"), 6, " "), F.lit("→"), x))
+    total, good = F.col("_c.total"), F.col("error").isNull()
+    end_line = F.when(total == 0, F.lit(0)).otherwise(F.col("_a") + F.size("_out") - 1)
+    truncated = F.col("_f.cut") | (F.col("_open") & (F.col("_b") < total))
     return told.select(
-        "path", F.size("_l").alias("total_lines"), F.when(good, F.col("_a")).alias("start_line"), F.when(good, end_line).alias("end_line"), F.when(good, F.array_join(shown, "\n")).alias("text"), F.when(good, truncated).alias("truncated"), "error"
+        "path", total.alias("total_lines"), F.when(good, F.col("_a")).alias("start_line"), F.when(good, end_line).alias("end_line"), F.when(good, F.array_join(shown, "\n")).alias("text"), F.when(good, truncated).alias("truncated"), "error"
     )
 
 
@@ -149,12 +193,48 @@ def context_rows(spans: DataFrame, files: DataFrame, max_chars: int = 12_000, ma
     )
     told = asked.withColumn("steps", steps).withColumn("f", F.expr(fold)).select("request", "f", F.explode("xs").alias("x"))
     mine = F.expr("filter(f.out, y -> y.ord = x.ord)")
-    # What earlier locations gave counts; what later ones gave doesn't.
-    earlier = F.expr("transform(filter(f.out, y -> y.ord < x.ord), y -> y.n)")
     given = F.expr("transform(sequence(x.start, x.end), n -> array_contains(f.used, concat(x.path, chr(0), cast(n AS string))))")
     return told.select("request", "x.ord", "x.path", F.transform(mine, lambda y: y["n"]).alias("line_numbers"), F.array_join(F.transform(mine, lambda y: y["t"]), "").alias("text"), F.exists(given, lambda g: ~g).alias("truncated"))
 
 
+def location_spans(locations: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Adds start, end and error to locations (file, class_name, function_name): the lines of the named symbol, or of the whole file.
+
+    files: (path, text); symbols: (path, kind, name, start, end, class_ord, member_ord) with
+    methods as class.method. Of several symbols of a name the first in lookup order counts.
+    """
+    wanted = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")), F.when(F.col("function_name") != "", F.col("function_name")))
+    rank = F.struct("class_ord", "member_ord", "start")
+    first = symbols.groupBy(F.col("path").alias("_sp"), F.col("name").alias("_sn")).agg(F.min_by(F.struct("start", "end"), rank).alias("_s"))
+    whole = files.select(F.col("path").alias("_fp"), F.greatest(F.lit(1), F.size(lines(F.col("text"), CONTEXT_LINES))).alias("_n"), (F.octet_length("text") > MOST_BYTES).alias("_large"))
+    rows = locations.withColumn("_w", wanted).join(whole, F.col("file") == F.col("_fp"), "left").join(first, (F.col("file") == F.col("_sp")) & (F.col("_w") == F.col("_sn")), "left")
+    named = F.col("_w") != ""
+    error = (
+        F.when(F.col("_fp").isNull(), "location file does not exist")
+        .when(F.col("_large"), "location exceeds the size limit")
+        .when(named & ~F.col("file").endswith(".py"), "symbols are known of Python files only")
+        .when(named & F.col("_s").isNull(), "symbol does not exist")
+    )
+    good = error.isNull()
+    told = rows.withColumns({"error": error, "start": F.when(good, F.when(named, F.col("_s.start")).otherwise(F.lit(1))), "end": F.when(good, F.when(named, F.col("_s.end")).otherwise(F.col("_n")))})
+    return told.drop("_w", "_fp", "_n", "_large", "_sp", "_sn", "_s")
+
+
+def answered(requests: DataFrame, files: DataFrame, symbols: DataFrame, max_chars: int = 12_000, max_lines: int = 160) -> DataFrame:
+    """(request, status, errors, context) of requests (request, ord, file, class_name, function_name): the bounded context of each, or its errors alone.
+
+    A request that fails doesn't touch the others. context: array<struct<ord, file, symbol_start, symbol_end, line_numbers, text, truncated>>.
+    """
+    told = location_spans(requests, files, symbols)
+    bad = told.groupBy("request").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+    good = told.join(bad.where("size(errors) = 0").select("request"), "request", "left_semi")
+    rows = context_rows(good.select("request", "ord", F.col("file").alias("path"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")), files, max_chars, max_lines)
+    spans = good.select("request", "ord", F.col("start").alias("symbol_start"), F.col("end").alias("symbol_end"))
+    one = F.struct("ord", F.col("path").alias("file"), "symbol_start", "symbol_end", "line_numbers", "text", "truncated")
+    context = rows.join(spans, ["request", "ord"]).groupBy("request").agg(F.array_sort(F.collect_list(one)).alias("context"))
+    return bad.join(context, "request", "left").select("request", F.when(F.size("errors") > 0, "error").otherwise("ok").alias("status"), "errors", "context")
+
+
 def finish_errors(locations: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds `error` to (file, class_name, function_name): a missing file or a symbol that isn't there.
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import stripped
 from ..shipping import ship
 from . import diffs
 
@@ -135,7 +136,7 @@ def change_labels(raw: DataFrame, sources: DataFrame) -> DataFrame:
     old_rows = per_file.select("instance_id", "repo", "path").join(old_spans, ["repo", "path"]).select("instance_id", "path", F.explode("rows").alias("r")).select("instance_id", "path", "r.*")
     new_rows = new_spans.select("instance_id", "path", F.explode("rows").alias("r")).select("instance_id", "path", "r.*")
     keys = ["instance_id", "path"]
-    text = rows.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+    text = rows.where(stripped(F.col("value")) != "")
     sides = []
     for side, mark, number, table in ((0, "-", "source_line", old_rows), (1, "+", "target_line", new_rows)):
         lines = text.where(F.col("line_type") == mark).select(*keys, "hunk", F.lit(side).alias("side"), "idx", F.col(number).alias("line"))
