@@ -17,6 +17,7 @@ from ..functions.scoring import tool_cost
 
 EXCESS_CHARS, MOST_LINES = 8000, 500
 FINISH = "localization_finish"
+TOOLS = ("glob", "grep", "read_file", FINISH)
 
 
 def search_key() -> Column:
@@ -88,28 +89,50 @@ def finishes(events: DataFrame) -> DataFrame:
 
 
 def validate(events: DataFrame) -> DataFrame:
-    """(traj, codes): the sorted distinct codes of each trajectory; a code that ends validation stands alone."""
-    early = (
-        F.when(F.count_if(F.col("kind").isNull()) > 0, "invalid_events")
-        .when(F.count_if((F.col("kind") == "ObservationEvent") & F.col("text_chars").isNull() & F.col("is_error").isNull()) > 0, "invalid_observation")
-        .when(
-            (F.count_if((F.col("kind") == "ActionEvent") & (F.coalesce("tool_call_id", F.lit("")) == "")) > 0)
-            | (F.count_if(F.col("kind") == "ActionEvent") != F.count_distinct(F.when(F.col("kind") == "ActionEvent", F.col("tool_call_id")))),
-            "invalid_tool_call_ids",
-        )
+    """(traj, codes): the sorted distinct codes of each trajectory; a code that ends validation stands alone.
+
+    Optional columns: action_valid (whether an action fits its tool's schema) and
+    n_locations (of a finish). An event goes to its call's group, an action to its
+    response's too; one aggregation sums these groups up and a second one trajectories,
+    so the events are read once and no group is collected.
+    """
+    action, observation = F.col("kind") == "ActionEvent", F.col("kind") == "ObservationEvent"
+    has = lambda c, default: F.coalesce(F.col(c), default) if c in events.columns else default
+    finish = action & (F.col("tool_name") == FINISH)
+    key = lambda what, c: F.struct(F.lit(what).alias("what"), c.cast("string").alias("key"))
+    call = key("call", F.when(action | observation, F.col("tool_call_id")))
+    each = events.withColumn("_k", F.explode(F.when(action, F.array(call, key("response", F.col("llm_response_id")))).otherwise(F.array(call))))
+    calls = each.groupBy("traj", "_k").agg(
+        F.count_if(action).alias("actions"),
+        F.count_if(observation).alias("seen"),
+        F.max(F.when(observation, F.coalesce("is_error", F.lit(False)))).alias("failed"),
+        F.min(F.when(observation, F.struct("seq", "tool_name"))).alias("o"),
+        F.max(F.when(action, F.struct("seq", "tool_name"))).alias("a"),
+        F.count_if(finish).alias("finishes"),
+        F.max(F.when(finish, F.col("seq"))).alias("finish_at"),
+        F.count_if(finish & (has("n_locations", F.lit(1)) == 0)).alias("empty"),
+        F.count_if(action & ~(F.coalesce(F.col("tool_name").isin(*TOOLS), F.lit(False)) & has("action_valid", F.lit(True)))).alias("odd"),
+        F.count_if(F.col("kind").isNull()).alias("no_kind"),
+        F.count_if(observation & F.col("text_chars").isNull() & F.col("is_error").isNull()).alias("no_observation"),
+        F.count_if(F.col("kind").isin("AgentErrorEvent", "ConversationErrorEvent")).alias("agent"),
     )
-    first = events.groupBy("traj").agg(early.alias("early"), F.max(F.when(F.col("kind").isin("AgentErrorEvent", "ConversationErrorEvent"), "agent_error")).alias("code"))
-    ends = finishes(events)
-    rows = (
-        pairing(events).select("traj", "code")
-        .unionByName(orphans(events).select("traj", F.lit("orphan_observation").alias("code")))
-        .unionByName(first.select("traj", "code"))
-        .unionByName(
-            first.select("traj").join(ends, "traj", "left").select(
-                "traj", F.when(F.coalesce("n_finish", F.lit(0)) != 1, "missing_or_multiple_finish").when(~F.col("sole_final"), "finish_not_sole_final_call").alias("code")
-            )
-        )
+    of_call, blank = F.col("_k.what") == "call", F.coalesce("_k.key", F.lit("")) == ""
+    pair = (
+        F.when(F.col("actions") == 0, F.when(F.col("seen") > 0, "orphan_observation"))
+        .when(F.col("seen") != 1, "unpaired_action")
+        .when(F.col("failed"), "tool_error")
+        .when(~F.col("o.tool_name").eqNullSafe(F.col("a.tool_name")) | (F.col("o.seq") <= F.col("a.seq")), "observation_mismatch")
+    )
+    count = lambda c: F.sum(F.when(of_call, F.col(c)))
+    told = calls.groupBy("traj").agg(
+        F.when(count("no_kind") > 0, "invalid_events").when(count("no_observation") > 0, "invalid_observation").when(F.max(of_call & (F.col("actions") > F.when(blank, 0).otherwise(1))), "invalid_tool_call_ids").alias("early"),
+        F.collect_set(F.when(of_call, pair)).alias("pairs"),
+        F.when(count("agent") > 0, "agent_error").alias("agent"),
+        F.when(count("odd") > 0, "invalid_action").alias("odd"),
+        F.when(count("finishes") != 1, "missing_or_multiple_finish")
+        .when((F.max(F.when(of_call, F.col("finish_at"))) != F.max(F.when(of_call, F.col("a.seq")))) | (F.max(F.when(~of_call & (F.col("finishes") > 0), F.col("actions"))) != 1), "finish_not_sole_final_call")
+        .when(count("empty") > 0, "empty_finish")
+        .alias("end"),
     )
-    codes = rows.where("code IS NOT NULL").groupBy("traj").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    none = F.array().cast("array<string>")
-    return first.join(codes, "traj", "left").select("traj", F.when(F.col("early").isNotNull(), F.array("early")).otherwise(F.coalesce("codes", none)).alias("codes"))
+    codes = F.array_sort(F.array_union("pairs", F.array_compact(F.array("agent", "odd", "end"))))
+    return told.select("traj", F.when(F.col("early").isNotNull(), F.array("early")).otherwise(codes).alias("codes"))
