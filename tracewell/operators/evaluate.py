@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,12 +20,12 @@ def batch_means(rows: DataFrame) -> DataFrame:
 
 
 def outcome_rows(tasks: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
-    """evaluated outcomes, missing_ids and unmatched_ids of (instance_id) and (instance_id, resolved, source)."""
+    """evaluated outcomes, and missing_ids and unmatched_ids in order, of (instance_id) and (instance_id, resolved, source)."""
     ids, known = tasks.select("instance_id"), outcomes.select("instance_id")
     return {
         "evaluated": outcomes.join(ids, "instance_id", "left_semi"),
-        "missing_ids": ids.join(known, "instance_id", "left_anti"),
-        "unmatched_ids": known.join(ids, "instance_id", "left_anti"),
+        "missing_ids": ids.join(known, "instance_id", "left_anti").orderBy("instance_id"),
+        "unmatched_ids": known.join(ids, "instance_id", "left_anti").orderBy("instance_id"),
     }
 
 
@@ -52,3 +52,29 @@ def judged(verdicts: DataFrame) -> DataFrame:
 def token_totals(turns: DataFrame) -> DataFrame:
     """(traj, prompt_tokens, max_prompt_tokens) of (traj, prompt_tokens)."""
     return turns.groupBy("traj").agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.max("prompt_tokens"), F.lit(0)).alias("max_prompt_tokens"))
+
+
+ISSUE_CHARS, ACTIONS_SHOWN = 12_000, 40
+
+
+def judge_payloads(tasks: DataFrame, runs: DataFrame, actions: DataFrame) -> DataFrame:
+    """(traj, payload) for a judge, as JSON: the first characters of the issue, locations, target and the first actions.
+
+    tasks: instance_id, problem_statement, file_changes; runs: traj, instance_id,
+    structured_locations; actions: traj, seq, tool_name, action.
+    """
+    first = actions.withColumn("_i", F.row_number().over(Window.partitionBy("traj").orderBy("seq"))).where(F.col("_i") <= ACTIONS_SHOWN)
+    shown = first.groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct("tool_name", "action").alias("x")))).alias("xs")).select("traj", F.transform("xs", lambda x: x["x"]).alias("tool_actions"))
+    rows = runs.join(tasks, "instance_id").join(shown, "traj", "left")
+    said = F.struct(F.substring("problem_statement", 1, ISSUE_CHARS).alias("issue"), F.col("structured_locations").alias("locations"), F.col("file_changes").alias("target"), F.coalesce("tool_actions", F.expr("array()")).alias("tool_actions"))
+    return rows.select("traj", F.to_json(said, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def verdicts(answers: DataFrame, text: str = "answer") -> DataFrame:
+    """Adds relevance, sufficiency and explanation of a judge's JSON answers, and `error` where one isn't sound."""
+    v = F.try_parse_json(text)
+    number = lambda c: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{c}", "variant")) != "STRING", F.try_variant_get(v, f"$.{c}", "double"))
+    said = F.try_variant_get(v, "$.explanation", "string")
+    told = answers.withColumns({"relevance": number("relevance"), "sufficiency": number("sufficiency"), "explanation": said})
+    sound = F.coalesce(F.col("relevance").between(0, 1) & F.col("sufficiency").between(0, 1) & F.length("explanation").between(1, 300), F.lit(False))
+    return told.withColumn("error", F.when(~sound, "invalid_verdict"))

@@ -57,3 +57,8 @@ def write(parts: dict[str, DataFrame], path: str) -> None:
         for split in ("train", "validation"):
             parts[kind].where(F.col("split") == split).drop("split").write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{kind}/{split}")
     parts["rejected"].write.mode("errorifexists").json(f"{path}/rejected")
+
+
+def write_traces(runs: DataFrame, path: str, key: str = "traj") -> None:
+    """A folder of JSON for each run."""
+    runs.withColumn("_run", F.col(key).cast("string")).write.mode("errorifexists").partitionBy("_run").json(path)

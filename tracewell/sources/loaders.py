@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import stripped
+
 OUTPUTS = ("all.parquet", "train.parquet", "validation.parquet", "cleaning_report.json")
 RAW_COLUMNS = ("instance_id", "repo", "patch", "problem_statement")
 
@@ -28,7 +34,7 @@ def json_rows(spark: SparkSession, path: str) -> DataFrame:
     """
     if path.endswith(".jsonl"):
         lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-        return lines.where(F.trim("value") != "").select("ord", F.parse_json("value").alias("v"))
+        return lines.where(stripped(F.col("value")) != "").select("ord", F.parse_json("value").alias("v"))
     whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("v"))
     listed = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.expr("try_cast(v AS array<variant>)")).otherwise(F.array("v"))
     return whole.select("file", F.posexplode(listed).alias("i", "v")).select(F.struct("file", "i").alias("ord"), "v")
@@ -39,6 +45,29 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.endswith(".parquet") else json_rows(spark, path)
 
 
+def decoded(rows: DataFrame, payload: str = "content") -> DataFrame:
+    """Adds text and error to rows with Python source as bytes: decoded by its byte order mark or coding line."""
+    from ..operators.symbols import decoded as decode
+    from ..shipping import ship
+
+    ship(rows.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            texts, errors = [], []
+            for b in p[payload]:
+                try:
+                    texts.append(decode(bytes(b)))
+                    errors.append(None)
+                except (SyntaxError, UnicodeDecodeError, LookupError, TypeError) as e:
+                    texts.append(None)
+                    errors.append(f"source_fetch_error: {type(e).__name__}")
+            yield p.assign(text=texts, error=errors)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{fields}, text string, error string")
+
+
 def outcomes(spark: SparkSession, path: str) -> DataFrame:
     """(instance_id, resolved, source): rows, or one report with lists of resolved and unresolved ids. `resolved` must be a JSON boolean."""
     rows = json_rows(spark, path)
@@ -57,6 +86,14 @@ def sources_of(raw_keys: DataFrame, contents: DataFrame) -> DataFrame:
     return found.withColumn("error", F.when(F.col("text").isNull(), "source_fetch_error"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file:///tmp/tracewell-checkpoints').rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+
+
 def guard(spark: SparkSession, folder: str, overwrite: bool = False) -> None:
     """Refuses a folder that has any of the named outputs; with overwrite, removes those."""
     jvm = spark._jvm
@@ -69,6 +106,11 @@ def guard(spark: SparkSession, folder: str, overwrite: bool = False) -> None:
         fs.delete(jvm.org.apache.hadoop.fs.Path(folder, o), True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def write_dataset(rows: DataFrame, folder: str, split: str = "split", overwrite: bool = False) -> None:
     """Train and validation Parquet, zstd; both are written even if empty."""
     guard(rows.sparkSession, folder, overwrite)
