@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code, relational
+from . import code, files, relational, runs
 
-QUERIES: dict = {**relational.Q, **code.Q}
-ORACLE_SQL: dict[str, str] = {**relational.SQL, **code.SQL}
+QUERIES: dict = {**relational.Q, **code.Q, **runs.Q, **files.Q}
+ORACLE_SQL: dict[str, str] = {**relational.SQL, **code.SQL, **runs.SQL, **files.SQL}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chat, diffs, digest, search, symbols, tasks
+from ..operators import build, chat, diffs, digest, search, symbols
+from ..sources import loaders
 from . import views as v
 
 Q: dict = {}
@@ -38,19 +37,36 @@ def limit_topk_paths(spark: SparkSession, d: str) -> DataFrame:
     return search.glob_search(v.code_file(spark, d), "**/*.txt")
 
 
-_GREP = f"WITH {_LINES}, m AS (SELECT path, line, text, row_number() OVER (ORDER BY string_split(path, '/'), line) AS i FROM l WHERE regexp_matches(text, '{{}}') {{}}), b AS (SELECT *, length(path) + length(line::VARCHAR) + 2 AS p, sum(length(path) + length(line::VARCHAR) + 3 + length(text)) OVER (ORDER BY i) AS upto, count(*) OVER () AS n FROM m WHERE i <= 101), c AS (SELECT *, {{}} - (upto - (p + length(text) + 1)) - p - 1 AS room, max(upto > {{}}) OVER () OR n > 100 AS truncated FROM b) SELECT path, line, CASE WHEN upto > {{}} THEN left(text, room::INT) ELSE text END AS text, truncated FROM c WHERE i <= 100 AND room > 0"
+_GREP = f"""WITH {_LINES}, m AS (SELECT path, line, text, path || ':' || line || ':' || text AS match, row_number() OVER (ORDER BY string_split(path, '/'), line) AS i FROM l WHERE regexp_matches(text, '{{pattern}}') {{more}}),
+b AS (SELECT *, sum(length(match) + 1) OVER (ORDER BY i) - length(match) - 1 AS before, count(*) OVER () AS n FROM m WHERE i <= 101), t AS (SELECT bool_or(before + length(match) + 1 >= {{budget}}) OR max(n) > 100 AS truncated FROM b)
+SELECT path, line, substr(left(match, ({{budget}} - before)::INT), length(path) + length(line::VARCHAR) + 3) AS text, left(match, ({{budget}} - before)::INT) AS match, truncated FROM b, t WHERE i <= 100 AND before < {{budget}}"""
 
 
-@query(_GREP.format("tion[a-z]+ the", "AND regexp_matches(path, '(?:^|/)doc_[^/]*[.](?:txt|md)$')", 30000, 30000, 30000))
+@query(_GREP.format(pattern="tion[a-z]+ the", more="AND regexp_matches(path, '(?:^|/)doc_[^/]*[.](?:txt|md)$')", budget=30000))
 def grep_lines(spark: SparkSession, d: str) -> DataFrame:
     return search.grep_search(v.code_file(spark, d), "tion[a-z]+ the", "doc_*.{txt,md}")
 
 
-@query(_GREP.format("the", "", 3000, 3000, 3000))
+@query(_GREP.format(pattern="the", more="", budget=3000))
 def grep_budget(spark: SparkSession, d: str) -> DataFrame:
     return search.grep_search(v.code_file(spark, d), "the", budget=3000)
 
 
+@query(_GREP.format(pattern="the", more="AND regexp_matches(path, '^src1/en/doc_[^/]*[13579][.]txt$')", budget=30000))
+def grep_under(spark: SparkSession, d: str) -> DataFrame:
+    """From a start path on, with a character class in the file name."""
+    return search.grep_search(v.code_file(spark, d), "the", "doc_*[!02468].txt", path="src1/en")
+
+
+_CLASSES = r"src[12]/e[!a-m]/doc_[0-9][^b3-5]*.txt"
+
+
+@query(rf"WITH {v.CODE_FILE}, t AS (SELECT path, row_number() OVER (ORDER BY path) AS i, count(*) OVER () AS n FROM code_file WHERE regexp_full_match(path, 'src[12]/e[^/a-m]/doc_[0-9][\^b3-5][^/]*[.]txt')) SELECT path, n > 100 AS truncated FROM t WHERE i <= 100")
+def glob_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Character classes: a negated one, and one with a caret, which stands for itself."""
+    return search.glob_search(v.code_file(spark, d), _CLASSES)
+
+
 @query(f"""WITH {_LINES.replace("AND text <> ''", "")}, n AS (SELECT path, count(*) AS total FROM l GROUP BY path), f AS (SELECT path, 1 + doc_id % 4 AS a FROM code_file),
 p AS (SELECT path, count(*) AS got, string_agg(lpad(line::VARCHAR, 6, ' ') || '→' || text, chr(10) ORDER BY line) AS text FROM l JOIN f USING (path) WHERE line BETWEEN a AND a + 2 GROUP BY path)
 SELECT f.path, coalesce(total, 0) AS total_lines, CASE WHEN ok THEN a END AS start_line, CASE WHEN ok THEN CASE WHEN coalesce(total, 0) = 0 THEN 0 ELSE a + coalesce(got, 0) - 1 END END AS end_line, CASE WHEN ok THEN coalesce(p.text, '') END AS text,
@@ -61,12 +77,22 @@ def read_range(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("total_lines", "start_line", "end_line")})
 
 
-@query(None)
+_LINE = """list_transform(range(x.a, least(x.b, len(l)) + 1), lambda i: {'chars': -length(i || ': ' || l[i]) - 1, 'lines': -1, 'used': [i], 'ords': [x.ord], 'ended': x.ord})"""
+_STEP = """CASE WHEN s.ended = x.ended OR list_contains(s.used, x.used[1]) THEN s WHEN s.chars + x.chars < 0 OR s.lines = 0 THEN {'chars': s.chars, 'lines': s.lines, 'used': s.used, 'ords': s.ords, 'ended': x.ended}
+  ELSE {'chars': s.chars + x.chars, 'lines': s.lines - 1, 'used': list_concat(s.used, x.used), 'ords': list_concat(s.ords, x.ords), 'ended': s.ended} END"""
+
+
+@query(rf"""WITH {v.CODE_FILE}, f AS (SELECT doc_id, path, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(text, '\n\z', ''), chr(10)) END AS l FROM code_file WHERE NOT regexp_matches(text, '[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')),
+q AS (SELECT doc_id, path, l, flatten(list_transform([{{'ord': 0, 'a': 1, 'b': 3}}, {{'ord': 1, 'a': 2, 'b': 6}}], lambda x: {_LINE})) AS steps FROM f),
+r AS (SELECT doc_id, path, l, list_reduce(steps, lambda s, x: {_STEP}, {{'chars': 600, 'lines': 5, 'used': []::BIGINT[], 'ords': []::INT[], 'ended': -1}}) AS s FROM q),
+o AS (SELECT doc_id, path, l, s, unnest([0, 1]) AS ord FROM r), n AS (SELECT *, list_filter(s.used, lambda u, i: s.ords[i] = ord) AS mine FROM o)
+SELECT doc_id AS request, ord, path, array_to_string(mine, ',') AS line_numbers, sha256(array_to_string(list_transform(mine, lambda u: u || ': ' || l[u] || chr(10)), '')) AS text, NOT list_has_all(s.used, CASE ord WHEN 0 THEN [1, 2, 3] ELSE [2, 3, 4, 5, 6] END) AS truncated FROM n""")
 def bounded_context(spark: SparkSession, d: str) -> DataFrame:
     """Each request takes two overlapping spans of one file."""
-    files = v.code_file(spark, d)
+    files = v.code_file(spark, d).where(~F.col("text").rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
     spans = files.select(F.col("doc_id").alias("request"), "path", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit(1).alias("start"), F.lit(3).alias("end")), F.struct(F.lit(1).alias("ord"), F.lit(2).alias("start"), F.lit(6).alias("end")))).alias("s"))
-    return search.context_rows(spans.select("request", "s.ord", "path", "s.start", "s.end"), files, 600, 5)
+    out = search.context_rows(spans.select("request", "s.ord", "path", "s.start", "s.end"), files, 600, 5)
+    return out.withColumns({"line_numbers": F.array_join(F.transform("line_numbers", lambda n: n.cast("string")), ","), "text": F.sha2("text", 256)})
 
 
 # --- spans of chat turns as symbols: a turn is a span of 10 lines, a conversation a class of all its turns
@@ -129,8 +155,9 @@ def chat_event_agreement(spark: SparkSession, d: str) -> DataFrame:
 # --- digests
 
 
-@query(f"""WITH f AS (SELECT source, lang || '/doc_' || doc_id || '.txt' AS path, lang, text FROM documents)
-SELECT source, sha256(string_agg(path || chr(31) || 'file' || chr(31) || sha256(text), chr(30) ORDER BY lang, split_part(path, '/', 2))) AS digest FROM f GROUP BY source""")
+@query("""WITH f AS (SELECT source, sha256(lang || '/doc_' || doc_id || '.txt' || chr(31) || 'file' || chr(31) || sha256(text)) AS e FROM documents),
+s AS (SELECT source, count(*) AS n, sum(('0x' || substr(e, 1, 15))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(e, 16, 15))::BIGINT::HUGEINT) AS b, sum(('0x' || substr(e, 31, 15))::BIGINT::HUGEINT) AS c, sum(('0x' || substr(e, 46, 15))::BIGINT::HUGEINT) AS d FROM f GROUP BY source)
+SELECT source, sha256(n || '|' || a || '|' || b || '|' || c || '|' || d) AS digest FROM s""")
 def tree_digest(spark: SparkSession, d: str) -> DataFrame:
     files = v.table(spark, d, "documents").select("source", F.concat("lang", F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("path"), F.lit("file").alias("kind"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("link_target"))
     return digest.tree_digest(files, "source")
@@ -145,56 +172,83 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _patched(spark: SparkSession, d: str) -> DataFrame:
-    """(instance_id, repo, path, patch, problem_statement, text): a function's body line changes, a method goes, or a file comes or isn't Python."""
-    k = F.col("doc_id") % 5
-    path = F.when(k == 3, F.concat(F.lit("m"), "doc_id", F.lit(".md"))).otherwise(F.concat(F.lit("m"), "doc_id", F.lit(".py")))
-    body = F.lit("import os\n\n\nclass A:\n    def run(self):\n        return 1\n\n    def stop(self):\n        return 2\n\n\ndef free():\n    return 3\n")
-    edit = F.lit("@@ -12,2 +12,2 @@\n def free():\n-    return 3\n+    return 4\n")
-    drop = F.lit("@@ -5,6 +5,3 @@\n     def run(self):\n         return 1\n \n-    def stop(self):\n-        return 2\n-\n")
+    """(instance_id, repo, path, patch, problem_statement, text): a function's body line changes, a method goes, or a file comes or isn't Python. The method before has up to three lines more."""
+    k, more = F.col("doc_id") % 5, (F.col("doc_id") % 4).cast("int")
+    path = F.concat(F.lit("m"), "doc_id", F.when(k == 3, ".md").otherwise(".py"))
+    body = F.concat(F.lit("import os\n\n\nclass A:\n    def run(self):\n"), F.repeat(F.lit("        x = 1\n"), more), F.lit("        return 1\n\n    def stop(self):\n        return 2\n\n\ndef free():\n    return 3\n"))
+    at = lambda n: (more + n).cast("string")
+    edit = F.concat(F.lit("@@ -"), at(12), F.lit(",2 +"), at(12), F.lit(",2 @@\n def free():\n-    return 3\n+    return 4\n"))
+    drop = F.concat(F.lit("@@ -"), at(6), F.lit(",5 +"), at(6), F.lit(",2 @@\n         return 1\n \n-    def stop(self):\n-        return 2\n-\n"))
     old = F.when(k == 2, F.lit("/dev/null")).otherwise(F.concat(F.lit("a/"), path))
     hunk = F.when(k == 1, drop).when(k == 2, F.lit("@@ -0,0 +1,1 @@\n+x = 1\n")).when(k == 4, F.lit("@@ -1,9 +1,1 @@\n-broken\n")).otherwise(edit)
     return v.table(spark, d, "documents").select(
         F.concat(F.lit("i-"), "doc_id").alias("instance_id"), "doc_id", F.concat(F.lit("org/"), "source").alias("repo"), path.alias("path"), F.concat(F.lit("--- "), old, F.lit("\n+++ b/"), path, F.lit("\n"), hunk).alias("patch"),
-        F.when(F.col("doc_id") % 11 == 0, " ").otherwise("fix").alias("problem_statement"), body.alias("text"),
+        F.when(F.col("doc_id") % 11 == 0, " ").when(F.col("doc_id") % 11 == 1, "\n\t\u00a0").otherwise("fix").alias("problem_statement"), body.alias("text"),
     )
 
 
-_REASON = "CASE WHEN doc_id % 11 = 0 THEN 'empty_problem_statement' WHEN doc_id % 5 = 4 THEN 'invalid_patch' WHEN doc_id % 5 = 2 THEN 'creates_or_deletes_file' WHEN doc_id % 5 = 3 THEN 'no_python_changes' ELSE 'kept' END"
+#: The same patches, cut into lines; a hunk is sound if its header counts its lines.
+_PATCHED = r"""p AS (SELECT doc_id, source, doc_id % 4 AS more, CASE doc_id % 11 WHEN 0 THEN ' ' WHEN 1 THEN chr(10) || chr(9) || chr(160) ELSE 'fix' END AS statement, 'm' || doc_id || CASE WHEN doc_id % 5 = 3 THEN '.md' ELSE '.py' END AS path FROM documents),
+h AS (SELECT *, [CASE WHEN doc_id % 5 = 2 THEN '--- /dev/null' ELSE '--- a/' || path END, '+++ b/' || path] || CASE doc_id % 5 WHEN 1 THEN ['@@ -' || more + 6 || ',5 +' || more + 6 || ',2 @@', '         return 1', ' ', '-    def stop(self):', '-        return 2', '-']
+  WHEN 2 THEN ['@@ -0,0 +1,1 @@', '+x = 1'] WHEN 4 THEN ['@@ -1,9 +1,1 @@', '-broken'] ELSE ['@@ -' || more + 12 || ',2 +' || more + 12 || ',2 @@', ' def free():', '-    return 3', '+    return 4'] END AS l FROM p),
+c AS (SELECT *, l[4:] AS b, regexp_extract(l[3], '-\d+,(\d+)', 1)::INT AS n_old, regexp_extract(l[3], '\+\d+,(\d+)', 1)::INT AS n_new, regexp_extract(l[3], '-(\d+)', 1)::INT AS first FROM h),
+d AS (SELECT *, len(list_filter(b, lambda x: x[1] <> '+')) = n_old AND len(list_filter(b, lambda x: x[1] <> '-')) = n_new AS sound FROM c),
+e AS (SELECT *, CASE WHEN regexp_replace(statement, '[\s\x{a0}]+', '', 'g') = '' THEN 'empty_problem_statement' WHEN NOT sound THEN 'invalid_patch' WHEN l[1] LIKE '%/dev/null' OR l[2] LIKE '%/dev/null' THEN 'creates_or_deletes_file' WHEN path NOT LIKE '%.py' THEN 'no_python_changes' END AS reason FROM d)"""
 
 
-@query(f"SELECT {_REASON} AS reason, count(*) AS n FROM documents GROUP BY 1")
+@query(f"WITH {_PATCHED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM e GROUP BY 1")
 def eligibility_reasons(spark: SparkSession, d: str) -> DataFrame:
     rows = _patched(spark, d)
     told = diffs.parse(rows).join(rows.select("instance_id", "problem_statement"), "instance_id")
     return told.groupBy(F.coalesce(diffs.eligibility(F.col("problem_statement"), F.col("error"), F.col("lines")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'i-' || doc_id AS instance_id, CASE doc_id % 5 WHEN 1 THEN 6 WHEN 2 THEN 1 WHEN 4 THEN 0 ELSE 3 END::BIGINT AS n_lines, CASE doc_id % 5 WHEN 1 THEN 3 WHEN 2 THEN 0 WHEN 4 THEN 0 ELSE 1 END::BIGINT AS n_removed FROM documents""")
+@query(f"""WITH {_PATCHED} SELECT 'i-' || doc_id AS instance_id, CASE WHEN sound THEN len(b) ELSE 0 END::BIGINT AS n_lines, CASE WHEN sound THEN len(list_filter(b, lambda x: x[1] = '-')) ELSE 0 END::BIGINT AS n_removed FROM d""")
 def diff_parse(spark: SparkSession, d: str) -> DataFrame:
     out = diffs.parse(_patched(spark, d))
     n = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
     return out.select("instance_id", n("lines").alias("n_lines"), n(F.filter("lines", lambda x: x["line_type"] == "-")).alias("n_removed"))
 
 
-@query("""SELECT source AS repo, s.name, s."start" AS "start", s."end" AS "end" FROM (SELECT DISTINCT source FROM documents), (VALUES ('A', 4, 9), ('A.run', 5, 6), ('A.stop', 8, 9), ('free', 12, 13)) s(name, "start", "end")""")
+_SYMBOLS = """y AS (SELECT doc_id, source, path, more, s.name, s.a + CASE WHEN s.late THEN more ELSE 0 END AS "start", s.b + more AS "end" FROM p, (VALUES ('A', 4, 9, FALSE), ('A.run', 5, 6, FALSE), ('A.stop', 8, 9, TRUE), ('free', 12, 13, TRUE)) s(name, a, b, late))"""
+
+
+@query(f"""WITH {_PATCHED}, {_SYMBOLS} SELECT DISTINCT source AS repo, name, "start", "end" FROM y""")
 def py_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Distinct symbols of the files of each repository."""
     files = _patched(spark, d).select(F.expr("substring(repo, 5)").alias("repo"), "path", "text")
     return symbols.spans(files, "repo", "path").select("repo", F.explode("rows").alias("r")).where("r.kind <> 'ignored'").select("repo", "r.name", "r.start", "r.end").distinct()
 
 
-@query("""SELECT 'i-' || doc_id AS instance_id, CASE WHEN doc_id % 5 = 1 THEN 'm' || doc_id || '.py:A.stop' END AS added, CASE WHEN doc_id % 5 = 0 THEN 'm' || doc_id || '.py:free' END AS edited,
- CASE WHEN doc_id % 5 = 0 THEN 'm' || doc_id || '.py:free' ELSE 'm' || doc_id || '.py:A' END AS modules FROM documents WHERE doc_id % 5 IN (0, 1)""")
+@query(f"""WITH {_PATCHED}, {_SYMBOLS}, g AS (SELECT * FROM e WHERE reason IS NULL),
+r AS (SELECT doc_id, path, first + i - 1 - len(list_filter(b[:i], lambda x: x[1] = '+')) AS line FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM g) WHERE b[i][1] = '-' AND trim(b[i][2:]) <> ''),
+t AS (SELECT DISTINCT r.doc_id, r.path, y.name FROM r JOIN y ON y.doc_id = r.doc_id AND line BETWEEN y."start" AND y."end" AND y.name <> 'A'),
+x AS (SELECT t.*, g.b AS b FROM t JOIN g USING (doc_id))
+SELECT 'i-' || doc_id AS instance_id, CASE WHEN list_contains(b, '-    def ' || split_part(name, '.', 2) || '(self):') THEN path || ':' || name END AS added, CASE WHEN NOT list_contains(b, '-    def ' || split_part(name, '.', 2) || '(self):') THEN path || ':' || name END AS edited,
+ path || ':' || split_part(name, '.', 1) AS modules FROM x""")
 def change_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of the patches that can become a task; a blank statement, as the SQL has it, doesn't matter here."""
+    """Labels of all patches that become a task."""
     rows = _patched(spark, d)
-    good = diffs.parse(rows).where(diffs.eligibility(F.lit("any"), F.col("error"), F.col("lines")).isNull())
-    # Written once: every branch of the labels would hold this plan again.
-    tasks._checkpoints(spark)
-    raw = rows.join(good.select("instance_id"), "instance_id", "left_semi").select("instance_id", "repo", "patch").checkpoint()
-    out = symbols.change_labels(raw, rows.select("repo", "path", "text"))
+    made, _ = build.task_rows(rows.select("instance_id", "repo", "patch", "problem_statement"), rows.select("repo", "path", "text"))
     c = F.col("file_changes")[0]["changes"]
-    return out.select("instance_id", F.array_join(c["added_entities"], ",").alias("added"), F.array_join(c["edited_entities"], ",").alias("edited"), F.array_join(c["edited_modules"], ",").alias("modules"))
+    return made.select("instance_id", F.array_join(c["added_entities"], ",").alias("added"), F.array_join(c["edited_entities"], ",").alias("edited"), F.array_join(c["edited_modules"], ",").alias("modules"))
+
+
+@query(f"WITH {_PATCHED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, CASE WHEN reason IS NOT NULL THEN array_to_string(list_sort(list('i-' || doc_id))[:20], ',') END AS examples FROM e GROUP BY reason")
+def build_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of raw rows, with the first ids of each reason."""
+    rows = _patched(spark, d)
+    out = build.report(*build.task_rows(rows.select("instance_id", "repo", "patch", "problem_statement"), rows.select("repo", "path", "text")))
+    return out.select("reason", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query(f"WITH {_PATCHED} SELECT 'i-' || doc_id AS instance_id, 'org/' || source AS repo, statement AS problem_statement, sha256(array_to_string(l, chr(10)) || chr(10)) AS patch, path AS target, 'user: ' || statement AS prompt, TRUE AS use_patch, NULL::VARCHAR AS base_commit FROM e WHERE reason IS NULL")
+def task_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The nine columns of tasks."""
+    rows = _patched(spark, d)
+    made, _ = build.task_rows(rows.select("instance_id", "repo", "patch", "problem_statement"), rows.select("repo", "path", "text"))
+    prompt = F.concat(F.col("prompt")[0]["role"], F.lit(": "), F.col("prompt")[0]["content"])
+    return made.select("instance_id", "repo", "problem_statement", F.sha2("patch", 256).alias("patch"), F.col("target")[0]["file"].alias("target"), prompt.alias("prompt"), "use_patch", "base_commit")
 
 
 @query("""SELECT CASE WHEN doc_id % 4 = 0 THEN 'location file does not exist' WHEN doc_id % 4 = 1 THEN 'symbol does not exist' END AS error, count(*) AS n FROM documents GROUP BY 1""")
@@ -209,14 +263,22 @@ def finish_check(spark: SparkSession, d: str) -> DataFrame:
 # --- export and streams
 
 
-@query(None)
+@query(f"""WITH {v.CHAT}, g AS (SELECT *, greatest(1, chars // 40) AS n FROM chat)
+SELECT 'conv-' || traj AS instance_id, to_json(list({{'role': role, 'digest': sha256(text)}} ORDER BY pos))::VARCHAR AS messages, array_to_string(range(1, sum(n)::BIGINT + 1), ',') AS input_ids, string_agg(array_to_string(list_transform(range(n), lambda i: (role = 'assistant')::INT), ','), ',' ORDER BY pos) AS loss_mask
+FROM g GROUP BY traj HAVING bool_or(role = 'assistant')""")
 def nested_export(spark: SparkSession, d: str) -> DataFrame:
     """SFT rows of chats that have an assistant message: nested messages, token ids and mask."""
     n = F.greatest(F.lit(1), F.floor(F.col("chars") / 40)).cast("int")
     rows = v.chat(spark, d).groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("pos", "role", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), n.alias("n")))).alias("m"))
     message = F.transform("m", lambda x: F.struct(x["role"].alias("role"), text.message_text(x["content"]).alias("content")))
     mask = F.flatten(F.transform("m", lambda x: F.array_repeat((x["role"] == "assistant").cast("long"), x["n"])))
-    return rows.where(F.exists("m", lambda x: x["role"] == "assistant")).select(F.concat(F.lit("conv-"), "traj").alias("instance_id"), message.alias("messages"), F.sequence(F.lit(1).cast("long"), F.size(mask).cast("long")).alias("input_ids"), mask.alias("loss_mask"))
+    out = rows.where(F.exists("m", lambda x: x["role"] == "assistant")).select(F.concat(F.lit("conv-"), "traj").alias("instance_id"), message.alias("messages"), F.sequence(F.lit(1).cast("long"), F.size(mask).cast("long")).alias("input_ids"), mask.alias("loss_mask"))
+    path = f"{loaders.shared_folder(spark)}/nested"
+    out.write.option("compression", "zstd").parquet(path)
+    back = spark.read.parquet(path)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    said = F.to_json(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.sha2(m["content"], 256).alias("digest"))))
+    return back.select("instance_id", said.alias("messages"), joined("input_ids").alias("input_ids"), joined("loss_mask").alias("loss_mask"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
@@ -229,6 +291,6 @@ def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
     folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
     # A stream takes a folder as it is, but a single file only by a glob.
     stream = spark.readStream.schema(kind).parquet(f"{d}/events.parquet" if folder else f"{d}/[e]vents.parquet")
-    name = f"stream_{uuid.uuid4().hex}"
-    metrics.memory_query(metrics.windowed_counts(stream), name, "complete")
-    return spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    folder = loaders.shared_folder(spark)
+    metrics.batch_query(metrics.windowed_counts(stream), f"{folder}/counts", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/counts").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))

@@ -89,7 +89,13 @@ def task_key_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("key").agg(F.min("ord").alias("ord")).select("ord")
 
 
-@query(None)
+_OWN = v.TASK_ROW.replace("(doc_id % 900)", "(doc_id - CASE WHEN doc_id % 50 = 49 THEN 1 ELSE 0 END)")
+
+
+@query(f"""WITH {_OWN}, g AS (SELECT ord, instance_id, {_KEY} AS k FROM task_row WHERE {_TASK_REASON} IS NULL),
+l AS (SELECT list({{'ids': [instance_id], 'keys': [k], 'ords': [ord]}} ORDER BY ord) AS rows FROM g),
+r AS (SELECT list_reduce(rows, lambda s, x: CASE WHEN list_contains(s.ids, x.ids[1]) OR list_contains(s.keys, x.keys[1]) THEN s ELSE {{'ids': list_concat(s.ids, x.ids), 'keys': list_concat(s.keys, x.keys), 'ords': list_concat(s.ords, x.ords)}} END) AS s FROM l)
+SELECT unnest(s.ords) AS ord, unnest(s.ids) AS instance_id FROM r""")
 def two_key_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     kept, _ = tasks.clean(v.task_row_clashing(spark, d), "ord")
     return kept.select("ord", "instance_id")
@@ -213,22 +219,17 @@ def quality_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {v.EVENT_LOG}, s AS (
-  SELECT traj, string_agg(tool_name || ' ' || coalesce(pattern, '') || ' ' || path, ';' ORDER BY seq) AS steps FROM event_log WHERE kind = 'ActionEvent' AND seq <= 6 GROUP BY traj)
-SELECT min(traj) AS traj FROM s GROUP BY steps""")
+  SELECT traj, string_agg(tool_name || ' ' || coalesce(pattern, '') || ' ' || path, ';' ORDER BY seq) AS steps FROM event_log WHERE kind = 'ActionEvent' GROUP BY traj), t AS (SELECT traj // 3 * 3 AS twin, traj FROM (SELECT DISTINCT traj FROM event_log))
+SELECT min(t.traj) AS traj FROM t LEFT JOIN s ON s.traj = t.twin GROUP BY coalesce(steps, '')""")
 def trajectory_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The first trajectory of each sequence of all actions; three neighbours have the actions of the first of them."""
     from ..operators import export
 
-    actions = v.event_log(spark, d).where("kind = 'ActionEvent' AND seq <= 6")
-    steps = actions.groupBy("traj").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(" ", "tool_name", F.coalesce("pattern", F.lit("")), paths.normalized(F.col("path"))).alias("x")))).alias("s"))
-    return export.first_of_sequence(steps.select("traj", F.array_join(F.transform("s", lambda x: x["x"]), ";").alias("steps")), "traj", "steps").select("traj")
-
-
-@query(None)
-def trajectory_dedup_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The first trajectory of each sequence of all actions; trajectory_dedup, as its SQL has it, looks at the first three events alone."""
-    from ..operators import export
-
-    return export.first_of_sequence(export.action_steps(v.event_log(spark, d)), "traj", "steps").select("traj")
+    log = v.event_log(spark, d)
+    steps = export.action_steps(log)
+    twins = log.select("traj").distinct().withColumn("twin", F.floor(F.col("traj") / 3) * 3)
+    said = twins.join(steps.withColumnRenamed("traj", "twin"), "twin", "left").select("traj", F.coalesce("steps", F.lit("[]")).alias("steps"))
+    return export.first_of_sequence(said, "traj", "steps").select("traj")
 
 
 # --- event validation
@@ -352,7 +353,9 @@ def loss_mask(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("traj", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("loss_tokens"), F.size(mask).cast("long").alias("tokens"))
 
 
-@query(None)
+@query(f"""WITH {v.CHAT}, g AS (SELECT traj, pos, role = 'assistant' AS own, greatest(1, chars // 40) AS n, row_number() OVER (PARTITION BY traj ORDER BY pos) AS i FROM chat),
+b AS (SELECT traj, min(i) FILTER (WHERE own AND i > 1) AS first, max(i) FILTER (WHERE own AND i > 1) AS last FROM g GROUP BY traj)
+SELECT traj, NULL::VARCHAR AS error, string_agg(array_to_string(list_transform(range(n), lambda x: own::INT), ','), ',' ORDER BY i) AS loss_mask FROM g JOIN b USING (traj) WHERE i BETWEEN first AND last GROUP BY traj""")
 def merged_token_mask(spark: SparkSession, d: str) -> DataFrame:
     """Turns made of a chat's messages, merged by prefix: what comes before each assistant message is its prompt."""
     n = F.greatest(F.lit(1), F.floor(F.col("chars") / 40)).cast("int")
@@ -365,7 +368,7 @@ def merged_token_mask(spark: SparkSession, d: str) -> DataFrame:
     )
     told = rows.select("traj", turns.alias("t")).where("size(t) > 0")
     told = told.withColumn("error", tokens.mask_error(F.col("t")))
-    return told.select("traj", "error", F.when(F.col("error").isNull(), tokens.merged(F.col("t"))["loss_mask"]).alias("loss_mask"))
+    return told.select("traj", "error", F.when(F.col("error").isNull(), F.array_join(F.transform(tokens.merged(F.col("t"))["loss_mask"], lambda x: x.cast("string")), ",")).alias("loss_mask"))
 
 
 @query(f"""WITH {v.CHAT}, t AS (SELECT traj, pos, CASE pos % 3 WHEN 0 THEN '<tool_call>x</tool_call> <|im_end|>' WHEN 1 THEN '<tool_call>x</tool_call>y<|im_end|>' ELSE '<tool_call>x<tool_call></tool_call><|im_end|>' END AS s FROM chat)
