@@ -3,7 +3,8 @@
 A document is padded with order - 1 begin marks and one end. Counting:
 
 1. A scan finds the frequent words. Each batch reports the words that hold at least half
-   the share sought in it, so no word of that share is missed; their n-grams are split.
+   the share sought in it, so no word of that share is missed. They have short codes in
+   what is dealt out, and the n-grams of the most frequent ones are split.
 2. A scan gathers n-grams, sums equal ones up for a few million tokens at a time, and
    deals them out by the last word of their context, those of a frequent one also by the
    word before (by the word itself at order two). So a bucket has whole contexts of every
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowmap import map_rows
-from .common import mix64, shared_dir, table, text_of, word_hashes, written
+from .common import mix64, passing, shared_dir, table, text_of, word_hashes, written
 
 ORDER = 3
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -54,6 +55,8 @@ COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 500_000
 BUCKET_BYTES = 16 * 2**20
 #: Share of a bucket that makes a word frequent, and the ways in which its n-grams are split.
 HOT_SHARE, HOT_SPLIT = 0.1, 32
+#: Share of all tokens that makes a word common: at most 2 / COMMON_SHARE words, 8 bytes each, go to every worker.
+COMMON_SHARE = 2e-5
 
 
 def ids_of(text: str | None) -> np.ndarray:
@@ -296,8 +299,8 @@ def _gathered(texts: DataFrame, each, schema: str) -> DataFrame:
     return map_rows(texts, run, schema)
 
 
-def frequent_words(texts: DataFrame, share: float) -> np.ndarray:
-    """All words that are at least `share` of all tokens, and perhaps some that are at least half of that; so at most 2 / share."""
+def frequent_words(texts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words, the most frequent first, and the shares counted of them: all that are at least `share` of all tokens, and perhaps some of half that; so at most 2 / share."""
 
     def each(documents: list[np.ndarray]) -> Iterator[tuple]:
         word, n = np.unique(np.concatenate(documents), return_counts=True)
@@ -307,9 +310,31 @@ def frequent_words(texts: DataFrame, share: float) -> np.ndarray:
         yield from zip(word[often].view(np.int64).tolist(), n[often].tolist(), strict=True)
 
     seen = written(_gathered(texts, each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    whole = F.broadcast(seen.where("word = 0").select(F.col("n").alias("tokens")))
-    often = seen.where("word <> 0").join(whole, F.col("n") >= share / 2 * F.col("tokens"))
-    return np.sort(np.array([BEGIN, *(r["word"] for r in often.select("word").collect())], dtype=np.uint64))
+    tokens = (seen.where("word = 0").first() or {"n": 0})["n"]
+    often = seen.where((F.col("word") != 0) & (F.col("n") >= share / 2 * tokens)).collect()
+    often.sort(key=lambda r: (-r["n"], r["word"]))
+    return np.array([r["word"] for r in often], dtype=np.uint64), np.array([r["n"] / tokens for r in often])
+
+
+class Words:
+    """Writes sets of words: frequent ones by their rank, others by their ids."""
+
+    def __init__(self, ranked: np.ndarray) -> None:
+        self.ranked, self.order = ranked, np.argsort(ranked)
+        self.sorted = ranked[self.order]
+
+    def write(self, words: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+        """Steps between ranks, other ids, and the code of each word: its place among both, frequent ones first."""
+        at = np.minimum(np.searchsorted(self.sorted, words), max(0, len(self.sorted) - 1))
+        known = self.sorted[at] == words if len(self.sorted) else np.zeros(len(words), dtype=bool)
+        rank = np.sort(self.order[at[known]])
+        code = np.empty(len(words), dtype=np.int64)
+        code[known] = np.searchsorted(rank, self.order[at[known]])
+        code[~known] = len(rank) + np.arange((~known).sum())
+        return _packed(np.diff(rank, prepend=0)), _six(words[~known]), code
+
+    def read(self, steps: bytes, others: bytes) -> np.ndarray:
+        return np.concatenate([self.ranked[np.cumsum(_unpacked(steps))], _of_six(others)])
 
 
 def train(docs: DataFrame, order: int = ORDER) -> dict:
@@ -321,7 +346,9 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     texts = docs.select(text_of().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    hot = frequent_words(texts, HOT_SHARE / buckets)
+    often, shares = frequent_words(texts, min(HOT_SHARE / buckets, COMMON_SHARE))
+    hot = np.sort(np.append(often[shares >= HOT_SHARE / buckets / 2], BEGIN))
+    common = Words(often)
     columns = ", ".join(f"c{i} binary" for i in range(order))
 
     def counted(documents: list[np.ndarray]) -> Iterator[tuple]:
@@ -335,18 +362,16 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
         edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[k], edges[k + 1]
-            words, codes, often = np.unique(grams[:, i:j], return_inverse=True, return_counts=True)
+            words, codes = np.unique(grams[:, i:j], return_inverse=True)
             # Frequent words have small codes.
-            ranked = np.argsort(-often, kind="stable")
-            code = np.empty(len(words), dtype=np.int64)
-            code[ranked] = np.arange(len(words))
-            yield k, _six(words[ranked]), _packed(n[i:j]), *(_packed(c) for c in code[codes].reshape(order, -1))
+            steps, others, code = common.write(words)
+            yield k, steps, others, _packed(n[i:j]), *(_packed(c) for c in code[codes].reshape(order, -1))
 
     store = Store(root)
 
     def merge(bucket: int, held: list[tuple]) -> Iterator[tuple]:
-        grams = np.concatenate([np.stack([words[_unpacked(c)] for c in r[3:]]) for r in held for words in (_of_six(r[1]),)], axis=1)
-        counts = np.concatenate([_unpacked(r[2]) for r in held])
+        grams = np.concatenate([np.stack([words[_unpacked(c)] for c in r[4:]]) for r in held for words in (common.read(r[1], r[2]),)], axis=1)
+        counts = np.concatenate([_unpacked(r[3]) for r in held])
         chain = _chain(grams)
         raw_word, raw = _summed(grams[-1], counts)
         raw_word = grams[-1][raw_word]
@@ -392,7 +417,7 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
         for v, s in zip(context.tolist(), stats.T.tolist(), strict=True):
             yield v, bucket, *s, 0, 0, 0, 0, 0, 0, 0, 0, 0
 
-    dealt = _gathered(texts, counted, f"bucket int, words binary, n binary, {columns}")
+    dealt = _gathered(texts, counted, f"bucket int, steps binary, others binary, n binary, {columns}")
     merged = written(_grouped(dealt, merge, "bucket int, source int, words binary, raw binary, before binary, pairs binary, n binary"))
     # One row for each bucket: their number follows BUCKET_BYTES.
     told = merged.where("bucket < 0").select("source", "words").collect()
@@ -400,7 +425,8 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     schema = "word long, bucket int, tokens long, words long, documents long, before long, b1 long, b2 long, b3 long, b4 long, b_more long, h1 long, h2 long, h3 long, h4 long"
     words = written(_grouped(merged.where("bucket >= 0"), by_word, schema))
     total = words.where("word < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in words.columns[2:])).first()
-    # At most 2 / HOT_SHARE frequent words a bucket, a row each.
+    passing(spark, root)
+    # At most 4 / HOT_SHARE frequent words a bucket, a row each.
     contexts = words.where("word >= 0").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "documents", "before"))).collect()
     by = [total[f"b{k}"] for k in (1, 2, 3, 4)]
     levels[-1] += [total[f"h{k}"] for k in (1, 2, 3, 4)]
