@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..shipping import ship
+
 #: Rows in a batch that Spark hands to Python; texts may be long, so it is small.
 BATCH_ROWS = 256
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers, once for each application: they need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    handle, name = tempfile.mkstemp(prefix=f"{package.name}-", suffix=".zip")
-    os.close(handle)
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    context.addPyFile(name)
-    _SHIPPED.add(context.applicationId)
-
-
 def bounded(df: DataFrame) -> None:
-    """Keeps Arrow batches small for the plans that are made next in this session."""
+    """Keeps Arrow batches small for all plans that are made next in this session: the setting is read when a plan runs, so it stays."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

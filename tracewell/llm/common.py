@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -42,17 +44,46 @@ def words_of(c: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tracewell-checkpoints"
-    return f"{root.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file:///tmp/tracewell-checkpoints').rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Has the folder removed when the driver ends: what is in it serves results that end with the session."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(there)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and outlives a lost executor."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(docs with doc_id as a long and `columns`, a function that gives columns of such numbers back as ids).
+
+    Whole numbers stand for themselves. Ids of another type are numbered in their order, null staying null.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns), lambda df, *names: df
+    ids = written(docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy("doc_id").select(F.col("doc_id").alias("_id"), F.monotonically_increasing_id().alias("_no")))
+    rows = docs.select("doc_id", *columns).join(ids, F.col("doc_id") == F.col("_id"), "left").select(F.col("_no").alias("doc_id"), *columns)
+
+    def back(df: DataFrame, *names: str) -> DataFrame:
+        order = df.columns
+        for n in names:
+            df = df.join(ids.select(F.col("_no").alias(n), F.col("_id").alias("_back")), n, "left").drop(n).withColumnRenamed("_back", n)
+        return df.select(*order)
+
+    return rows, back
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finisher: spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,9 @@ chance of about 1e-10 (0.8: 5e-7).
 Defined results: null and empty texts have no shingles and are linked with nothing;
 texts of fewer words than a shingle are one shingle; rows with a null id are linked
 with nothing (component null, kept); rows that repeat an id are one document, and
-all get its result; an empty table gives an empty result; extra columns are not read.
+all get its result; ids may be of any type that can be ordered, and the smallest names
+a component; a very long text is a set like any other; an empty table gives an empty
+result; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowmap import map_rows
-from .common import mix64, ngram_hashes, table, text_of, word_hashes, written
+from .common import mix64, ngram_hashes, numbered, table, text_of, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 48, 6
@@ -269,6 +271,7 @@ def _blocked(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document: links at a Jaccard similarity of at least percent / 100."""
+    docs, back = numbered(docs, "text")
     scan = written(sketches(docs, width, bands, rows))
     classes = scan.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("registers", "doc_id").alias("registers"))
     by_digest = written(classes)
@@ -298,13 +301,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     labelled = written(labelled)
     out = scan.select("doc_id", "n", "digest").join(labelled, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return back(out, "doc_id", "component_id")
 
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, with its own columns only; rows with a null id stay."""
     kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("k")).distinct()
-    packed = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
+    packed = docs.select(F.col("doc_id").cast(kept.schema["k"].dataType).alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
     one = packed.where("k IS NOT NULL").join(kept, "k", "left_semi").dropDuplicates(["k"])
     return one.unionByName(packed.where("k IS NULL")).select("r.*")
 

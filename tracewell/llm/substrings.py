@@ -28,8 +28,8 @@ Earlier means a smaller doc_id, or the same row and an earlier start.
 
 Defined results: null text is empty; rows with a null id come after all others, and
 neither they nor rows that repeat an id are earlier than one another; an empty table
-gives an empty result; extra columns are not read, whatever their names. doc_id is an
-integer. A very long text is a unit by itself and takes about 50 bytes of memory a byte.
+gives an empty result; extra columns are not read, whatever their names; ids may be of
+any type that can be ordered. A very long text is a unit by itself and takes about 50 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -45,13 +45,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .arrowmap import bounded, map_rows, ship
-from .common import mix64, prefix_hash, span_hash, table, text_of
+from .common import mix64, numbered, prefix_hash, span_hash, table, text_of
 
 DEPTH = 100
 BLOCK = 40
 UNIT_BYTES = 3 * 2**20
 #: Text whose runs meet in a bucket, about.
-BUCKET_BYTES = 16 * 2**20
+BUCKET_BYTES = 8 * 2**20
+#: Windows of a bucket that are sorted at once.
+SORTED = 2**18
 #: Different runs of an anchor from which on its windows are dealt one by one.
 HOT_RUNS = 2000
 _LAST = 2**63 - 1
@@ -196,6 +198,9 @@ class Unit:
         left, hot = left[self.pair_of], hot[self.pair_of]
         left |= (np.bincount(by_anchor) > 1)[by_anchor]
         self.runs, self.hot = np.flatnonzero(left & ~hot), np.flatnonzero(left & hot)
+
+    def gather(self) -> None:
+        """The entries of the runs that are left: `kinds` of place and bytes, where each first stands, and its least document."""
         # Runs of equal bytes around anchors in equal places are one entry.
         numbers: dict[tuple[int, bytes], int] = {}
         raw, depth = self.bytes, self.depth
@@ -284,17 +289,25 @@ def _runs(held: list[tuple], depth: int, block: int) -> Iterator[tuple]:
     block_of = np.array(block_of, dtype=np.int64)
     mixed = (np.bincount(block_of) > 1)[block_of]
     earlier = doc > least[kind]
-    # Anchors with different runs: a radix sort of the suffixes of one run of each kind.
+    # Anchors with different runs: a radix sort of the suffixes of one run of each kind, some anchors at a time.
     which = np.flatnonzero(mixed)
-    texts = [text for (_, text), m in zip(numbers, mixed.tolist(), strict=True) if m]
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    n = np.array([len(t) - depth + 1 for t in texts], dtype=np.int64)
+    which = which[np.argsort(block_of[which], kind="stable")]
+    texts = [text for _, text in numbers]
+    n = np.array([len(texts[k]) - depth + 1 for k in which.tolist()], dtype=np.int64)
     begin = np.cumsum(n) - n
-    owner = np.repeat(np.arange(len(texts)), n)
-    starts = np.arange(n.sum()) + owner * (depth - 1)
-    found, group = radix_groups(raw, starts, depth)
-    before = least[which][owner]
-    before[found] = _least(group, before[found])
+    before = np.repeat(least[which], n)
+    last_of_block = np.flatnonzero(np.append(np.diff(block_of[which]) != 0, True)) + 1 if len(which) else which
+    at = 0
+    while at < len(which):
+        more = last_of_block[last_of_block > at]
+        fits = more[begin[more - 1] + n[more - 1] - begin[at] <= SORTED]
+        to = int(fits[-1]) if len(fits) else int(more[0])
+        part = slice(int(begin[at]), int(begin[to - 1] + n[to - 1]))
+        raw = np.frombuffer(b"".join([texts[k] for k in which[at:to].tolist()]), dtype=np.uint8)
+        starts = np.arange(part.stop - part.start) + np.repeat(np.arange(to - at), n[at:to]) * (depth - 1)
+        found, group = radix_groups(raw, starts, depth)
+        before[part.start + found] = _least(group, before[part.start + found])
+        at = to
     slot = np.full(len(numbers), -1, dtype=np.int64)
     slot[which] = np.arange(len(which))
     for r, (i, j) in zip(held, _edges([len(r[5]) // 8 for r in held]), strict=True):
@@ -363,8 +376,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     units = max(1, -(-total // UNIT_BYTES))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    docs, back = numbered(docs, "text")
     text = text_of()
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(units)).cast("int").alias("unit"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(units)).cast("int").alias("unit"), "doc_id", text.alias("text"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     arrow = {x: to_arrow_schema(_parse_datatype_string(x)) for x in (_DEAL, result)}
 
@@ -379,11 +393,13 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
             out[kind].append((bucket, *said))
         return out
 
-    def unit_of(part: pa.Table, said: dict[int, list[tuple]]) -> Unit:
+    def unit_of(part: pa.Table, said: dict[int, list[tuple]], gathered: bool = True) -> Unit:
         u = Unit(part, depth, block)
         u.told([r[:3] for r in said[0]], buckets)
         if len(u.hot):
             u.hot_windows()
+        if gathered:
+            u.gather()
         return u
 
     def by_anchor(key, part):
@@ -419,7 +435,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
         said = by_kind(replies)
         if not len(part) or not said[2]:
             return table_of(_DEAL, iter(()))
-        u = unit_of(part, said)
+        u = unit_of(part, said, gathered=False)
         left = hot_left(u, said)
         return table_of(
             _DEAL,
@@ -488,7 +504,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
     second = _grouped(units_.cogroup(first.groupBy("unit")).applyInArrow(by_run, _DEAL), depth, block, hot_runs)
     so_far = first.unionByName(second)
     third = _grouped(units_.cogroup(so_far.groupBy("unit")).applyInArrow(by_window, _DEAL), depth, block, hot_runs)
-    return units_.cogroup(so_far.unionByName(third).groupBy("unit")).applyInArrow(cleaned, result)
+    return back(units_.cogroup(so_far.unionByName(third).groupBy("unit")).applyInArrow(cleaned, result), "doc_id")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
