@@ -5,12 +5,16 @@ Targets: each source's share of `share` times all sizes, by weight, stopped at
 above. Within a source, whole epochs come first; the rest is an
 Efraimidis-Spirakis sample: an exponential key by document, scaled by its quality
 weight, in key order until the budget is met. The prefix sum of sizes is taken in
-two steps, over bins of the key and then within the one bin that the budget cuts,
-so that no task gets a whole source.
+two steps, over bins of the key (even steps of its logarithm, so that none holds more
+than about a hundredth of a source, whatever the weights) and then within the one bin
+that the budget cuts. So no task gets a whole source, and only that bin's documents
+are dealt out.
 
 Defined results: null text has size 0; a null source is a source, last in order;
 null ids and repeated rows are documents of their own, and equal rows are
-interchangeable; an empty table gives an empty result; documents of size 0 take 0.
+interchangeable; an empty table gives an empty result; documents of size 0 take 0; a very
+long text is a document like any other; other columns are carried if `keep` names them,
+whatever their names, and else not read.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of
+from .common import WORD, table, text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BINS = 4096
+#: Bins to each doubling of the key.
+BINS = 128
+#: Sources (a row of about 80 bytes each) that are broadcast at most; beyond, the same join shuffles.
+BROADCAST_SOURCES = 500_000
 
 
 def size_of(text: Column) -> Column:
@@ -78,26 +85,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         (-F.log(uniform(seed, F.col("doc_id"), F.md5(text))) / quality_weight(text)).alias("_key"),
         *(F.col(c).alias(f"_keep_{c}") for c in keep),
     )
-    # exp(-key) of an exponential key is near uniform, so bins of it are near even.
-    base = base.withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("_key"))) * BINS))).cast("int"))
-    by_bin = base.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
+    base = base.withColumn("_bin", F.floor(F.log2(F.greatest(F.col("_key"), F.lit(1e-300))) * BINS).cast("int"))
+    by_bin = written(base.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size")))
     sizes = by_bin.groupBy("source").agg(F.sum("_bin_size").alias("source_size"))
     plan = targets(sizes, weights, share, limit)
     plan = plan.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_epochs") * F.col("source_size")))
+    plan = plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_epochs") * F.col("source_size"))).withColumnRenamed("source", "_s")
     upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    by_bin = by_bin.withColumn("_before", F.coalesce(F.sum("_bin_size").over(upto), F.lit(0)))
-    bins = by_bin.join(plan, by_bin["source"].eqNullSafe(plan["source"])).select(
-        by_bin["source"].alias("_s"), F.col("_bin").alias("_b"), "_before", "_bin_size", "source_size", "target", "_epochs", "_rest"
-    )
-    placed = base.join(bins, base["source"].eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")))
-    whole = F.col("_before") + F.col("_bin_size") <= F.col("_rest")
-    none = F.col("_before") >= F.col("_rest")
-    within = Window.partitionBy("source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2.0 <= F.col("_rest")
-    extra = F.when(whole, F.lit(1)).when(none, F.lit(0)).otherwise(cut.cast("int"))
-    copies = (F.col("_epochs") + extra).cast("long")
-    return placed.withColumn("n_copies", copies).select(
+    before = by_bin.withColumn("_before", F.coalesce(F.sum("_bin_size").over(upto), F.lit(0)))
+    # The bin that the rest cuts: a row for each source.
+    cut = before.join(plan, before["source"].eqNullSafe(plan["_s"])).groupBy("_s").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("_epochs").alias("_epochs"), F.first("_rest").alias("_rest"),
+        F.min_by(F.struct("_bin", "_before"), F.when(F.col("_before") + F.col("_bin_size") > F.col("_rest"), F.col("_bin"))).alias("_cut"),
+    )
+    cut = written(cut)
+    small = cut.count() <= BROADCAST_SOURCES
+    placed = base.join(F.broadcast(cut) if small else cut, base["source"].eqNullSafe(cut["_s"]))
+    # Only the documents of cut bins need an order; all others stay where they were read.
+    inside = F.col("_bin") == F.col("_cut._bin")
+    whole = F.when(F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut._bin")), F.lit(1)).otherwise(F.lit(0))
+    sure = placed.where(F.coalesce(~inside, F.lit(True))).withColumn("_extra", whole)
+    within = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.col("_cut._before") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2.0 <= F.col("_rest")
+    both = sure.unionByName(placed.where(inside).withColumn("_extra", fits.cast("int")))
+    return both.withColumn("n_copies", (F.col("_epochs") + F.col("_extra")).cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"), "n_copies", *(F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source"))
     )
 
