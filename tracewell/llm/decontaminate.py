@@ -9,7 +9,8 @@ never leave the scan unless they hit.
 Defined results: a null text or item has no words; an item without words is
 nothing; a null item id counts as the empty string; equal rows get equal results;
 an empty benchmark leaves all documents alone; an empty table gives an empty
-result; extra columns are not read.
+result; extra columns are not read, whatever their names; a very long text is looked up in
+chunks and takes as much a word as a short one.
 """
 
 from __future__ import annotations

@@ -3,7 +3,9 @@
 Defined results: a null text counts as empty; an empty text has no words and
 fails; repeated rows each get their own (equal) row; extra columns don't matter
 to `judge` beyond `id_columns`, and `measures` never reads them; an empty table
-gives an empty result.
+gives an empty result. `measures` replaces columns that have the names of its own results,
+and drops `_w`, `_l` and `_t`; `judge` and `passing` don't touch other columns, whatever their names.
+Very long texts are measured whole.
 """
 
 from __future__ import annotations

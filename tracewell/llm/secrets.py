@@ -87,6 +87,7 @@ class Dictionary:
         words = dict.fromkeys([*COMMON_WORDS, *(w for w in whole if len(w) >= 3 and w.isalpha())])
         self.rank = {w: i + 1 for i, w in enumerate(words)}
         self.longest = max(map(len, self.rank))
+        self.heads = {w[:3] for w in self.rank}
         # What a word or a date spans at most.
         self.reach = max(self.longest, 10)
 
@@ -111,7 +112,7 @@ def guess_cost(value: str, enough: float = math.inf, words: Dictionary | None =
     run ends within its first `reach` characters, and from there the run itself is cheapest.
     """
     words = words or dictionary()
-    rank_of, longest, reach = words.rank.get, words.longest, words.reach
+    rank_of, longest, reach, heads = words.rank.get, words.longest, words.reach, words.heads
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
@@ -138,7 +139,8 @@ def guess_cost(value: str, enough: float = math.inf, words: Dictionary | None =
             return True
 
         offer(i + 1, 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33))
-        for j in range(i + 3, min(n, i + longest) + 1):
+        begins = low[i : i + 3] in heads or plain[i : i + 3] in heads
+        for j in range(i + 3, min(n, i + longest) + 1) if begins else ():
             rank = rank_of(low[i:j])
             swapped = rank_of(plain[i:j])
             if rank or swapped:

@@ -17,7 +17,8 @@ other file system; `export_files` copies them out as plain files.
 Defined results: null text is empty and gets the end id alone; null ids come last
 in the order; rows equal in id are ordered by text; an empty table gives no file
 and an empty result; extra columns are not read. Strings of special tokens in a
-text are taken as the tokenizer takes them by default.
+text are taken as the tokenizer takes them by default. Files hold ids of documents as 64-bit
+numbers, so ids of another type are refused. A very long text is encoded whole, and is a file by itself.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .arrowmap import map_rows
 from .common import table, text_of, written
@@ -185,6 +187,8 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     """The table of files: part and number in ascending document order, offset (tokens of
     its part before it), docs, tokens, content."""
     where = path or tokenizer_path()
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number")
 
     def run(batches: Iterator) -> Iterator[tuple]:
         encode, part = encoder(where), TaskContext.get().partitionId()
