@@ -78,13 +78,13 @@ def directory(hashes: DataFrame, limit_bytes: int) -> DataFrame:
         leaf = F.shiftright("_bits", DEEPEST - last)
         shards = written(_shards(written(_summed(hashes, leaf)), first, last, limit_bytes))
         done = shards if last == DEEPEST else shards.where(F.col("_b") <= limit_bytes)
-        part = hashes.select("_bits", leaf.alias("_leaf")).join(_by_leaf(done, last), "_leaf").select("_bits", "_d", "_p", "_b", "_n")
+        part = hashes.select("_bits", leaf.alias("_leaf")).join(_by_leaf(done, last).hint("merge"), "_leaf").select("_bits", "_d", "_p", "_b", "_n")
         placed = part if placed is None else placed.unionByName(part)
         over = shards.where(F.col("_b") > limit_bytes).select(F.col("_p").alias("_leaf"))
         if last == DEEPEST or over.isEmpty():
             return placed
         # On with the oversized buckets alone.
-        hashes = written(hashes.withColumn("_leaf", leaf).join(over, "_leaf", "left_semi").drop("_leaf"))
+        hashes = written(hashes.withColumn("_leaf", leaf).join(over.hint("merge"), "_leaf", "left_semi").drop("_leaf"))
         first, last = last, min(DEEPEST, last + STEP)
 
 
@@ -94,7 +94,8 @@ def shard(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...]
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\x1f"), text)
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), hash_bits(key).alias("_bits"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     hashes = written(rows.groupBy("_bits").agg(F.sum("n_bytes").alias("_b"), F.count("*").alias("_n")))
-    placed = rows.join(directory(hashes, limit_bytes), "_bits")
+    # Merged, not broadcast: the directory has a row for each document.
+    placed = rows.join(directory(hashes, limit_bytes).hint("merge"), "_bits")
     return placed.select(
         "doc_id",
         F.when(F.col("_d") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("_p").cast("string"), 10, 2), F.col("_d").cast("int"), F.lit("0"))).alias("shard"),
