@@ -105,7 +105,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, len(self.up) + 2**20)
             for name, base in (("up", _RADIX), ("down", _RADIX_INVERSE)):
                 steps = np.full(size, base, dtype=np.uint64)
                 steps[0] = 1
@@ -130,6 +130,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def step_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """span_hash of the spans of a width that start at each byte."""
+    n = len(prefix) - width
+    _, down = _POWERS.upto(len(prefix))
+    return mix64((prefix[width:] - prefix[:n]) * down[:n] + np.uint64(width))
+
+
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words [^ \\t-\\r]+ in raw bytes."""
     edge = np.diff(np.concatenate(([1], _IS_SPACE[raw].view(np.int8), [1])))

@@ -45,11 +45,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .arrowmap import bounded, map_rows, ship
-from .common import mix64, numbered, prefix_hash, span_hash, table, text_of
+from .common import mix64, numbered, prefix_hash, span_hash, step_hash, table, text_of
 
 DEPTH = 100
 BLOCK = 40
-UNIT_BYTES = 3 * 2**20
+UNIT_BYTES = 2 * 2**20
 #: Text whose runs meet in a bucket, about.
 BUCKET_BYTES = 8 * 2**20
 #: Windows of a bucket that are sorted at once.
@@ -170,16 +170,22 @@ class Unit:
             self.g = self.ctx = np.zeros(0, dtype=np.uint64)
             self.start = self.stop = self.row = self.anchor = np.zeros(0, dtype=np.int64)
         else:
-            at = np.arange(len(self.raw) - block + 1)
-            hashes = span_hash(self.prefix, at, at + block)
-            ranked = ((hashes >> _PLACE_BITS) << _PLACE_BITS) | at.astype(np.uint64)
-            least = _sliding_min(ranked, depth - block + 1)
-            first = np.repeat(self.begins - np.cumsum(windows) + windows, windows) + np.arange(total)
-            anchor = (least[first] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+            # Arrays of 8 bytes for each byte of text: as few at a time as can be.
+            ranked = step_hash(self.prefix, block)
+            ranked >>= _PLACE_BITS
+            ranked <<= _PLACE_BITS
+            ranked |= np.arange(len(ranked), dtype=np.uint64)
+            ranked = _sliding_min(ranked, depth - block + 1)
+            ranked &= (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+            first = np.arange(total)
+            first += np.repeat(self.begins - np.cumsum(windows) + windows, windows)
+            anchor = ranked[first].view(np.int64)
+            del ranked
             cut = np.flatnonzero(np.diff(anchor, prepend=-1))
             self.start, self.stop = first[cut], first[np.append(cut[1:], total) - 1]
             self.anchor = anchor[cut]
-            self.g = hashes[self.anchor]
+            del first, anchor
+            self.g = span_hash(self.prefix, self.anchor, self.anchor + block)
             shape = ((self.anchor - self.start) * 4096 + (self.stop - self.start)).astype(np.uint64)
             self.ctx = mix64(span_hash(self.prefix, self.start, self.stop + depth) ^ (shape * np.uint64(0x9E3779B97F4A7C15)))
             self.row = np.searchsorted(self.ends, self.start, side="right")
