@@ -238,6 +238,16 @@ def test_urls(spark):
         assert m[i].tolist() == [fnmatch.fnmatchcase(t, g) for g in globs]
 
 
+def test_urls_of_odd_rows(spark):
+    """Null ids, repeated rows, columns named like the results, and an empty table."""
+    df = spark.createDataFrame([(None, "http://a.net/es/x", "h", 1), (3, "http://a.net/es/x", "h", 1), (3, "http://a.net/es/x", "h", 1), (4, None, None, None)], "page_id long, url string, host string, id int")
+    got = Counter(tuple(r) for r in urls.filter_urls(df).drop("glob").collect())
+    assert got == Counter({(None, "a.net", "/es/x", "net/es/", "block"): 1, (3, "a.net", "/es/x", "net/es/", "block"): 2, (4, "", "", None, "allow"): 1})
+    assert urls.filter_urls(df.limit(0)).count() == 0
+    long = "http://a.org/" + "x" * 200_000 + ".exe"
+    assert urls.filter_urls(spark.createDataFrame([(1, long)], "page_id long, url string")).first()["verdict"] == "block"
+
+
 @pytest.mark.parametrize("unit,hot_runs", [(2_000, 2000), (10**9, 2000), (2_000, 2), (10**9, 2)])
 def test_substrings(docs, rows, empty, monkeypatch, unit, hot_runs):
     """Many units and one; with anchors whose windows are dealt one by one, and without."""
