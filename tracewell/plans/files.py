@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scoring, text
-from ..operators import digest, evaluate, export, search, tasks
+from ..operators import digest, evaluate, export, rollout, schemas, search, tasks
 from ..sources import loaders
 from . import views as v
 
@@ -272,3 +272,16 @@ def memo_answers(spark: SparkSession, d: str) -> DataFrame:
 def unique_ids(spark: SparkSession, d: str) -> DataFrame:
     """All rows, if no id repeats; else the query fails."""
     return evaluate.unique_or_raise(v.table(spark, d, "documents").select("doc_id"), "doc_id", "document").agg(F.count("*").alias("n"))
+
+
+# --- runs of a policy
+
+
+@query("""WITH d AS (SELECT doc_id, source, split_part(regexp_replace(text, '^[\\s]+', ''), ' ', 1) AS w, regexp_matches(text, '\\S') AS some FROM documents)
+SELECT 'i-' || doc_id AS instance_id, CASE WHEN some THEN 'ok' ELSE 'error' END AS status, CASE WHEN some THEN 4 ELSE 1 END::BIGINT AS events, CASE WHEN some THEN source || '.py' END AS file FROM d""")
+def scripted_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the scripted policy; it fails on a blank statement."""
+    work = v.table(spark, d, "documents").select(F.concat(F.lit("i-"), "doc_id").alias("instance_id"), F.col("text").alias("problem_statement"), F.concat("source", F.lit(".py")).alias("file"))
+    log = rollout.runs(work, rollout.scripted).withColumn("v", F.try_parse_json("action"))
+    found = F.max(F.when(F.col("kind") == "ActionEvent", F.get(schemas.locations(F.col("v")), F.lit(0))["file"]))
+    return log.groupBy("instance_id").agg(F.min("status").alias("status"), F.count("*").alias("events"), found.alias("file"))
