@@ -277,8 +277,8 @@ def unique_ids(spark: SparkSession, d: str) -> DataFrame:
 # --- runs of a policy
 
 
-@query("""WITH d AS (SELECT doc_id, source, split_part(regexp_replace(text, '^[\\s]+', ''), ' ', 1) AS w, regexp_matches(text, '\\S') AS some FROM documents)
-SELECT 'i-' || doc_id AS instance_id, CASE WHEN some THEN 'ok' ELSE 'error' END AS status, CASE WHEN some THEN 4 ELSE 1 END::BIGINT AS events, CASE WHEN some THEN source || '.py' END AS file FROM d""")
+@query("""WITH d AS (SELECT doc_id, source, split_part(regexp_replace(text, '^[\\s]+', ''), ' ', 1) AS w, regexp_matches(text, '\\S') AS worded FROM documents)
+SELECT 'i-' || doc_id AS instance_id, CASE WHEN worded THEN 'ok' ELSE 'error' END AS status, CASE WHEN worded THEN 4 ELSE 1 END::BIGINT AS events, CASE WHEN worded THEN source || '.py' END AS file FROM d""")
 def scripted_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of the scripted policy; it fails on a blank statement."""
     work = v.table(spark, d, "documents").select(F.concat(F.lit("i-"), "doc_id").alias("instance_id"), F.col("text").alias("problem_statement"), F.concat("source", F.lit(".py")).alias("file"))
