@@ -86,6 +86,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         *(F.col(c).alias(f"_keep_{c}") for c in keep),
     )
     base = base.withColumn("_bin", F.floor(F.log2(F.greatest(F.col("_key"), F.lit(1e-300))) * BINS).cast("int"))
+    if not keep:
+        base = written(base)  # without texts to carry it is small, and they are read once
     by_bin = written(base.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size")))
     sizes = by_bin.groupBy("source").agg(F.sum("_bin_size").alias("source_size"))
     plan = targets(sizes, weights, share, limit)
