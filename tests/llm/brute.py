@@ -209,3 +209,116 @@ def kneser_ney(texts, discounts, order):
         return low
 
     return p
+
+
+def token_bytes(path):
+    """Bytes of each id of a byte-level BPE in JSON, or of a sentencepiece model."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        m = SentencePieceProcessor(model_file=path)
+        return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("\u2581", " ").encode() for i in range(m.vocab_size())]
+    from tokenizers import Tokenizer, decoders
+
+    t, d = Tokenizer.from_file(path), decoders.ByteLevel()
+    shown = [t.id_to_token(i) for i in range(t.get_vocab_size())]
+    table = {}
+    for b in range(256):  # what stands for a byte is what the tokenizer itself writes for it
+        c = t.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] if b < 128 else None
+        if c:
+            table[c] = b
+    table |= {c: ord(c) for c in "".join(shown) if c not in table and ord(c) < 256}
+    rest = sorted({c for c in "".join(shown) if c not in table}, key=ord)
+    free = sorted(set(range(256)) - set(table.values()))
+    assert len(rest) <= len(free) and d
+    order = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    table |= {c: order[ord(c) - 256] for c in rest if ord(c) - 256 < len(order)}
+    return [bytes(table.get(c, 63) for c in s) for s in shown]
+
+
+def alignment(rows, a_path, b_path):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, sha)] of rows (doc_id, text), byte by byte."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a_tok, b_tok = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
+    a_tok.encode_special_tokens = True
+    a_bytes, b_bytes = token_bytes(a_path), token_bytes(b_path)
+    docs, count = [], Counter()
+    for d, t in rows:
+        raw, groups, pairs = (" " + (t or "")).encode(), [], []
+        a, b = (a_tok.encode(" " + t, add_special_tokens=False).ids, b_tok.encode(t)) if t else ([], [])
+        if not t or b"".join(a_bytes[i] for i in a) != raw or b"".join(b_bytes[i] for i in b) != raw:
+            docs.append((d, [], [], [], []))
+            continue
+        at_a, at_b = [k for k, i in enumerate(a) for _ in a_bytes[i]], [k for k, i in enumerate(b) for _ in b_bytes[i]]
+        seen = sorted(set(zip(at_a, at_b)))
+        pairs = [(a[x], b[y]) for x, y in seen]
+        group = ([], [])
+        for i in range(len(raw)):
+            last_a, last_b = i + 1 == len(raw) or at_a[i + 1] != at_a[i], i + 1 == len(raw) or at_b[i + 1] != at_b[i]
+            if last_a:
+                group[0].append(a[at_a[i]])
+            if last_b:
+                group[1].append(b[at_b[i]])
+            if last_a and last_b:
+                groups.append(group)
+                group = ([], [])
+        count.update(pairs)
+        docs.append((d, a, b, groups, pairs))
+    top = {}
+    for (_, y), n in count.items():
+        top[y] = max(n, top.get(y, 0))
+    out = []
+    for d, a, b, groups, pairs in docs:
+        shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((d, len(a), len(b), len(groups), len(pairs), sum(count[p] == top[p[1]] for p in pairs), sum(count[p] for p in pairs), hashlib.sha256(shown.encode()).hexdigest() if groups else ""))
+    return out
+
+
+RUN = re.compile("[A-Za-z\u00c0-\u00ff]+")
+
+
+def vocabulary(rows, drop=97):
+    """Counter of the runs of rows (doc_id, text), some of which lose a letter."""
+    import zlib
+
+    out = Counter()
+    for d, t in rows:
+        for w in RUN.findall(t or ""):
+            w = w.translate(UP)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            out[w if h % drop else w[: h % len(w)] + w[h % len(w) + 1 :]] += 1
+    return Counter({w: n for w, n in out.items() if len(w) >= 5 and n >= 3})
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def variants(count, ratio=2):
+    """{word: (form, root, n, n_near, form_n)}: words that share what is left after one deletion are compared letter by letter."""
+    share = defaultdict(set)
+    for w in count:
+        for k in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            share[k].add(w)
+    near = defaultdict(set)
+    for some in share.values():
+        for a in some:
+            near[a].update(b for b in some if one_edit(a, b))
+    form = {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda x: (-count[x], x), default=None)
+        form[w] = best if best is not None and count[best] >= ratio * n else None
+    out = {}
+    for w in count:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, count[w], len(near[w]), count[form[w]] if form[w] else None)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, mixing, neardup, quality, secrets, sharding, substrings, tokens, urls
+from . import alignment, decontaminate, lm, mixing, neardup, prefixes, quality, secrets, sharding, substrings, tokens, urls, variants
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_token_counts": prefixes.op12_token_counts,
+    "op13_variants": variants.op13_variants,
 }
 
 ORACLE_SQL = {
