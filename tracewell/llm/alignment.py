@@ -27,7 +27,9 @@ long text is a block by itself and is encoded whole.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +46,12 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_GROUPS = 2**20
 #: Longer pieces are not remembered.
 CACHE_LENGTH = 64
-#: Between the ids of A and of B in a key; no vocabulary is as large.
-_CUT = 2**32 - 1
 
 
-def _key(a: list[int], b: list[int]) -> bytes:
-    return np.array([*a, _CUT, *b], dtype="<u4").tobytes()
-
-
-def ids_of(key: bytes) -> tuple[list[int], list[int]]:
-    """The ids of A and of B of a group's key."""
-    ids = np.frombuffer(key, dtype="<u4").tolist()
-    at = ids.index(_CUT)
-    return ids[:at], ids[at + 1 :]
+def ids_of(key: str) -> tuple[list[int], list[int]]:
+    """The ids of A and of B of a group's key, which is written `a1,a2|b1`."""
+    a, b = key.split("|")
+    return list(map(int, a.split(","))), list(map(int, b.split(",")))
 
 
 class Aligner:
@@ -82,31 +77,35 @@ class Aligner:
         self.pattern = re.compile(r" \s*(?:\S++[^\S ]\s*)*\S*" if cuts else r"(?s:.+)")
         self.known = _Words(self._aligned)
 
-    def _aligned(self, piece: str) -> tuple[tuple[bytes, ...], str] | None:
-        """Keys of a piece's groups and their ids as text, or None if tokens don't join to it."""
-        a, b = self.a(piece).tolist(), self.b.encode(piece[1:], num_threads=1)  # B puts a space first itself
+    def _aligned(self, piece: str) -> tuple[str, ...] | None:
+        """Keys of a piece's groups, or None if tokens don't join to it."""
+        return self._groups(piece, self.b.encode(piece[1:], num_threads=1))  # B puts a space first itself
+
+    def _groups(self, piece: str, b: list[int]) -> tuple[str, ...] | None:
+        a, a_bytes, b_bytes = self.a(piece).tolist(), self.a_bytes, self.b_bytes
+        own, other = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
         raw = piece.encode("utf-8", "surrogatepass")
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+        if b"".join(own) != raw or b"".join(other) != raw:
             return None
-        keys, shown = [], []
-        i = j = at_a = at_b = i0 = j0 = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(self.a_bytes[a[i]])
-                i += 1
-            else:
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                keys.append(_key(a[i0:i], b[j0:j]))
-                shown.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+        ends = {at: j for j, at in enumerate(accumulate(map(len, other)), 1)}
+        keys = []
+        i0 = j0 = 0
+        for i, at in enumerate(accumulate(map(len, own)), 1):
+            if (j := ends.get(at)) is not None:
+                keys.append(f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
                 i0, j0 = i, j
-        return tuple(keys), ";".join(shown)
+        return tuple(keys)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers pieces; B encodes them in one call."""
+        new = [p for p in pieces if p not in self.known and p not in self.known.old]
+        for p, b in zip(new, self.b.encode([p[1:] for p in new], num_threads=1), strict=True):
+            self.known[p] = self._groups(p, b)
 
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(f" {text}")
 
-    def __call__(self, piece: str) -> tuple[tuple[bytes, ...], str] | None:
+    def __call__(self, piece: str) -> tuple[str, ...] | None:
         return self.known[piece] if len(piece) <= CACHE_LENGTH else self._aligned(piece)
 
 
@@ -127,15 +126,16 @@ class _Block(dict):
         self.align, self.number, self.docs, self.n = align, {}, [], 0
 
     def __missing__(self, piece: str) -> tuple[bytes, str] | None:
-        got = self.align(piece)
-        if got is not None:
-            got = np.array([self.number.setdefault(k, len(self.number)) for k in got[0]], dtype="<u4").tobytes(), got[1]
+        keys, number = self.align(piece), self.number
+        got = None if keys is None else (array("I", [number.setdefault(k, len(number)) for k in keys]).tobytes(), ";".join(keys))
         if len(piece) <= CACHE_LENGTH:
             self[piece] = got
         return got
 
     def add(self, row: int, text: str | None) -> None:
-        got = [self[p] for p in self.align.pieces(text)] if text else []
+        pieces = self.align.pieces(text) if text else []
+        self.align.learn([p for p in {*pieces} if p not in self and len(p) <= CACHE_LENGTH])
+        got = [self[p] for p in pieces]
         if not got or None in got:
             self.docs.append((row, "", np.zeros(0, dtype="<u4"), np.zeros(0, dtype="<u4")))
             return
@@ -146,8 +146,8 @@ class _Block(dict):
     def rows(self, block: int) -> Iterator[tuple]:
         """A row for each document, and one for each group."""
         keys = list(self.number)
-        n_a = np.array([np.frombuffer(k, dtype="<u4").tolist().index(_CUT) for k in keys], dtype=np.int64)
-        n_b = np.array([len(k) // 4 - 1 for k in keys], dtype=np.int64) - n_a
+        ids = [ids_of(k) for k in keys]
+        n_a, n_b = (np.array([len(x[side]) for x in ids], dtype=np.int64) for side in (0, 1))
         freq, docs = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         for doc_id, sha, groups, times in self.docs:
             freq[groups] += times
@@ -180,7 +180,7 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
         yield from block.rows(part * 2**32 + n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, groups binary, times binary, number int, key binary, freq long, in_docs long"
+    schema = f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, groups binary, times binary, number int, key string, freq long, in_docs long"
     return written(map_rows(docs.select("doc_id", "text"), run, schema))
 
 
@@ -214,7 +214,7 @@ def links(groups: DataFrame, a_path: str | None = None, b_path: str | None = Non
                 for (x, y), n in found.items():
                     yield key, freq, in_docs, x, y, n
 
-    return map_rows(groups.select("key", "freq", "in_docs"), run, "key binary, freq long, in_docs long, a int, b int, n long")
+    return map_rows(groups.select("key", "freq", "in_docs"), run, "key string, freq long, in_docs long, a int, b int, n long")
 
 
 def counts(linked: DataFrame, weight: str = "freq") -> DataFrame:

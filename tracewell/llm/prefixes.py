@@ -6,8 +6,8 @@ follow by dynamic programming over positions, count(i) = count(i - length) + 1,
 pairs of tokens that stay apart looked up and remembered, and no prefix is encoded.
 Byte-level BPE never merges across the words that its pattern cuts, and sentencepiece's
 across a space after other characters (if no piece of its vocabulary does), so each
-distinct stretch is worked out once while it is remembered, white space and the word
-behind it together, as the pattern cuts white space by what follows.
+distinct word is worked out once while it is remembered. Only where a prefix ends inside
+white space does the pattern cut it otherwise than the whole text; that place is mended.
 
 The counts of all prefixes are stored as differences, one a code point, which says how
 many tokens a truncated text has, and how long a prefix fits a budget, without encoding
@@ -28,6 +28,7 @@ very long stretch without white space, is counted whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,30 +39,26 @@ from .arrowmap import map_rows
 from .common import table, text_of, written
 from .tokens import Encoder, _Words, tokenizer_path
 
-#: Pairs of tokens, and stretches, that a worker remembers; longer stretches are not remembered.
+#: Pairs of tokens that a worker remembers; words that are longer are not remembered.
 KNOWN_PAIRS, KNOWN_LENGTH = 2_000_000, 64
 
 
-def _endings(tokens: list[str]) -> set[str]:
-    """All endings of tokens: what is none ends no token."""
-    return {t[i:] for t in tokens for i in range(len(t))}
-
-
 class _Counter:
-    """Counts by dynamic programming; `vocabulary` has the tokens as strings of symbols, `fits` says whether two stay apart."""
+    """Counts by dynamic programming over tokens given as strings of symbols."""
 
     def __init__(self, vocabulary: set[str]) -> None:
-        self.vocabulary, self.ends, self.pairs = vocabulary, _endings(list(vocabulary)), {}
+        #: All endings of tokens, and whether they are tokens: what isn't here ends no token.
+        self.ends = {t[i:]: False for t in vocabulary for i in range(1, len(t))} | dict.fromkeys(vocabulary, True)
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, symbols: str) -> list[str]:
         raise NotImplementedError
 
-    def fits(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+    def fits(self, pair: tuple[str, str]) -> bool:
+        """Whether two tokens stay apart."""
+        if len(self.pairs) >= KNOWN_PAIRS:
+            self.pairs.clear()
+        got = self.pairs[pair] = self.merged(pair[0] + pair[1]) == list(pair)
         return got
 
     def single(self, symbol: str) -> int:
@@ -70,20 +67,28 @@ class _Counter:
 
     def prefixes(self, symbols: str) -> list[int]:
         """Tokens of symbols[:1], symbols[:2], and so on."""
-        last: list[str | None] = [None] * (len(symbols) + 1)
-        count = [0] * (len(symbols) + 1)
-        ends, vocabulary, fits = self.ends, self.vocabulary, self.fits
+        last: list[str | None] = [None]
+        count = [0]
+        ends, pairs = self.ends.get, self.pairs.get
         for j in range(1, len(symbols) + 1):
             i = j - 1
-            while i >= 0 and (t := symbols[i:j]) in ends:
-                if t in vocabulary and ((p := last[i]) is None or fits(p, t)):
-                    last[j], count[j] = t, count[i] + 1
-                    break
+            t = symbols[i]
+            while (token := ends(t)) is not None:
+                if token:
+                    p = last[i]
+                    if p is None or (ok := pairs((p, t))) or (ok is None and self.fits((p, t))):
+                        last.append(t)
+                        count.append(count[i] + 1)
+                        break
                 i -= 1
+                if i < 0:
+                    raise AssertionError(f"no token ends {symbols[:j]!r}")
+                t = symbols[i:j]
             else:
-                if symbols[j - 1] in vocabulary:
+                if i < j - 1:
                     raise AssertionError(f"no token ends {symbols[:j]!r}")
-                count[j] = count[j - 1] + self.single(symbols[j - 1])  # nothing merges with it
+                last.append(None)  # nothing merges with it
+                count.append(count[-1] + self.single(t))
         return count[1:]
 
 
@@ -104,41 +109,41 @@ class ByteLevel(_Counter):
             raise ValueError("special tokens that take white space along can't be counted")
         super().__init__(set(self.encoder.whole.get_vocab(with_added_tokens=False)))
         self.special = regex.compile("|".join(map(re.escape, sorted(self.encoder.special, key=len, reverse=True)))) if self.encoder.special else None
-        self.stretch, self.ascii_stretch = regex.compile(r"\s*\S+|\s+"), re.compile(r"\s*\S+|\s+", re.ASCII)
-        self.space = regex.compile(r"\s*")
-        self.words, self.stretches = _Words(self._word), _Words(self._stretch)
+        self.spaces, self.ascii_spaces = regex.compile(r"\s{2,}"), re.compile(r"\s{2,}", re.ASCII)
+        self.words = _Words(self._word)
 
     def merged(self, symbols: str) -> list[str]:
         return [t.value for t in self.encoder.merges.tokenize(symbols)]
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Tokens of every prefix of what the pattern doesn't cut."""
-        if word.isascii():
-            return tuple(self.prefixes(word.encode().decode("latin-1").translate(self.encoder.letters)))
+    def _counts(self, word: str) -> list[int]:
+        """Tokens of every prefix of what the pattern doesn't cut, were it not cut either."""
         raw = word.encode("utf-8", "surrogatepass")
         counts = self.prefixes(raw.decode("latin-1").translate(self.encoder.letters))
-        return tuple(c for c, b in zip(counts, [*raw[1:], 0], strict=True) if b & 0xC0 != 0x80)
-
-    def _stretch(self, text: str) -> bytes:
-        """Differences of the counts of white space and the word behind it."""
-        spaces = self.space.match(text).end()
-        known = self.words.__getitem__ if len(text) <= KNOWN_LENGTH else self._word
-        counts = list(known(text[:spaces])) if spaces else []  # a prefix that ends in white space has it as one word
-        at = base = 0
-        for word in self.encoder.pattern.findall(text):
-            own, end = known(word), at + len(word)
-            if end > spaces:
-                if word in ("'re", "'ve", "'ll"):
-                    own = (own[0], own[0] + known(word[1])[0], own[2])  # the pattern knows the whole ending alone
-                counts += [base + c for c in own[max(0, spaces - at) :]]
-            at, base = end, base + own[-1]
-        return np.diff(np.array(counts, dtype=np.int32), prepend=np.int32(0)).tobytes()
+        return counts if word.isascii() else [c for c, b in zip(counts, [*raw[1:], 0], strict=True) if b & 0xC0 != 0x80]
+
+    def _word(self, word: str) -> bytes:
+        """Differences of the counts of a word's prefixes."""
+        counts = self._counts(word)
+        if word in ("'re", "'ve", "'ll"):
+            counts[1] = counts[0] + self._counts(word[1])[0]  # the pattern knows the whole ending alone
+        return array("i", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
     def _plain(self, text: str) -> np.ndarray:
         """Differences of a text without special tokens."""
-        cut = (self.ascii_stretch if text.isascii() else self.stretch).findall(text)
-        known = self.stretches
-        return np.frombuffer(b"".join([known[s] if len(s) <= KNOWN_LENGTH else self._stretch(s) for s in cut]), dtype=np.int32)
+        known, ascii_ = self.words, text.isascii()
+        words = (self.encoder.ascii if ascii_ else self.encoder.pattern).findall(text)
+        out = np.frombuffer(b"".join([known[w] if len(w) <= KNOWN_LENGTH else self._word(w) for w in words]), dtype=np.int32)
+        # The pattern leaves the last of several white spaces to what follows; a prefix that ends there has them all as one word.
+        fixed = None
+        for m in (self.ascii_spaces if ascii_ else self.spaces).finditer(text):
+            at = m.end() - 1
+            if at + 1 < len(text):
+                run = np.frombuffer(known[m[0]] if len(m[0]) <= KNOWN_LENGTH else self._word(m[0]), dtype=np.int32)
+                fixed = out.copy() if fixed is None else fixed
+                more = run[-1] - out[at]
+                fixed[at] += more
+                fixed[at + 1] -= more
+        return out if fixed is None else fixed
 
     def __call__(self, text: str) -> np.ndarray:
         if self.special is None or not any(s in text for s in self.encoder.special):
@@ -182,7 +187,8 @@ class Pieces(_Counter):
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def _stretch(self, symbols: str) -> bytes:
-        return np.diff(np.array(self.prefixes(symbols), dtype=np.int32), prepend=np.int32(0)).tobytes()
+        counts = self.prefixes(symbols)
+        return array("i", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
