@@ -54,6 +54,24 @@ def test_alignment_odd(odd, size):
     assert bag(got) == Counter(plain_alignment([r[:2] for r in odd.collect()], A, B))
 
 
+def test_alignment_forgets(monkeypatch, odd):
+    """Numbers of groups start anew at a block, words and pieces are dropped: the blocks' tables say the same."""
+    rows = [r[:2] for r in odd.collect()]
+
+    def said(limit):
+        monkeypatch.setattr(alignment, "KNOWN_GROUPS", limit)
+        align, out = alignment.Aligner(A, B), []
+        align.known.limit = align.a.words.limit = 10 if limit < 100 else 10**6
+        for d, t in rows:
+            block = alignment._Block(align)
+            block.add(d, t)
+            out += [r[:6] for r in block.rows(0) if r[8] is None]
+            out.append(sorted((r[9], r[10]) for r in block.rows(0) if r[8] is not None))
+        return out
+
+    assert said(5) == said(10**9)
+
+
 def test_alignment_empty(empty):
     assert alignment.measured(alignment.aligned(empty)).count() == 0
     assert alignment.best_matches(empty).count() == 0
@@ -78,10 +96,10 @@ def test_best_matches(spark):
 
 def test_groups_of_key():
     align = alignment.Aligner(A, B)
-    keys = align._aligned(" tokenization")
-    assert [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in map(alignment.ids_of, keys)] == list(keys)
+    keys = [align.keys[i] for i in align("tokenization of it")]
+    assert [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in map(alignment.ids_of, keys)] == keys
     assert all(b"".join(align.a_bytes[i] for i in a) == b"".join(align.b_bytes[i] for i in b) for a, b in map(alignment.ids_of, keys))
-    assert align._aligned(" x\u2581y") is None
+    assert len(align("x\u2581y")) == 0
 
 
 def test_op12(spark):

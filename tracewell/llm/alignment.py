@@ -46,6 +46,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_GROUPS = 2**20
 #: Longer pieces are not remembered.
 CACHE_LENGTH = 64
+#: Words of A, and distinct groups, that a worker remembers.
+KNOWN_WORDS, KNOWN_GROUPS = 200_000, 2**20
 
 
 def ids_of(key: str) -> tuple[list[int], list[int]]:
@@ -64,6 +66,7 @@ class Aligner:
         if self.a.pattern is None:
             raise ValueError("A must be a byte-level BPE")
         self.a.special = []
+        self.a.words.limit = KNOWN_WORDS
         self.a.whole.encode_special_tokens = True
         byte_of = {c: b for b, c in self.a.letters.items()}
         self.a_bytes = [b""] * self.a.whole.get_vocab_size()
@@ -75,38 +78,47 @@ class Aligner:
         # A piece: from a space up to the next that follows other than white space.
         cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.pattern = re.compile(r" \s*(?:\S++[^\S ]\s*)*\S*" if cuts else r"(?s:.+)")
+        self.forget()
+
+    def forget(self) -> None:
+        """Groups are numbered anew."""
+        self.keys: list[str] = []
+        self.number: dict[str, int] = {}
         self.known = _Words(self._aligned)
 
-    def _aligned(self, piece: str) -> tuple[str, ...] | None:
-        """Keys of a piece's groups, or None if tokens don't join to it."""
+    def _aligned(self, piece: str) -> bytes:
+        """Numbers of a piece's groups as unsigned 32-bit integers; none if tokens don't join to it."""
         return self._groups(piece, self.b.encode(piece[1:], num_threads=1))  # B puts a space first itself
 
-    def _groups(self, piece: str, b: list[int]) -> tuple[str, ...] | None:
+    def _groups(self, piece: str, b: list[int]) -> bytes:
         a, a_bytes, b_bytes = self.a(piece).tolist(), self.a_bytes, self.b_bytes
         own, other = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
         raw = piece.encode("utf-8", "surrogatepass")
         if b"".join(own) != raw or b"".join(other) != raw:
-            return None
+            return b""
         ends = {at: j for j, at in enumerate(accumulate(map(len, other)), 1)}
-        keys = []
+        number, out = self.number, []
         i0 = j0 = 0
         for i, at in enumerate(accumulate(map(len, own)), 1):
             if (j := ends.get(at)) is not None:
-                keys.append(f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+                key = f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}"
+                n = number.get(key)
+                if n is None:
+                    n = number[key] = len(number)
+                    self.keys.append(key)
+                out.append(n)
                 i0, j0 = i, j
-        return tuple(keys)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers pieces; B encodes them in one call."""
-        new = [p for p in pieces if p not in self.known and p not in self.known.old]
-        for p, b in zip(new, self.b.encode([p[1:] for p in new], num_threads=1), strict=True):
-            self.known[p] = self._groups(p, b)
+        return array("I", out).tobytes()
 
-    def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(f" {text}")
-
-    def __call__(self, piece: str) -> tuple[str, ...] | None:
-        return self.known[piece] if len(piece) <= CACHE_LENGTH else self._aligned(piece)
+    def __call__(self, text: str) -> np.ndarray:
+        """Numbers of the text's groups; none if tokens don't join to it."""
+        known, pieces = self.known, self.pattern.findall(f" {text}")
+        new = [p for p in {*pieces} if p not in known and p not in known.old and len(p) <= CACHE_LENGTH]
+        # B encodes in one call what is new.
+        made = dict(zip(new, map(self._groups, new, self.b.encode([p[1:] for p in new], num_threads=1) if new else []), strict=True))
+        known.encode = lambda p: made[p] if p in made else self._aligned(p)
+        parts = [known[p] if len(p) <= CACHE_LENGTH else self._aligned(p) for p in pieces]
+        return np.frombuffer(b"" if b"" in parts else b"".join(parts), dtype=np.uint32)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -119,41 +131,33 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
-class _Block(dict):
-    """Documents and the dictionary of their groups; by piece, the groups' numbers as bytes and their ids as text."""
+class _Block:
+    """Documents, with the numbers that their groups have in the worker."""
 
     def __init__(self, align: Aligner) -> None:
-        self.align, self.number, self.docs, self.n = align, {}, [], 0
-
-    def __missing__(self, piece: str) -> tuple[bytes, str] | None:
-        keys, number = self.align(piece), self.number
-        got = None if keys is None else (array("I", [number.setdefault(k, len(number)) for k in keys]).tobytes(), ";".join(keys))
-        if len(piece) <= CACHE_LENGTH:
-            self[piece] = got
-        return got
-
-    def add(self, row: int, text: str | None) -> None:
-        pieces = self.align.pieces(text) if text else []
-        self.align.learn([p for p in {*pieces} if p not in self and len(p) <= CACHE_LENGTH])
-        got = [self[p] for p in pieces]
-        if not got or None in got:
-            self.docs.append((row, "", np.zeros(0, dtype="<u4"), np.zeros(0, dtype="<u4")))
-            return
-        groups, times = np.unique(np.frombuffer(b"".join([g for g, _ in got]), dtype="<u4"), return_counts=True)
-        self.docs.append((row, hashlib.sha256(";".join([s for _, s in got]).encode()).hexdigest(), groups, times.astype("<u4")))
-        self.n += int(times.sum())
+        if len(align.keys) > KNOWN_GROUPS:
+            align.forget()
+        self.align, self.docs, self.n = align, [], 0
+
+    def add(self, doc_id, text: str | None) -> None:
+        numbers = self.align(text) if text else np.zeros(0, dtype=np.uint32)
+        groups, times = np.unique(numbers, return_counts=True)
+        sha = hashlib.sha256(";".join(map(self.align.keys.__getitem__, numbers.tolist())).encode()).hexdigest() if len(numbers) else ""
+        self.docs.append((doc_id, sha, groups, times))
+        self.n += len(numbers)
 
     def rows(self, block: int) -> Iterator[tuple]:
-        """A row for each document, and one for each group."""
-        keys = list(self.number)
-        ids = [ids_of(k) for k in keys]
-        n_a, n_b = (np.array([len(x[side]) for x in ids], dtype=np.int64) for side in (0, 1))
+        """A row for each document, and one for each of the block's groups."""
+        here = np.unique(np.concatenate([g for _, _, g, _ in self.docs])) if self.docs else np.zeros(0, dtype=np.uint32)
+        keys = [self.align.keys[i] for i in here.tolist()]
+        n_a = np.array([k.count(",", 0, k.index("|")) + 1 for k in keys], dtype=np.int64)
+        n_b = np.array([k.count(",") + 2 for k in keys], dtype=np.int64) - n_a
         freq, docs = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        for doc_id, sha, groups, times in self.docs:
-            freq[groups] += times
-            docs[groups] += 1
-            m = times.astype(np.int64)
-            yield block, doc_id, int(m @ n_a[groups]), int(m @ n_b[groups]), int(m.sum()), sha, groups.tobytes(), times.tobytes(), None, None, None, None
+        for doc_id, sha, groups, m in self.docs:
+            at = np.searchsorted(here, groups)
+            freq[at] += m
+            docs[at] += 1
+            yield block, doc_id, int(m @ n_a[at]), int(m @ n_b[at]), int(m.sum()), sha, at.astype("<u4").tobytes(), m.astype("<u4").tobytes(), None, None, None, None
         for i, (k, f, d) in enumerate(zip(keys, freq.tolist(), docs.tolist(), strict=True)):
             yield block, None, None, None, None, None, None, None, i, k, f, d
 

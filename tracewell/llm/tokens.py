@@ -113,14 +113,14 @@ def unpacked_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndar
 class _Words(dict):
     """Ids of a word's text as bytes; words of the last two generations are kept."""
 
-    def __init__(self, encode) -> None:
-        self.encode, self.old = encode, {}
+    def __init__(self, encode, limit: int = CACHE_WORDS) -> None:
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[word] = ids
