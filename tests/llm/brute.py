@@ -133,9 +133,71 @@ def plain_guess_cost(value, rank, secrets):
     return best[-1]
 
 
+def credential_name(name):
+    """Cuts a name into words letter by letter."""
+    words, word = [], ""
+    for i, c in enumerate(name):
+        up, low = c in string.ascii_uppercase, c in string.ascii_lowercase
+        after = name[i + 1 : i + 2]
+        if up and word and (word[-1].islower() or (after and after in string.ascii_lowercase)):
+            words.append(word)
+            word = ""
+        if up or low:
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    words = [w.lower() for w in [*words, word] if w]
+    words = [w if w == "pass" or not w.endswith("s") else w[:-1] for w in words]
+    whole = "password passwd passphrase passcode pass pwd secret token credential auth authorization authentication".split()
+    ends = "password passwd passphrase passcode pwd secret token credential apikey accesskey secretkey privatekey authkey".split()
+    return bool(words) and (words[-1] == "key" or any(w in whole or any(w[-len(e) :] == e for e in ends) or any(w[: len(e)] == e for e in ("password", "passwd", "passphrase", "pwd")) for w in words))
+
+
+def plain_value(text, k):
+    """(start, end) of the value at k."""
+
+    def scheme(k, stop):
+        j = k
+        while j < stop and text[j] in string.ascii_letters:
+            j += 1
+        e = j
+        while e < stop and text[e] in " \t":
+            e += 1
+        ok = text[k:j].lower() in ("bearer", "basic", "digest", "token", "negotiate", "apikey", "bot") and e > j and e < len(text) and not text[e].isspace()
+        return e if ok else k
+
+    n = len(text)
+    k = scheme(k, n)
+    q = text[k : k + 1]
+    if q and q in "\"'`":
+        e = k + 1
+        while e < n and text[e] != q and text[e] not in "\n\r":
+            e += 2 if text[e] == "\\" and text[e + 1 : e + 2] not in ("", "\n", "\r") else 1 if text[e] != "\\" else n
+        if e < n and text[e] == q:
+            return (scheme(k + 1, e) if scheme(k + 1, e) <= e else k + 1), e
+        k += 1
+    if text[k : k + 1] and text[k] in "[{(" and (k + 1 == n or text[k + 1].isspace() or text[k + 1] in "\"'`[{("):
+        return k, k
+    opened, e = [], k
+    while e < n and not text[e].isspace():
+        c = text[e]
+        if c in "([{<":
+            opened.append(c)
+        elif c in ")]}>":
+            o = "([{<"[")]}>".index(c)]
+            if o in opened:
+                while opened.pop() != o:
+                    pass
+            elif c != ">":
+                break
+        e += 1
+    return k, e
+
+
 def all_spans(text, rank, secrets):
     """kind:start:end of base spans and of guessed ones: names and values are read character by character."""
-    text, name = text or "", set(string.ascii_letters + string.digits + "_-")
+    text, name = text or "", set(string.ascii_letters + string.digits + "_.-")
     base = [s.split(":") for s in secret_spans(text)]
     covered = {i for _, s, e in base for i in range(int(s), int(e))}
     found, i, n = [], 0, len(text)
@@ -146,7 +208,8 @@ def all_spans(text, rank, secrets):
         j = i
         while j < n and text[j] in name:
             j += 1
-        k = j + (text[j : j + 1] in ("'", '"') and j < n)
+        k = j + (j < n and text[j] in "\"'`")
+        k += text[k : k + 1] == "]"
         while k < n and text[k] in " \t":
             k += 1
         sign = next((x for x in (":=", "=>", ":", "=") if text.startswith(x, k)), None)
@@ -156,19 +219,15 @@ def all_spans(text, rank, secrets):
         k += len(sign)
         while k < n and text[k] in " \t":
             k += 1
-        k += text[k : k + 1] in ("'", '"') and k < n
-        e = k
-        while e < n and not (text[e] in " \t\n\r\f\v" or text[e] in "\"'<>,;()[]{}"):
-            e += 1
-        if e - k < 6:
-            i = j
+        if not credential_name(text[i:j]):
+            i = k
             continue
-        credential = secrets._CREDENTIAL.search(text[i:j])
-        value = text[k:e].rstrip(".:!?")
-        if credential and len(value) >= 6 and not set(range(k, k + len(value))) <= covered:
-            if plain_guess_cost(value, rank, secrets) >= secrets.LEAST_GUESSES + secrets.MORE_FOR_WORDS * secrets._plain_words(value):
-                found.append((k, 3, f"guess:{k}:{k + len(value)}"))
-        i = e
+        s, e = plain_value(text, k)
+        value = text[s:e]
+        if value and not set(range(s, e)) <= covered and not secrets._ELSEWHERE.fullmatch(value):
+            if plain_guess_cost(value, rank, secrets) >= secrets.least_cost(value):
+                found.append((s, 3, f"guess:{s}:{e}"))
+        i = max(k, e)
     order = {k: i for i, k in enumerate(secrets.KINDS)}
     spans = [(int(s), order[k], f"{k}:{s}:{e}") for k, s, e in base] + found
     return [x for _, _, x in sorted(spans)]

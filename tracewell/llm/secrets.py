@@ -12,6 +12,11 @@ The dictionary is the words of a public tokenizer's vocabulary in the order of t
 merges, which is about that of their frequency, behind the words that people choose
 for passwords. Its path is a parameter. Neither names nor values have a length limit.
 
+A name is judged by its words (`userPassword`, `db_pwd`, `encryption-key`). A quoted value
+runs to its closing quote, another one to white space or to a bracket that closes none of
+its own; the word before a header's value (`Bearer`) is stepped over. A reference to a
+value that is elsewhere (`${NAME}`, `<name>`, `call(name)`) is none.
+
 Spans are `kind:start:end` in code points of the whole text, end exclusive.
 
 Defined results: a null text counts as empty and has no spans; null ids, equal
@@ -61,12 +66,26 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-# A name, a sign and a value. A name is tried from its start alone, so the time is linear in the text.
-_NAMED = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]+)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>,;()\[\]{}]{6,})""", re.ASCII)
-_CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key)", re.IGNORECASE | re.ASCII)
+# A name and a sign; the name is tried from its start alone and given up whole, so the time is linear in the text.
+_NAMED = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["'`]?\]?[ \t]*+(?::=|=>|[:=])[ \t]*+""", re.ASCII)
+_NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+# Words of names that make a credential, what such words end in when run together, and what they begin with.
+CREDENTIAL_WORDS = frozenset("password passwd passphrase passcode pass pwd secret token credential auth authorization authentication".split())
+CREDENTIAL_ENDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "apikey", "accesskey", "secretkey", "privatekey", "authkey")
+CREDENTIAL_BEGINS = ("password", "passwd", "passphrase", "pwd")
+# Words before the value of a header.
+_SCHEME = re.compile(r"(?:bearer|basic|digest|token|negotiate|apikey|bot)[ \t]++(?=\S)", re.IGNORECASE | re.ASCII)
+_QUOTED = {q: re.compile(rf"(?:[^{q}\\\n\r]|\\[^\n\r])*+(?={q})") for q in "\"'`"}
+_UNQUOTED = re.compile(r"\S+")
+_BRACKETS = re.compile(r"[()\[\]{}<>]")
+_CLOSES = {")": "(", "]": "[", "}": "{", ">": "<"}
 # Lower-case words, perhaps with a capital, and what may join them.
-_PLAIN_WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[-_./'\u2019](?=[^\W\d_]))*")
+_PLAIN_WORDS = re.compile(r"[^\W\d_](?:[^\W\d_]|[-_./'\u2019](?=[^\W\d_]))*[.,;:!?]*")
 _INNER_CAPITAL = re.compile(r"(?<=[^\W\d_])[^\W\d_]")
+# What stands for a value that is somewhere else: a variable, a template's place, a call.
+_ELSEWHERE = re.compile(r"\$\{[^{}]*\}|\$\([^()]*\)|\{\{[^{}]*\}\}|\$[A-Za-z_]+|%[A-Za-z_]+%|<[A-Za-z_ -]+>|[A-Za-z_][A-Za-z_.]*\([A-Za-z_., ]*\)[;,]?")
+# A structure begins, not a value.
+_STRUCTURE = re.compile(r"[\[{(](?=[\s\"'`\[{(]|$)")
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
 
@@ -163,7 +182,47 @@ def guess_cost(value: str, enough: float = math.inf, words: Dictionary | None =
 
 def _plain_words(value: str) -> bool:
     """Whether value is lower-case words alone, each perhaps with an initial capital."""
-    return bool(_PLAIN_WORDS.fullmatch(value)) and not any(c.isupper() for c in _INNER_CAPITAL.findall(value))
+    parts = value.split()
+    return bool(parts) and all(_PLAIN_WORDS.fullmatch(p) and not any(c.isupper() for c in _INNER_CAPITAL.findall(p)) for p in parts)
+
+
+def least_cost(value: str, least: float = LEAST_GUESSES) -> float:
+    """The power of ten of guesses that make value a secret: what joins plain words makes them none."""
+    return least + MORE_FOR_WORDS + math.log10(33) * sum(not c.isalpha() for c in value) if _plain_words(value) else least
+
+
+def is_credential(name: str) -> bool:
+    """Whether a name says that its value is one: by its words, split at capitals and joints, or by `key` at its end."""
+    words = [w.lower().removesuffix("s") if w.lower() != "pass" else "pass" for w in _NAME_WORD.findall(name)]
+    return bool(words) and (words[-1] == "key" or any(w in CREDENTIAL_WORDS or w.endswith(CREDENTIAL_ENDS) or w.startswith(CREDENTIAL_BEGINS) for w in words))
+
+
+def value_span(text: str, start: int) -> tuple[int, int]:
+    """(start, end) of the value at a place: to the closing quote of the line, or, without quotes, to white space or to a bracket that closes none of the value's."""
+    if m := _SCHEME.match(text, start):
+        start = m.end()
+    if (q := _QUOTED.get(text[start : start + 1])) and (m := q.match(text, start + 1)):
+        # In quotes, too, a scheme word may come first.
+        inner = _SCHEME.match(text, start + 1, m.end())
+        return inner.end() if inner else start + 1, m.end()
+    start += q is not None
+    if _STRUCTURE.match(text, start) or not (m := _UNQUOTED.match(text, start)):
+        return start, start
+    end = m.end()
+    opened: list[str] = []
+    held = dict.fromkeys(_CLOSES.values(), 0)
+    for b in _BRACKETS.finditer(text, start, end):
+        c = b[0]
+        if c in held:
+            opened.append(c)
+            held[c] += 1
+        elif held[_CLOSES[c]]:
+            while (last := opened.pop()) != _CLOSES[c]:
+                held[last] -= 1
+            held[last] -= 1
+        elif c != ">":
+            return start, b.start()
+    return start, end
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -198,17 +257,20 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float = LE
         return []
     out = []
     starts, ends = _merged(base)
-    for m in _NAMED.finditer(text):
-        if not _CREDENTIAL.search(m[1]):
+    at = 0
+    while m := _NAMED.search(text, at):
+        at = m.end()
+        if not is_credential(m[1]):
             continue
-        start = m.start(2)
-        value = m[2].rstrip(".:!?")
+        start, end = value_span(text, at)
+        at = max(at, end)
+        value = text[start:end]
         k = bisect_right(starts, start) - 1
-        if len(value) < 6 or (k >= 0 and start + len(value) <= ends[k]):
+        if not value or (k >= 0 and end <= ends[k]) or _ELSEWHERE.fullmatch(value):
             continue
-        needed = least + MORE_FOR_WORDS * _plain_words(value)
+        needed = least_cost(value, least)
         if guess_cost(value, needed, words) >= needed:
-            out.append((start, 3, start + len(value)))
+            out.append((start, 3, end))
     return out
 
 
