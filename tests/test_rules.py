@@ -112,7 +112,7 @@ def test_memo(spark):
     rows = spark.createDataFrame([("a", 10, 90, "ok"), ("b", 80, 80, "ok"), ("c", 85, 85, "ok")], "key string, s int, u int, status string")
     memo = rows.select("key", F.timestamp_seconds("s").alias("stored_at"), F.timestamp_seconds("u").alias("used_at"), "status")
     assert {r["key"] for r in digest.fresh(memo, at(100), 30).collect()} == {"b", "c"}
-    after = digest.used(memo, spark.createDataFrame([("b",)], "key string"), at(99))
+    after = digest.used(memo, spark.createDataFrame([("b",)], "key string"), at(99), 30)
     assert {r["key"]: r["used_at"].second + 60 * r["used_at"].minute for r in after.collect()} == {"a": 90, "b": 99, "c": 85}
     new = spark.createDataFrame([("d", "ok"), ("e", "error")], "key string, status string").select("key", at(100).alias("stored_at"), at(100).alias("used_at"), "status")
     assert {r["key"] for r in digest.stored(after, new, 2).collect()} == {"d", "b"}

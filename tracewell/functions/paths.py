@@ -67,9 +67,10 @@ def qualified(path: Column, name: Column) -> Column:
 
 
 def glob_error(pattern: str) -> str | None:
-    if not pattern or pattern.startswith(("/", "~")) or re.match(r"[A-Za-z]:", pattern):
+    slashed = pattern.replace("\\", "/")
+    if not pattern or slashed.startswith("/"):
         return "pattern must be relative"
-    return "pattern must not contain .." if ".." in pattern.split("/") else None
+    return "pattern must not contain .." if ".." in slashed.split("/") else None
 
 
 def bracket(glob: str, at: int) -> tuple[str, int]:

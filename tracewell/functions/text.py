@@ -13,9 +13,7 @@ READ_LINES, SEARCH_LINES, CONTEXT_LINES = r"\r\n|\n|\r", r"\n", r"\r\n|[\n\r\x0b
 
 def lines(c: Column, model: str = READ_LINES) -> Column:
     """The lines of a text; an ending line break adds none."""
-    cut = F.split(c, model, -1)
-    whole = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))).otherwise(cut)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(whole)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, rf"(?:{model})\z", ""), model, -1))
 
 
 def fingerprint(*parts: Column) -> Column:

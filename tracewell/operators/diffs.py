@@ -29,7 +29,7 @@ def _named(raw: str) -> str | None:
 
 def diff_lines(patch: str) -> Iterator[tuple]:
     """Rows of LINE_SCHEMA. A file without hunks gives one row with hunk -1."""
-    rows = patch.splitlines(keepends=True)
+    rows = re.findall(r"[^\n]*\n|[^\n]+", patch)  # a form feed, a lone carriage return or U+2028 ends no line
     i = 0
     while i < len(rows):
         if not rows[i].startswith("--- "):

@@ -29,10 +29,10 @@ def cache_key(*parts: Column) -> Column:
 
 
 def fresh(memo: DataFrame, now: Column, seconds: int) -> DataFrame:
-    """Entries (key, stored_at, status, ...) of a memo table that may answer: stored as ok and young enough; the latest of each key."""
+    """Entries (key, stored_at, status, ...) of a memo table that may answer: stored as ok and young enough; the latest of each key (ties: the largest in its other columns)."""
     young = memo.where((F.col("status") == "ok") & (F.col("stored_at") + F.expr(f"INTERVAL {int(seconds)} SECONDS") > now))
-    rest = [c for c in memo.columns if c != "key"]
-    return young.groupBy("key").agg(F.max_by(F.struct(*rest), "stored_at").alias("_e")).select("key", "_e.*")
+    rest = [c for c in memo.columns if c not in ("key", "stored_at")]
+    return young.groupBy("key").agg(F.max(F.struct("stored_at", *rest)).alias("_e")).select("key", *[F.col(f"_e.{c}").alias(c) for c in memo.columns if c != "key"])
 
 
 def stored(memo: DataFrame, answers: DataFrame, size: int) -> DataFrame:
@@ -42,7 +42,9 @@ def stored(memo: DataFrame, answers: DataFrame, size: int) -> DataFrame:
     return both.orderBy(F.col("used_at").desc(), "key").limit(size)
 
 
-def used(memo: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
-    """memo after looking keys up: their entries count as used now, but are as old as before."""
+def used(memo: DataFrame, keys: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """memo after looking keys up: their entries count as used now, but are as old as before; those that are too old to answer are dropped."""
     hit = keys.select("key").distinct().withColumn("_hit", F.lit(True))
-    return memo.join(hit, "key", "left").withColumn("used_at", F.when(F.col("_hit"), now).otherwise(F.col("used_at"))).select(*memo.columns)
+    rows = memo.join(hit, "key", "left")
+    rows = rows.where(F.col("_hit").isNull() | (F.col("stored_at") + F.expr(f"INTERVAL {int(seconds)} SECONDS") > now))
+    return rows.withColumn("used_at", F.when(F.col("_hit"), now).otherwise(F.col("used_at"))).select(*memo.columns)

@@ -8,27 +8,33 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import bracket, component_order, glob_error, glob_regex, ignored
+from ..functions.regexes import Expression, ExpressionError, translated
 from ..functions.text import CONTEXT_LINES, READ_LINES, SEARCH_LINES, lines
 
 MOST_RESULTS, MOST_CHARS, MOST_BYTES = 100, 30_000, 5 * 2**20
 DEFAULT_LINES, MOST_LINES = 200, 500
-#: What a linear-time regular expression engine refuses: look-around and back references.
-_REFUSED = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<")
+
+
+def expression(pattern: str, spark: SparkSession) -> Expression:
+    """The translated pattern; ValueError says why there is none."""
+    out = translated(pattern)
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(out.java)
+    except Py4JJavaError as e:  # a script or a size that the JVM doesn't know
+        raise ExpressionError(f"invalid pattern: {e.java_exception.getMessage()}") from None
+    return out
 
 
 def pattern_error(pattern: str) -> str | None:
-    if not pattern:
-        return "pattern is empty"
-    if _REFUSED.search(pattern):
-        return "look-around and back references are not supported"
     try:
-        re.compile(pattern)
-    except re.error as e:
-        return f"invalid pattern: {e}"
+        translated(pattern)
+    except ExpressionError as e:
+        return str(e)
     return None
 
 
@@ -97,7 +103,8 @@ def grep_search(files: DataFrame, pattern: str, include: str | None = None, limi
     files are left out. A file that is itself the start path is searched whatever it is.
     The top `limit` + 1 lines are taken before the running sum, which is thus over a bounded number of rows.
     """
-    if error := pattern_error(pattern) or start_error(path):
+    java = expression(pattern, files.sparkSession).java
+    if error := start_error(path):
         raise ValueError(error)
     within, exact = _under(path)
     named = files.where(within)
@@ -111,9 +118,11 @@ def grep_search(files: DataFrame, pattern: str, include: str | None = None, limi
     elif include:
         shown = F.col("path").rlike(include_regex(include)) & ~hidden(F.slice(parts, 1, F.size(parts) - 1))
     kept = named.where((F.octet_length("text") <= MOST_BYTES) & (exact | (shown & ~F.contains("text", F.lit("\0")))))
-    rows = kept.select("path", F.posexplode(lines(F.col("text"), SEARCH_LINES)).alias("at", "raw")).select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"[\r\n]+\z", "").alias("text"))
-    top = rows.where(F.col("text").rlike(pattern)).orderBy(parts, "line").limit(limit + 1)
-    top = top.withColumns({"_o": F.struct(parts, "line"), "match": F.concat_ws(":", "path", F.col("line").cast("string"), "text")})
+    # Matched as they stand, a carriage return included; one projection for what is ordered and shown, so that the limit is a top-k.
+    found = kept.select("path", F.posexplode(lines(F.col("text"), SEARCH_LINES)).alias("at", "raw")).where(F.col("raw").rlike(java))
+    shown_text = F.regexp_replace("raw", r"[\r\n]+\z", "")
+    line = F.col("at") + 1
+    top = found.select("path", line.alias("line"), shown_text.alias("text"), F.struct(parts, line).alias("_o"), F.concat_ws(":", "path", line.cast("string"), shown_text).alias("match")).orderBy("_o").limit(limit + 1)
     prefix = F.length("path") + F.length(F.col("line").cast("string")) + 2
     out = within_budget(top, "_o", "match", limit, budget)
     return out.select("path", "line", F.substring("match", prefix + 1, F.length("text")).alias("text"), "match", "truncated")
