@@ -294,9 +294,12 @@ class _Parser:
         self.at += 1
         negated = self.take("^")
         java, op = None, ""
-        first = True
+        plain = ""
+        while self.take("-"):  # hyphens in front are members
+            plain = r"\-"
+        first = not plain
         while True:
-            items, plain = [], ""
+            items: list[str] = []
             while True:
                 self.skip()
                 c = self.peek()
@@ -304,11 +307,6 @@ class _Parser:
                     self.fail("a class isn't closed")
                 if (c == "]" and not first) or self.peek(2) in ("&&", "--", "~~"):
                     break
-                if first and c == "-":  # hyphens in front are members
-                    self.at += 1
-                    plain += r"\-"
-                    first = self.peek() == "-" and self.peek(2) != "--"
-                    continue
                 first = False
                 if self.peek(2) == "[:" and (m := re.compile(r"\[:(\^?)(\w+):\]").match(self.text, self.at)):
                     if m[2] not in BRACKET_NAMES:
@@ -334,6 +332,7 @@ class _Parser:
                     plain += _point(low)
             if plain:
                 items.append(f"[{plain}]")
+                plain = ""
             here = "(?!)" if not items else items[0] if len(items) == 1 else f"(?:{'|'.join(items)})"
             java = here if java is None else {"&&": f"(?:(?={java})(?:{here}))", "--": f"(?:(?!{here})(?:{java}))", "~~": f"(?:(?!{here})(?:{java})|(?!{java})(?:{here}))"}[op]
             if self.take("]"):

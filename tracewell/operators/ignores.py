@@ -88,8 +88,13 @@ def _above(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def verdicts(files: DataFrame, *keys: str, git: bool = True) -> DataFrame:
-    """files (keys, path, text, ...) with `left_out` and `admitted`: whether ignore files leave a path out, and whether a `!` rule admits it although it is hidden."""
+def verdicts(files: DataFrame, *keys: str, git: bool = True, hidden: bool = False, below: str = "") -> DataFrame:
+    """files (keys, path, text, ...) with `left_out`, `shut` and `admitted`.
+
+    shut: a directory above the path is left out, those at or above `below` not counted.
+    admitted: a `!` rule decides for the path, and it isn't shut. With `hidden`, names with
+    a dot in front are left out too, unless they are admitted.
+    """
     rules = rules_of(files, *keys, git=git).withColumnRenamed("dir", "_dir")
     parts = F.split("_entry", "/")
     own = files.select(*keys, F.col("path").alias("_entry"), F.lit(False).alias("_folder")).distinct()
@@ -102,9 +107,12 @@ def verdicts(files: DataFrame, *keys: str, git: bool = True) -> DataFrame:
     fitting = F.filter("rules", lambda r: (F.col("_folder") | ~r["folder"]) & F.rlike(F.col("_r"), r["expression"]))
     best = F.array_max(F.transform(fitting, lambda r: F.struct(r["strength"].alias("s"), r["depth"].alias("d"), r["ord"].alias("o"), r["admits"].alias("a"))))
     said = met.select(*keys, "_entry", "_folder", best.alias("_b")).where("_b IS NOT NULL").groupBy(*keys, "_entry", "_folder").agg(F.max("_b").alias("_b"))
-    closed = said.where("_folder AND NOT _b.a").select(*keys, F.col("_entry").alias("_dir"))
-    shut = own.select(*keys, "_entry", F.explode(_above(parts)).alias("_dir")).join(closed, [*keys, "_dir"], "left_semi").select(*keys, F.col("_entry").alias("path")).distinct().withColumn("_shut", F.lit(True))
-    mine = said.where("NOT _folder").select(*keys, F.col("_entry").alias("path"), F.col("_b.a").alias("_admits"))
-    told = files.join(mine, [*keys, "path"], "left").join(shut, [*keys, "path"], "left")
-    out = F.coalesce("_shut", F.lit(False))
-    return told.withColumns({"left_out": out | ~F.coalesce("_admits", F.lit(True)), "admitted": ~out & F.coalesce("_admits", F.lit(False))}).drop("_admits", "_shut")
+    dotted = F.element_at(parts, -1).startswith(".") if hidden else F.lit(False)
+    judged = entries.join(said, [*keys, "_entry", "_folder"], "left").select(*keys, "_entry", "_folder", F.col("_b.a").alias("_admits"), F.coalesce("_b.a", ~dotted).alias("_open"))
+    closed = judged.where("_folder AND NOT _open").select(*keys, F.col("_entry").alias("_dir"))
+    if below:
+        closed = closed.where(F.col("_dir").startswith(f"{below}/"))
+    shut = own.select(*keys, "_entry", F.explode(_above(parts)).alias("_dir")).join(closed, [*keys, "_dir"], "left_semi").select(*keys, F.col("_entry").alias("path")).distinct().withColumn("shut", F.lit(True))
+    mine = judged.where("NOT _folder").select(*keys, F.col("_entry").alias("path"), "_admits", "_open")
+    told = files.join(mine, [*keys, "path"]).join(shut, [*keys, "path"], "left").withColumn("shut", F.coalesce("shut", F.lit(False)))
+    return told.withColumns({"left_out": F.col("shut") | ~F.col("_open"), "admitted": ~F.col("shut") & F.coalesce("_admits", F.lit(False))}).drop("_admits", "_open")

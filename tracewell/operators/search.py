@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import bracket, component_order, glob_error, glob_regex, ignored
 from ..functions.regexes import Expression, ExpressionError, translated
 from ..functions.text import CONTEXT_LINES, READ_LINES, SEARCH_LINES, lines
+from .ignores import KINDS, verdicts
 
 MOST_RESULTS, MOST_CHARS, MOST_BYTES = 100, 30_000, 5 * 2**20
 DEFAULT_LINES, MOST_LINES = 200, 500
@@ -25,8 +26,8 @@ def expression(pattern: str, spark: SparkSession) -> Expression:
     out = translated(pattern)
     try:
         spark._jvm.java.util.regex.Pattern.compile(out.java)
-    except Py4JJavaError as e:  # a script or a size that the JVM doesn't know
-        raise ExpressionError(f"invalid pattern: {e.java_exception.getMessage()}") from None
+    except IllegalArgumentException as e:  # a script or a size that the JVM doesn't know
+        raise ExpressionError(f"invalid pattern: {e}") from None
     return out
 
 
@@ -95,12 +96,13 @@ def _under(path: str | None) -> tuple[Column, Column]:
     return exact | F.col("path").startswith("/".join(parts) + "/"), exact
 
 
-def grep_search(files: DataFrame, pattern: str, include: str | None = None, limit: int = MOST_RESULTS, budget: int = MOST_CHARS, path: str | None = None) -> DataFrame:
+def grep_search(files: DataFrame, pattern: str, include: str | None = None, limit: int = MOST_RESULTS, budget: int = MOST_CHARS, path: str | None = None, ignore: bool = True) -> DataFrame:
     """(path, line, text, match, truncated): matching lines by path component, then line, within a number of results and characters.
 
     match is `path:line:text`; the last one is clipped to what is left of the budget. Hidden
     directories are left out, hidden files too unless `include` (`!` in front excludes) fits them; binary
-    files are left out. A file that is itself the start path is searched whatever it is.
+    files are left out, and so is, with `ignore`, what ignore files leave out (`operators.ignores`;
+    `include` admits a file, but not under a directory that is left out). A file that is itself the start path is searched whatever it is.
     The top `limit` + 1 lines are taken before the running sum, which is thus over a bounded number of rows.
     """
     java = expression(pattern, files.sparkSession).java
@@ -111,15 +113,26 @@ def grep_search(files: DataFrame, pattern: str, include: str | None = None, limi
     if path and named.isEmpty():
         raise ValueError(f"search path does not exist: {path}")
     parts = component_order(F.col("path"))
-    hidden = lambda c: F.exists(c, lambda p: p.startswith("."))
-    shown = ~hidden(parts)
-    if include and include.startswith("!"):
-        shown = shown & ~F.col("path").rlike(include_regex(include[1:]))
-    elif include:
-        shown = F.col("path").rlike(include_regex(include)) & ~hidden(F.slice(parts, 1, F.size(parts) - 1))
+    fits = F.col("path").rlike(include_regex(include.removeprefix("!"))) if include else None
+    excludes = bool(include) and include.startswith("!")
+    own = files.where(F.element_at(F.split("path", "/"), -1).isin(*KINDS)) if ignore else None
+    rules = own is not None and not own.select("path").isEmpty()
+    if rules:
+        shown = F.lit(True)
+    else:
+        hidden = lambda c: F.exists(c, lambda p: p.startswith("."))
+        shown = ~hidden(parts) if excludes or not include else ~hidden(F.slice(parts, 1, F.size(parts) - 1))
+    if include:
+        shown = shown & (~fits if excludes else fits)
     kept = named.where((F.octet_length("text") <= MOST_BYTES) & (exact | (shown & ~F.contains("text", F.lit("\0")))))
     # Matched as they stand, a carriage return included; one projection for what is ordered and shown, so that the limit is a top-k.
     found = kept.select("path", F.posexplode(lines(F.col("text"), SEARCH_LINES)).alias("at", "raw")).where(F.col("raw").rlike(java))
+    if rules:
+        # Paths alone are judged, and lines that match meet the verdict: no text is dealt out for it.
+        start = "/".join(p for p in (path or "").split("/") if p not in ("", "."))
+        told = verdicts(named.select("path", F.lit(None).cast("string").alias("text")).unionByName(own.select("path", "text")), hidden=True, below=start)
+        out = F.col("shut") if include and not excludes else F.col("left_out")
+        found = found.join(told.groupBy("path").agg(F.bool_or(out).alias("_out")), "path").where(exact | ~F.col("_out"))
     shown_text = F.regexp_replace("raw", r"[\r\n]+\z", "")
     line = F.col("at") + 1
     top = found.select("path", line.alias("line"), shown_text.alias("text"), F.struct(parts, line).alias("_o"), F.concat_ws(":", "path", line.cast("string"), shown_text).alias("match")).orderBy("_o").limit(limit + 1)

@@ -286,11 +286,7 @@ def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
     """A bounded stream over the events table, counted by window and then summed up."""
     from ..streaming import metrics
 
-    kind = v.table(spark, d, "events").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
-    # A stream takes a folder as it is, but a single file only by a glob.
-    stream = spark.readStream.schema(kind).parquet(f"{d}/events.parquet" if folder else f"{d}/[e]vents.parquet")
+    stream = v.stream(spark, d, "events")
     folder = loaders.shared_folder(spark)
     metrics.batch_query(metrics.windowed_counts(stream), f"{folder}/counts", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/counts").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))

@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of what is there now; a stream takes a folder as it is, but a single file only by a glob."""
+    at = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(at if folder else f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def code_file(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.format_string("%s/%s/doc_%d.txt", "source", "lang", "doc_id").alias("path"), "text", "doc_id")
 

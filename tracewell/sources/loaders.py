@@ -87,11 +87,16 @@ def sources_of(raw_keys: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where the master is local."""
+    """The name of a new folder that driver and executors share, and that goes when the driver ends: under spark.checkpoint.dir, or a local one where the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or 'file:///tmp/tracewell-checkpoints').rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+    folder = f"{(root or 'file:///tmp/tracewell-checkpoints').rstrip('/')}/tracewell-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)  # with all that is in it then
+    return f"{folder}/table"
 
 
 def guard(spark: SparkSession, folder: str, overwrite: bool = False) -> None:
