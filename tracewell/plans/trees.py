@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.regexes import translated
 from ..functions.text import SEARCH_LINES, lines
 from ..operators import batches, ignores, links
-from ..sources import loaders
+from ..sources import fetch, kept, loaders, tree
 from . import views as v
 
 Q: dict = {}
@@ -139,3 +139,38 @@ def cached_answers(spark: SparkSession, d: str) -> DataFrame:
     folder = loaders.shared_folder(spark)
     cache.answer_table(cache.cached(ops, _SIZE, _DAYS * 86_400), f"{folder}/answers", f"{folder}/checkpoint")
     return spark.read.schema(cache.ANSWERS).parquet(f"{folder}/answers")
+
+
+@query("SELECT 'lang=' || lang AS folder, doc_id FROM documents WHERE source = 'src1'")
+def tree_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' ids as a tree of text files, one source's files of it read by the tree source: the folder and the kind are pushed down."""
+    path = loaders.shared_folder(spark)
+    v.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("value"), "source", "lang").write.partitionBy("source", "lang").text(path)
+    tree.register(spark)
+    files = spark.read.format("code_tree").load(path).where("path LIKE 'source=src1/%' AND kind = 'file' AND path LIKE '%.txt'")
+    ids = F.explode(lines(F.decode("content", "UTF-8"), SEARCH_LINES))
+    return files.select(F.split("path", "/")[1].alias("folder"), ids.alias("doc_id")).select("folder", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@query("SELECT doc_id, lang, length(text)::INT AS chars FROM documents")
+def row_group_files(spark: SparkSession, d: str) -> DataFrame:
+    """Rows through the writer with row groups of a set size, read again."""
+    path = loaders.shared_folder(spark)
+    kept.write_rows(v.table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("chars")), path, row_group=100)
+    return spark.read.parquet(f"{path}/part-*")
+
+
+@query("""SELECT 'run-' || conv_id || '.jsonl' AS name, count(*) AS n, false AS failed, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id
+UNION ALL SELECT DISTINCT 'run-' || conv_id || '.none', NULL::BIGINT, true, NULL FROM conversations WHERE conv_id % 3 = 0""")
+def fetched_traces(spark: SparkSession, d: str) -> DataFrame:
+    """A trace file of each run, found by the tree source and fetched by its address; names that aren't there give a failure each."""
+    path = loaders.shared_folder(spark)
+    kept.write_traces(v.chat(spark, d).select("traj", "pos", "role"), path, "traj", "pos")
+    tree.register(spark)
+    found = spark.read.format("code_tree").schema("path string, kind string").load(path).where("kind = 'file' AND path LIKE '%.jsonl'").select("path")
+    run = F.regexp_extract("path", r"run-(\d+)\.", 1).cast("long")
+    gone = found.where(run % 3 == 0).select(F.regexp_replace("path", "jsonl$", "none").alias("path"))
+    got = fetch.fetched(found.unionByName(gone), f"file://{path.removeprefix('file://')}/{{path}}", f"{path}-cache", tries=2, first_wait=0.01)
+    rows = F.from_json(F.concat(F.lit("["), F.array_join(lines(F.decode("content", "UTF-8"), SEARCH_LINES), ","), F.lit("]")), "array<struct<role:string>>")
+    told = got.withColumn("rows", rows)
+    return told.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.when(F.col("error").isNull(), F.size("rows").cast("long")).alias("n"), F.col("error").isNotNull().alias("failed"), F.array_join(F.col("rows.role"), ",").alias("roles"))
