@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _round(df: DataFrame, *columns: str) -> DataFrame:
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
@@ -168,7 +168,7 @@ def _rewards(spark: SparkSession, d: str) -> DataFrame:
 @query(_F1 + " SELECT id, round(file_reward, 6) AS file_reward, round(module_reward, 6) AS module_reward, round(entity_reward, 6) AS entity_reward, round(file_reward + module_reward + entity_reward, 6) AS reward FROM r")
 def multilevel_f1(spark: SparkSession, d: str) -> DataFrame:
     total = F.col("file_reward") + F.col("module_reward") + F.col("entity_reward")
-    return _round(_rewards(spark, d).withColumn("reward", total), "file_reward", "module_reward", "entity_reward", "reward")
+    return rounded(_rewards(spark, d).withColumn("reward", total), "file_reward", "module_reward", "entity_reward", "reward")
 
 
 @query(_F1 + ", " + _DIFF[_DIFF.index("g AS (") :] + " SELECT difficulty, round(avg(file_reward + module_reward + entity_reward), 6) AS mean_quality, count(*) AS tasks FROM r JOIN g2 USING (id) GROUP BY 1")
@@ -201,13 +201,13 @@ _METRICS = f"""WITH {v.EVENT_LOG}, m AS (
 
 @query(_METRICS + " SELECT * REPLACE (round(overlap_ratio, 6) AS overlap_ratio, round(tool_efficiency_cost, 6) AS tool_efficiency_cost) FROM cost")
 def tool_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _round(events.tool_metrics(v.event_log(spark, d)), "overlap_ratio", "tool_efficiency_cost")
+    return rounded(events.tool_metrics(v.event_log(spark, d)), "overlap_ratio", "tool_efficiency_cost")
 
 
 @query(_METRICS + " SELECT traj, round(least(q, 0.2 * tool_efficiency_cost), 6) AS penalty, round(q - least(q, 0.2 * tool_efficiency_cost), 6) AS total FROM (SELECT *, (traj % 4)::DOUBLE AS q FROM cost)")
 def penalized_reward(spark: SparkSession, d: str) -> DataFrame:
     rows = events.tool_metrics(v.event_log(spark, d)).select("traj", scoring.penalized((F.col("traj") % 4).cast("double"), F.col("tool_efficiency_cost")).alias("p"))
-    return _round(rows.select("traj", "p.penalty", "p.total"), "penalty", "total")
+    return rounded(rows.select("traj", "p.penalty", "p.total"), "penalty", "total")
 
 
 @query(_METRICS + """ SELECT traj, CASE WHEN q < 1 AND c > 3 THEN 'low_quality,high_cost' WHEN q < 1 THEN 'low_quality' WHEN c > 3 THEN 'high_cost' ELSE '' END AS reasons FROM (SELECT traj, (traj % 4)::DOUBLE AS q, tool_efficiency_cost AS c FROM cost)""")
@@ -283,24 +283,24 @@ def unmatched_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {v.TASK_IDS}, {v.OUTCOME} SELECT coalesce(source, 'coding_agent') AS source, count(*) AS evaluated, count(*) FILTER (WHERE resolved) AS resolved, round(count(*) FILTER (WHERE resolved) / count(*)::DOUBLE, 6) AS resolve_rate
 FROM outcome SEMI JOIN task_ids USING (instance_id) GROUP BY 1""")
 def resolve_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return _round(evaluate.resolve_rates(evaluate.outcome_rows(v.task_ids(spark, d), v.outcome(spark, d))["evaluated"]), "resolve_rate")
+    return rounded(evaluate.resolve_rates(evaluate.outcome_rows(v.task_ids(spark, d), v.outcome(spark, d))["evaluated"]), "resolve_rate")
 
 
 @query("SELECT round(avg(quality::DOUBLE), 6) AS quality, round(avg(toxic::DOUBLE), 6) AS toxic, count(*) AS tasks FROM (SELECT quality, toxic FROM labels)")
 def evaluation_means(spark: SparkSession, d: str) -> DataFrame:
-    return _round(evaluate.means(v.table(spark, d, "labels").select("quality", "toxic")), "quality", "toxic")
+    return rounded(evaluate.means(v.table(spark, d, "labels").select("quality", "toxic")), "quality", "toxic")
 
 
 @query("SELECT round(avg(quality), 6) AS quality, round(avg(t), 6) AS toxic, count(*) AS tasks FROM (SELECT quality::DOUBLE AS quality, CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END AS t FROM labels)")
 def batch_means(spark: SparkSession, d: str) -> DataFrame:
-    return _round(evaluate.batch_means(v.table(spark, d, "labels").select("quality", (F.col("toxic") == 1).alias("toxic"))), "quality", "toxic")
+    return rounded(evaluate.batch_means(v.table(spark, d, "labels").select("quality", (F.col("toxic") == 1).alias("toxic"))), "quality", "toxic")
 
 
 @query("""WITH j AS (SELECT CASE WHEN l_discount > 0.08 THEN 2 ELSE l_discount END AS r, l_tax AS s FROM lineitem)
 SELECT count(*) FILTER (WHERE r <= 1) AS evaluated, count(*) FILTER (WHERE r > 1) AS failed, round(avg(r) FILTER (WHERE r <= 1), 6) AS mean_relevance FROM j""")
 def judge_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = v.table(spark, d, "lineitem").select(F.when(F.col("l_discount") > 0.08, 2.0).otherwise(F.col("l_discount")).alias("relevance"), F.col("l_tax").alias("sufficiency"))
-    return _round(evaluate.judged(rows), "mean_relevance")
+    return rounded(evaluate.judged(rows), "mean_relevance")
 
 
 @query(f"WITH {v.CHAT} SELECT traj, sum(chars)::BIGINT AS prompt_tokens, max(chars)::BIGINT AS max_prompt_tokens FROM chat GROUP BY traj")

@@ -60,6 +60,12 @@ _BAD_ACTION = """tool_name NOT IN ('glob', 'grep', 'read_file', 'localization_fi
   OR (tool_name = 'localization_finish' AND (json_array_length(action, '$.locations') = 0 OR json_extract_string(action, '$.locations[0].file') LIKE '../%'))"""
 
 
+def judged_log(spark: SparkSession, d: str) -> DataFrame:
+    """faulty_log with what its actions' schemas say."""
+    log = faulty_log(spark, d).withColumn("action", F.try_parse_json("action"))
+    return log.withColumns({"action_valid": schemas.action_valid(F.col("tool_name"), F.col("action")), "n_locations": F.coalesce(F.size(schemas.locations(F.col("action"))), F.lit(0))})
+
+
 @query(f"""WITH events_k AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events), {FAULTY_LOG},
 a AS (SELECT *, count(*) OVER (PARTITION BY traj, llm_response_id) AS mates, max(seq) OVER (PARTITION BY traj) AS final FROM log WHERE kind = 'ActionEvent'),
 o AS (SELECT traj, tool_call_id, count(*) AS n, bool_or(is_error) AS failed, min(seq) AS oseq, min(tool_name) AS otool FROM log WHERE kind = 'ObservationEvent' GROUP BY 1, 2),
@@ -73,9 +79,7 @@ g AS (SELECT traj, string_agg(code, ',' ORDER BY code) AS codes FROM x WHERE cod
 SELECT t.traj, coalesce(early, codes, '') AS codes FROM t LEFT JOIN g USING (traj)""")
 def event_codes(spark: SparkSession, d: str) -> DataFrame:
     """Every code of event validation, action schemas included."""
-    log = faulty_log(spark, d).withColumn("action", F.try_parse_json("action"))
-    log = log.withColumns({"action_valid": schemas.action_valid(F.col("tool_name"), F.col("action")), "n_locations": F.coalesce(F.size(schemas.locations(F.col("action"))), F.lit(0))})
-    return events.validate(log).select("traj", F.array_join("codes", ",").alias("codes"))
+    return events.validate(judged_log(spark, d)).select("traj", F.array_join("codes", ",").alias("codes"))
 
 
 # --- whole runs: a grep, a finish, and a chat of both; the document number modulo 26 says what is wrong

@@ -9,6 +9,7 @@ from ..functions.regexes import translated
 from ..functions.text import SEARCH_LINES, lines
 from ..operators import batches, ignores, links
 from ..sources import fetch, kept, loaders, tree
+from . import relational, runs
 from . import views as v
 
 Q: dict = {}
@@ -174,3 +175,32 @@ def fetched_traces(spark: SparkSession, d: str) -> DataFrame:
     rows = F.from_json(F.concat(F.lit("["), F.array_join(lines(F.decode("content", "UTF-8"), SEARCH_LINES), ","), F.lit("]")), "array<struct<role:string>>")
     told = got.withColumn("rows", rows)
     return told.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.when(F.col("error").isNull(), F.size("rows").cast("long")).alias("n"), F.col("error").isNotNull().alias("failed"), F.array_join(F.col("rows.role"), ",").alias("roles"))
+
+
+def _streamed(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """A log's events as a stream of parts, several micro-batches of them, in no order; the last rows of its trajectories."""
+    from ..streaming import traces
+
+    folder = loaders.shared_folder(spark)
+    log.repartition(6).write.parquet(f"{folder}/log")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/log").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    traces.metrics_table(traces.running_metrics(stream), f"{folder}/rows", f"{folder}/checkpoint")
+    return traces.latest(spark.read.parquet(f"{folder}/rows")).withColumn("traj", F.col("traj").cast(log.schema["traj"].dataType))
+
+
+@query(relational.SQL["tool_metrics"])
+def running_tool_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The tool metrics of trajectories that run, after their last events."""
+    from ..streaming.traces import METRICS
+
+    return relational.rounded(_streamed(spark, v.event_log(spark, d)).select("traj", *METRICS), "overlap_ratio", "tool_efficiency_cost")
+
+
+@query(runs.SQL["event_codes"])
+def running_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Every code of event validation, of trajectories that run."""
+    log = runs.judged_log(spark, d).drop("action")
+    # The log says nothing of what tools were given or showed.
+    kinds = {"pattern": "string", "path": "string", "include": "string", "start_line": "int", "end_line": "int", "truncated": "boolean", "response_tokens": "int"}
+    log = log.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in log.columns})
+    return _streamed(spark, log).select("traj", F.array_join("codes", ",").alias("codes"))

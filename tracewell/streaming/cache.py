@@ -9,8 +9,9 @@ Timers remove what no get asks for any more once the watermark has passed its ti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -80,15 +81,21 @@ def cached(requests: DataFrame, size: int, seconds: float, delay: str = "0 secon
     return timed.withWatermark("ts", delay).groupBy("shard").transformWithState(ResultCache(size, seconds), ANSWERS, "append", "EventTime")
 
 
-def answer_table(answers: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a stream of `cached` over what is there now into a Parquet table; a later run goes on with the caches of the checkpoint."""
-    conf = answers.sparkSession.conf
-    before = conf.get(_PROVIDER, None)
-    conf.set(_PROVIDER, _ROCKS)  # keyed maps and timers need it
+@contextmanager
+def rocks(spark: SparkSession):
+    """Queries that start in here keep their state where keyed maps and timers are had."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
     try:
-        answers.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        yield
     finally:
         if before is None:
-            conf.unset(_PROVIDER)
+            spark.conf.unset(_PROVIDER)
         else:
-            conf.set(_PROVIDER, before)
+            spark.conf.set(_PROVIDER, before)
+
+
+def answer_table(answers: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream of `cached` over what is there now into a Parquet table; a later run goes on with the caches of the checkpoint."""
+    with rocks(answers.sparkSession):
+        answers.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
