@@ -483,6 +483,10 @@ def test_sharding_uneven(spark):
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 20_000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    clash = docs.withColumns({"_shard": F.lit("own"), "_SHARD_": F.lit(1)})
+    sharding.write_shards(clash, str(tmp_path / "c"), 20_000)
+    again = spark.read.parquet(str(tmp_path / "c"))
+    assert again.columns == [*clash.columns, "_shard__"] and again.where("_shard = 'own'").count() == docs.count()
 
 
 def test_shingles_match(rows):

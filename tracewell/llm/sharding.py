@@ -109,10 +109,13 @@ def shard(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: tuple[str, ...]
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
-    """Writes docs with a folder for each shard."""
+    """Writes docs with a folder for each shard, `_shard=s...`; where docs have such a column, the folders' name has more underlines."""
+    folder = "_shard"
+    while folder in {c.lower() for c in docs.columns}:
+        folder += "_"
     packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    placed = shard(packed, limit_bytes, keep=("_row",)).select("_row.*", F.concat(F.lit("s"), "shard").alias("_shard"))
-    placed.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    placed = shard(packed, limit_bytes, keep=("_row",)).select("_row.*", F.concat(F.lit("s"), "shard").alias(folder))
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
