@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .arrowmap import bounded, map_rows, ship
-from .common import mix64, numbered, prefix_hash, span_hash, step_hash, table, text_of
+from .common import mix64, numbered, prefix_hash, span_hash, step_hash, table, text_of, written
 
 DEPTH = 100
 BLOCK = 40
@@ -355,8 +355,8 @@ _REPLY = "unit int, bucket int, kind int, a binary, b binary, c binary"
 _DEAL = "unit int, bucket int, kind int, a binary, b binary, doc binary, raw binary"
 
 
-def _grouped(df: DataFrame, depth: int, block: int, hot_runs: int) -> DataFrame:
-    """The replies to what units deal out, bucket by bucket and kind by kind; a bucket is sized by BUCKET_BYTES."""
+def _grouped(df: DataFrame, depth: int, block: int, hot_runs: int, buckets: int) -> DataFrame:
+    """The replies to what units deal out, bucket by bucket and kind by kind, kept as a table; a bucket is sized by BUCKET_BYTES, and there is a task for each."""
     answer = {0: lambda held: _anchors(held, hot_runs), 1: lambda held: _runs(held, depth, block), 2: _digests, 3: lambda held: _windows(held, depth)}
 
     def run(batches: Iterator) -> Iterator[tuple]:
@@ -371,7 +371,7 @@ def _grouped(df: DataFrame, depth: int, block: int, hot_runs: int) -> DataFrame:
         if held:
             yield from answer[key[1]](held)
 
-    return map_rows(df.repartition("bucket").sortWithinPartitions("bucket", "kind"), run, _REPLY)
+    return written(map_rows(df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind"), run, _REPLY))
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -506,10 +506,10 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, with
         return table_of(result, each())
 
     units_ = rows.groupBy("unit")
-    first = _grouped(units_.applyInArrow(by_anchor, _DEAL), depth, block, hot_runs)
-    second = _grouped(units_.cogroup(first.groupBy("unit")).applyInArrow(by_run, _DEAL), depth, block, hot_runs)
+    first = _grouped(units_.applyInArrow(by_anchor, _DEAL), depth, block, hot_runs, buckets)
+    second = _grouped(units_.cogroup(first.groupBy("unit")).applyInArrow(by_run, _DEAL), depth, block, hot_runs, buckets)
     so_far = first.unionByName(second)
-    third = _grouped(units_.cogroup(so_far.groupBy("unit")).applyInArrow(by_window, _DEAL), depth, block, hot_runs)
+    third = _grouped(units_.cogroup(so_far.groupBy("unit")).applyInArrow(by_window, _DEAL), depth, block, hot_runs, buckets)
     return back(units_.cogroup(so_far.unionByName(third).groupBy("unit")).applyInArrow(cleaned, result), "doc_id")
 
 
