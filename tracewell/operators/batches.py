@@ -140,6 +140,8 @@ def searched(requests: DataFrame, files: DataFrame, grams: DataFrame, limit: int
     shown = F.when(F.col("include").isNull() | (F.col("include") == ""), ~hidden(parts[1])).when(excludes, ~hidden(parts[1]) & ~fits).otherwise(inner & fits)
     greps = found.where((F.col("kind") == "grep") & (exact | shown)).select("request", "java", "_path", exact.alias("_named"))
     texts = greps.join(files.select(F.col("path").alias("_path"), "text"), "_path").where(F.col("_named") | ~F.contains("text", F.lit("\0")))
+    # Without anchors a line that matches makes the text match: most files are done with before their lines are cut.
+    texts = texts.where(F.contains("java", F.lit(r"\A")) | F.contains("java", F.lit(r"\z")) | F.rlike("text", F.col("java")))
     rows = texts.select("request", "java", "_path", F.posexplode(lines(F.col("text"), SEARCH_LINES)).alias("at", "raw"))
     rows = rows.where(F.rlike("raw", F.col("java")))
     line, shown_text = F.col("at") + 1, F.regexp_replace("raw", r"[\r\n]+\z", "")
