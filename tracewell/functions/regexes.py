@@ -5,17 +5,20 @@ The dialect: Unicode classes, class set operations (`&&`, `--`, `~~`), bracket n
 look-around and no references. What the JVM reads otherwise is written out (`.`, `$`,
 `\\w`, `\\b`, negated classes), what neither dialect has, or only the JVM, is refused.
 
-`Expression.needed` has the strings of three characters that a match must contain, as
-alternatives of sets: an index of them rules texts out before any expression runs.
+`Expression.needed` has strings that a match must contain (all of three characters, some of
+eight), as alternatives of sets: an index of them rules texts out before any expression runs.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 #: Alternatives that are kept apart in `needed`; beyond them, or where one needs nothing, everything may match.
 MOST_ALTERNATIVES = 16
+#: Characters of the strings in `needed`: all short ones, and every ONE_IN-th long one.
+SHORT, LONG, ONE_IN = 3, 8, 4
 
 # Members of bracket names, as ranges.
 BRACKET_NAMES = {
@@ -67,8 +70,10 @@ class _Part:
     looks: bool = False
 
 
-def _trigrams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+def strings(text: str) -> frozenset[str]:
+    """The strings of a text that an index of texts knows: those of SHORT characters, and of LONG ones every ONE_IN-th by its checksum."""
+    long = (text[i : i + LONG] for i in range(len(text) - LONG + 1))
+    return frozenset(text[i : i + SHORT] for i in range(len(text) - SHORT + 1)) | {g for g in long if zlib.crc32(g.encode()) % ONE_IN == 0}
 
 
 def _both(a: Needed, b: Needed) -> Needed:
@@ -117,7 +122,7 @@ class _Parser:
             return parts[0]
         needed: set[frozenset[str]] = set()
         for p in parts:
-            needed |= p.needed if p.literal is None else {_trigrams(p.literal)}
+            needed |= p.needed if p.literal is None else {strings(p.literal)}
         return _Part("|".join(p.java for p in parts), None, frozenset(needed) if len(needed) <= MOST_ALTERNATIVES else _NOTHING)
 
     def sequence(self) -> _Part:
@@ -132,10 +137,10 @@ class _Parser:
                 run += part.literal
                 continue
             if not part.looks:
-                needed, run = _both(needed, frozenset([_trigrams(run)])), ""
+                needed, run = _both(needed, frozenset([strings(run)])), ""
             whole = False
             needed = _both(needed, part.needed)
-        return _Part(java, run if whole else None, _both(needed, frozenset([_trigrams(run)])))
+        return _Part(java, run if whole else None, _both(needed, frozenset([strings(run)])))
 
     def repeated(self) -> _Part:
         part = self.atom()
@@ -157,7 +162,7 @@ class _Parser:
             else:
                 return part
             lazy = self.take("?") != ("U" in self.flags)
-            part = _Part(f"(?:{part.java}){told}{'?' if lazy else ''}", None, (part.needed if part.literal is None else frozenset([_trigrams(part.literal)])) if least else _NOTHING)
+            part = _Part(f"(?:{part.java}){told}{'?' if lazy else ''}", None, (part.needed if part.literal is None else frozenset([strings(part.literal)])) if least else _NOTHING)
             # A repeat of this one is a repeat of the whole.
             if self.peek() and self.peek() in "*+?{":
                 part.java = f"(?:{part.java})"
@@ -367,4 +372,4 @@ def translated(pattern: str) -> Expression:
     part = p.alternatives()
     if p.at < len(pattern):
         p.fail("a bracket closes nothing")
-    return Expression(part.java, part.needed if part.literal is None else frozenset([_trigrams(part.literal)]))
+    return Expression(part.java, part.needed if part.literal is None else frozenset([strings(part.literal)]))

@@ -1,10 +1,12 @@
-"""Many searches at once, over an index of three-character strings.
+"""Many searches at once, over an index of short strings.
 
-The index says which files have which strings of three characters. Each request looks up
+The index says which files have which strings of three characters, and which of eight; of
+those it has every fourth, by a checksum, so that they cost no more room than the others.
+Long ones are far rarer where words are made of few syllables. Each request looks up
 the rarest ones that a match of its pattern must contain (of each of its alternatives),
 by an equi-join; only the files that have them all meet the pattern. No pattern meets a
 file without that: work follows how often the rarest strings occur. A request
-that needs no such string (`.*`, `a|b`, `?`) is answered with an error that says so, and
+that needs no string of three (`.*`, `a|b`, `?`) is answered with an error that says so, and
 goes to a search of its own; so does one that can't be parsed, and neither touches others.
 """
 
@@ -17,15 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import component_order, glob_error, glob_regex, ignored
-from ..functions.regexes import ExpressionError, translated
+from ..functions.regexes import LONG, ONE_IN, SHORT, ExpressionError, strings, translated
 from ..functions.text import SEARCH_LINES, lines
 from ..shipping import ship
+from ..sources.loaders import shared_folder
 from .search import MOST_BYTES, MOST_CHARS, MOST_RESULTS, include_regex, start_error
 
 #: Requests of a batch.
 MOST_REQUESTS = 32
 #: Strings of a pattern that are looked up, the rarest first: a file must have all of them.
 MOST_GRAMS = 4
+#: One that is so many times as frequent as the rarest is left out: to look it up costs more than it rules out.
+MOST_TIMES = 4
 TOO_BROAD = "pattern has no three characters that every match contains; search alone"
 
 
@@ -34,20 +39,22 @@ def batch_error(n: Column) -> Column:
     return F.when(~F.coalesce(n, F.lit(0)).between(1, MOST_REQUESTS), f"a batch must contain 1..{MOST_REQUESTS} requests")
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct strings of three characters of a text; none goes over a line feed."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=([^\n]{3}))"), F.lit(1)))
+def grams(text: Column) -> Column:
+    """The distinct strings of a text that the index has, as `regexes.strings`; none goes over a line feed."""
+    runs = [F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=([^\n]{{{n}}}))"), F.lit(1))) for n in (SHORT, LONG)]
+    return F.concat(runs[0], F.filter(runs[1], lambda g: F.crc32(g) % ONE_IN == 0))
 
 
 def index(files: DataFrame) -> DataFrame:
     """(kind, gram, path): what the texts (kind `text`; none of too large files) and the paths (kind `path`) of files (path, text) contain."""
-    texts = files.where(F.octet_length("text") <= MOST_BYTES)
-    both = texts.select(F.lit("text").alias("kind"), F.explode(trigrams(F.col("text"))).alias("gram"), "path")
-    return both.unionByName(files.select(F.lit("path").alias("kind"), F.explode(trigrams(F.col("path"))).alias("gram"), "path"))
+    # A file's strings are hundreds of times its row: texts are dealt out before they are cut, however few splits they come in.
+    texts = files.where(F.octet_length("text") <= MOST_BYTES).repartition("path")
+    both = texts.select(F.lit("text").alias("kind"), F.explode(grams(F.col("text"))).alias("gram"), "path")
+    return both.unionByName(files.select(F.lit("path").alias("kind"), F.explode(grams(F.col("path"))).alias("gram"), "path"))
 
 
 def glob_grams(pattern: str) -> set[str]:
-    """Strings of three characters that every path under a glob contains."""
+    """Strings of the index that every path under a glob contains."""
     runs, run, i = [], "", 0
     parts = [p for p in pattern.split("/") if p not in ("", ".")]
     for n, part in enumerate(parts):
@@ -66,7 +73,7 @@ def glob_grams(pattern: str) -> set[str]:
                 run += part[i]
                 i += 1
         run += "/" if n < len(parts) - 1 else ""
-    return {r[k : k + 3] for r in [*runs, run] for k in range(len(r) - 2)}
+    return {g for r in [*runs, run] for g in strings(r)}
 
 
 def compiled(kind: str, pattern: str | None, path: str | None, include: str | None) -> tuple[str | None, str | None, str | None, list[list[str]]]:
@@ -104,15 +111,23 @@ def _compiled(requests: DataFrame) -> DataFrame:
     return own.mapInPandas(run, f"request {kind}, kind string, pattern string, path string, include string, error string, java string, fits string, needed array<array<string>>")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder, so that what reads them twice computes them once."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def searched(requests: DataFrame, files: DataFrame, grams: DataFrame, limit: int = MOST_RESULTS, budget: int = MOST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(answers, results) of requests (request, kind, pattern, path, include); kind is grep or glob, include is grep's.
 
     answers: (request, error, n, truncated), a row for each request. results: (request,
     ord, path, line, match), at most `limit` a request within `budget` characters, the last
     one clipped; line is null and match the path for a glob. grams is `index(files)`, kept as
-    a table; its rows and files' are joined by what the requests need.
+    a table; its rows and files' are joined by what the requests need. The compiled requests
+    and the matches are written to the shared folder before this returns.
     """
-    asked = _compiled(requests)
+    asked = _written(_compiled(requests))
     good = asked.where("error IS NULL")
     wanted = good.select("request", "kind", F.posexplode("needed").alias("alt", "grams")).select("request", "kind", "alt", F.explode("grams").alias("gram"))
     index_kind = F.when(F.col("kind") == "glob", "path").otherwise("text")
@@ -122,7 +137,7 @@ def searched(requests: DataFrame, files: DataFrame, grams: DataFrame, limit: int
     # The rarest strings of each alternative; one that is nowhere rules the alternative out.
     by_rarity = Window.partitionBy("request", "alt").orderBy("n", "gram")
     ranked = wanted.join(often, ["kind", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumns({"rank": F.row_number().over(by_rarity), "least": F.min("n").over(by_rarity)})
-    rare = ranked.where((F.col("rank") <= MOST_GRAMS) & (F.col("least") > 0)).select("request", "alt", "kind", "gram", F.least(F.lit(MOST_GRAMS), F.count("*").over(Window.partitionBy("request", "alt"))).alias("of"))
+    rare = ranked.where((F.col("rank") <= MOST_GRAMS) & (F.col("least") > 0) & (F.col("n") <= MOST_TIMES * F.col("least"))).select("request", "alt", "kind", "gram", F.count("*").over(Window.partitionBy("request", "alt")).alias("of"))
     found = rare.join(held, ["kind", "gram"]).groupBy("request", "alt", "path").agg(F.count("*").alias("n"), F.max("of").alias("of")).where("n = of").select("request", F.col("path").alias("_path")).distinct()
     found = found.join(good.select("request", "kind", "java", "fits", "include", "path"), "request")
     parts = [F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda p: (p != "") & (p != ".")), component_order(F.col("_path"))]
@@ -151,7 +166,7 @@ def searched(requests: DataFrame, files: DataFrame, grams: DataFrame, limit: int
     top = rows.unionByName(globs).withColumn("ord", F.row_number().over(by)).where(F.col("ord") <= limit + 1)
     size = F.when(F.col("line").isNull(), 0).otherwise(F.length("match") + 1)
     upto = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    told = top.select("*", (upto - size).alias("_before"), (upto >= budget).alias("_full"))
+    told = _written(top.select("*", (upto - size).alias("_before"), (upto >= budget).alias("_full")))
     kept = told.where((F.col("ord") <= limit) & (F.col("_before") < budget))
     results = kept.select("request", "ord", "path", "line", F.when(F.col("line").isNull(), F.col("match")).otherwise(F.substring("match", F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).alias("match"))
     n = told.groupBy("request").agg(F.count_if((F.col("ord") <= limit) & (F.col("_before") < budget)).alias("_n"), (F.max("_full") | (F.max("ord") > limit)).alias("_t"))
