@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, scoring, text, tokens
+from ..functions import canonical, paths, scoring, text, tokens
 from ..operators import evaluate, events, tasks
 from . import views as v
 
@@ -316,6 +316,22 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("source"), F.when(F.col("lang") != "en", F.col("lang"))).alias("fingerprint"))
 
 
+_PAGE = """'{"a": {"html": ' || coalesce(to_json(html)::VARCHAR, 'null') || ', "n": [' || coalesce(length(html)::VARCHAR, 'null') || ', ' || coalesce((length(html) / 7.0::DOUBLE)::VARCHAR, 'null') || ', '
+  || coalesce((length(html)::DOUBLE * 3e13)::VARCHAR, 'null') || ', ' || coalesce((length(html)::DOUBLE / 3e9)::VARCHAR, 'null') || ', null, {}]}, "odd": ' || (page_id % 2 = 1)::VARCHAR || ', "url": ' || coalesce(to_json(url)::VARCHAR, 'null') || '}'"""
+
+
+@query(f"SELECT page_id, {_PAGE} AS canonical, sha256({_PAGE}) AS fingerprint FROM pages")
+def canonical_json(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as JSON objects with their keys in no order, in the one form that digests are taken of."""
+    n = F.length("html")
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    numbers = F.concat(F.lit("[ "), F.concat_ws(" ,", number(n), number(n / F.lit(7.0)), number(n.cast("double") * 3e13), number(n.cast("double") / 3e9)), F.lit(", null, { }]"))
+    members = lambda *columns: F.substr(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), F.lit(2))
+    said = F.concat(F.lit('{"a":{"n":'), numbers, F.lit(","), members("html"), F.lit(" ,"), members("url", (F.col("page_id") % 2 == 1).alias("odd")))
+    rows = v.table(spark, d, "pages").select("page_id", said.alias("said"))
+    return rows.select("page_id", canonical.canonical_json(F.col("said")).alias("canonical")).select("*", F.sha2("canonical", 256).alias("fingerprint"))
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 12) AS trace_id FROM documents")
 def trace_id(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "documents").select("doc_id", text.trace_id(F.col("text")).alias("trace_id"))
