@@ -37,6 +37,14 @@ def unique_or_raise(rows: DataFrame, key: str, what: str) -> DataFrame:
     return rows.join(F.broadcast(checked), F.col("_ok")).drop("_ok")
 
 
+def known_or_raise(rows: DataFrame, tasks: DataFrame, key: str = "instance_id", what: str = "evaluation task") -> DataFrame:
+    """rows, but evaluating it fails if a key is null or not among those of tasks; the message names the least one."""
+    strange = rows.join(tasks.select(key), key, "left_anti").agg(F.min(F.col(key).cast("string")).alias("_id"), F.count("*").alias("_n"))
+    message = F.concat(F.lit(f"unknown {what}: "), F.coalesce("_id", F.lit("null")))
+    checked = strange.select(F.when(F.col("_n") > 0, F.raise_error(message)).otherwise(F.lit(True)).alias("_ok"))
+    return rows.join(F.broadcast(checked), F.col("_ok")).drop("_ok")
+
+
 def resolve_rates(evaluated: DataFrame) -> DataFrame:
     """(source, evaluated, resolved, resolve_rate)"""
     n, good = F.count("*"), F.count_if("resolved")
