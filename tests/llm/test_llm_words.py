@@ -54,6 +54,15 @@ def test_alignment_odd(odd, size):
     assert bag(got) == Counter(plain_alignment([r[:2] for r in odd.collect()], A, B))
 
 
+def test_alignment_last_space(spark):
+    """A text may end with one space, whatever comes before it."""
+    rows = list(enumerate(["a ", "word word ", "x\n ", "x.  y ", "\u4f60 ", "a" * 70 + " ", "a\u2581 ", "a"]))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = alignment.measured(alignment.aligned(docs)).select(*ORDER).collect()
+    assert bag(got) == Counter(plain_alignment(rows, A, B))
+    assert [r["doc_id"] for r in got if not r["n_a"]] == [6]
+
+
 def test_alignment_forgets(monkeypatch, odd):
     """Numbers of groups start anew at a block, words and pieces are dropped: the blocks' tables say the same."""
     rows = [r[:2] for r in odd.collect()]

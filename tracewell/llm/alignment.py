@@ -75,9 +75,9 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # A piece: from a space up to the next that follows other than white space.
+        # A piece: from a space up to the next that follows other than white space. One that ends the text stays: B, which puts a space first, would see an empty text.
         cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.pattern = re.compile(r" \s*(?:\S++[^\S ]\s*)*\S*" if cuts else r"(?s:.+)")
+        self.pattern = re.compile(r" \s*(?:\S++[^\S ]\s*)*\S*(?: \Z)?" if cuts else r"(?s:.+)")
         self.forget()
 
     def forget(self) -> None:
