@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 from compare import oracle_rows, spark_rows
+from pyspark.sql import functions as F
 
-from tracewell.plans import catalog
+from tracewell.plans import catalog, views as v
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +25,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_symbol_counts(spark, tmp_path):
+    """The counts are those of the symbols, whatever is null, and line items are shuffled once, as they are."""
+    values = [None, 1, 2]
+    rows = [(i % 41 or None, values[i % 3], values[i // 3 % 3], values[i // 9 % 3], [None, 10.0, 30.0][i // 27 % 3], [None, 0.0, 0.07][i // 81 % 3], ["R", "N", None][i % 7 % 3]) for i in range(1000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = v.symbol_counts(spark, str(tmp_path))
+    level, count = F.col("level"), lambda x, c: F.count_if((level == x) & c)
+    t, p = F.col("truth"), F.col("predicted")
+    want = v.symbols(spark, str(tmp_path)).groupBy("id").agg(*(count(x, c).alias(f"{n}_{x}") for x in ("file", "entity", "module") for n, c in (("tp", t & p), ("p", p), ("t", t))))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = v.symbol_counts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2
