@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -75,3 +76,36 @@ def test_call_codes():
     base = {"actions": 1, "seen": 1, "failed": False, "o": (2, "grep"), "a": (1, "grep")}
     for change, want in (({}, None), ({"seen": 0}, "unpaired_action"), ({"actions": 0}, "orphan_observation"), ({"failed": True}, "tool_error"), ({"o": (1, "grep")}, "observation_mismatch"), ({"o": (2, "glob")}, "observation_mismatch"), ({"actions": 0, "seen": 0}, None)):
         assert traces.call_code(base | change) == want
+
+
+class _Store(dict):
+    """A map state that counts calls."""
+
+    calls = 0
+
+    def getValue(self, k):
+        self.calls += 1
+        return self[k]
+
+    def updateValue(self, k, x):
+        self.calls += 1
+        self[k] = x
+
+
+def test_entries_by_bucket(monkeypatch):
+    """Small maps take no call of the map state, large ones one for each bucket that is touched; nothing is lost as buckets grow."""
+    monkeypatch.setattr(traces, "MOST_ENTRIES", 10)
+    store, meta, want = _Store(), [1, 0, {}], {}
+    for batch in range(40):
+        meta = json.loads(json.dumps(meta))
+        held = traces._Entries(store, meta)
+        for i in range(batch * 5, batch * 5 + 10):
+            held.entry(f"k{i}", [0])[0] += 1
+            want[f"k{i}"] = want.get(f"k{i}", 0) + 1
+        before, buckets = store.calls, meta[0]
+        held.save()
+        assert meta[1] == len(want) and meta[1] <= 10 * meta[0]
+        if meta[0] == buckets:
+            assert store.calls - before == (0 if meta[0] == 1 else len(held.held))
+    last = traces._Entries(store, meta)
+    assert meta[0] == 64 and {k: last.entry(k, None)[0] for k in want} == want

@@ -2,7 +2,8 @@
 
 Each trajectory's state has what its numbers need and no events: sums; the searches
 seen; the lines read, as merged intervals by file; what is known of each call and of
-each response. An event changes a few entries, so a batch costs what its events cost.
+each response. Entries are kept by the bucket, and buckets grow in number, not in size: a
+batch reads and writes each bucket once that its events touch, and costs what its events cost.
 After the last batch the numbers are those of `operators.events.tool_metrics` and
 `operators.events.validate` over all events, in whatever order they came.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 from collections.abc import Iterator
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ from ..shipping import ship
 
 _SUMS = ("num_tool_calls", "search_calls", "read_calls", "repeated_searches", "read_lines", "output_chars", "excess_output_chars", "truncated_outputs", "tool_errors", "completion_tokens", "num_turns", "overlap_lines")
 METRICS = (*_SUMS, "overlap_ratio", "tool_efficiency_cost")
+_MAPS = ("searches", "read", "calls", "responses")
+#: Entries of a bucket, on average, beyond which there are more buckets; a state call for each costs more than to read some together.
+MOST_ENTRIES = 256
 _STATE = f"traj string, events long, {', '.join(f'{c} double' for c in _SUMS)}, codes array<string>"
 
 
@@ -53,6 +58,40 @@ def call_code(c: dict) -> str | None:
     return "observation_mismatch" if o_tool != a_tool or late else None
 
 
+class _Entries:
+    """Entries of a map, by the bucket in a map state; `meta` is [buckets, entries, the only bucket or null], kept with the sums."""
+
+    def __init__(self, state, meta: list) -> None:
+        self.state, self.meta = state, meta
+        self.held = {} if meta[2] is None else {0: meta[2]}
+
+    def _bucket(self, i: int) -> dict:
+        if i not in self.held:
+            self.held[i] = json.loads(self.state.getValue((i,))[0])
+        return self.held[i]
+
+    def entry(self, k: str, empty):
+        """What is held of k; it may be changed in place until `save`."""
+        b = self._bucket(crc32(k.encode("utf-8", "surrogatepass")) % self.meta[0])
+        if k not in b:
+            b[k] = empty
+            self.meta[1] += 1
+        return b[k]
+
+    def save(self) -> None:
+        """Writes the buckets that were touched; where they have become too full, all of them, in four times the number or more."""
+        if self.meta[1] > MOST_ENTRIES * self.meta[0]:
+            whole = {k: x for i in range(self.meta[0]) for k, x in self._bucket(i).items()}
+            while self.meta[1] > MOST_ENTRIES * self.meta[0]:
+                self.meta[0] *= 4
+            self.held, self.meta[2] = {i: {} for i in range(self.meta[0])}, None
+            for k, x in whole.items():
+                self.held[crc32(k.encode("utf-8", "surrogatepass")) % self.meta[0]][k] = x
+        if self.meta[2] is None:
+            for i, b in self.held.items():
+                self.state.updateValue((i,), (json.dumps(b),))
+
+
 def _order(pair) -> tuple:
     """Nulls first, as Spark orders structs."""
     return tuple((x is not None, x if x is not None else 0) for x in pair)
@@ -61,38 +100,29 @@ def _order(pair) -> tuple:
 class RunningTrace(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sums = handle.getValueState("sums", "v string")
-        self.searches = handle.getMapState("searches", "k string", "v boolean")
-        self.read = handle.getMapState("read", "k string", "v string")
-        self.calls = handle.getMapState("calls", "k string", "v string")
-        self.responses = handle.getMapState("responses", "k string", "v string")
+        self.maps = {name: handle.getMapState(name, "k int", "v string") for name in _MAPS}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        s = json.loads(self.sums.get()[0]) if self.sums.exists() else {"n": 0, "sums": dict.fromkeys(_SUMS, 0), "codes": {}, "finishes": 0, "finish_at": None, "last": None, "empty": 0, "odd": 0, "no_kind": 0, "no_observation": 0, "agent": 0, "doubled": 0, "mates": {}}
-        held: dict[str, dict] = {"read": {}, "calls": {}, "responses": {}}
-
-        def entry(name: str, k: str, empty):
-            """An entry of a map state, read once and written once a batch."""
-            if k not in held[name]:
-                state = getattr(self, name)
-                held[name][k] = json.loads(state.getValue((k,))[0]) if state.containsKey((k,)) else empty
-            return held[name][k]
+        was = self.sums.get()
+        s = json.loads(was[0]) if was is not None else {"maps": {name: [1, 0, {}] for name in _MAPS}, "n": 0, "sums": dict.fromkeys(_SUMS, 0), "codes": {}, "finishes": 0, "finish_at": None, "last": None, "empty": 0, "odd": 0, "no_kind": 0, "no_observation": 0, "agent": 0, "doubled": 0, "mates": {}}
+        held = {name: _Entries(state, s["maps"][name]) for name, state in self.maps.items()}
 
         m = s["sums"]
         later = lambda a, b: b if a is None else a if b is None else max(a, b)
-        for e in rows:
+        for row in rows:
+            e = row.asDict()
             s["n"] += 1
             for c in ("num_tool_calls", "search_calls", "read_calls", "output_chars", "excess_output_chars", "truncated_outputs", "tool_errors", "completion_tokens", "num_turns"):
                 m[c] += e[c]
             if e["search"] is not None:
-                if self.searches.containsKey((e["search"],)):
-                    m["repeated_searches"] += 1
-                else:
-                    self.searches.updateValue((e["search"],), (True,))
+                seen = held["searches"].entry(e["search"], [0])
+                m["repeated_searches"] += seen[0]
+                seen[0] = 1
             if e["read_path"] is not None:
                 span = e["end_line"] - e["start_line"] + 1
                 m["read_lines"] += span
                 if span > 0:
-                    m["overlap_lines"] += span - added_lines(entry("read", e["read_path"], []), e["start_line"], e["end_line"])
+                    m["overlap_lines"] += span - added_lines(held["read"].entry(e["read_path"], []), e["start_line"], e["end_line"])
             s["no_kind"] += e["kind"] is None
             s["no_observation"] += e["no_observation"]
             s["agent"] += e["agent"]
@@ -100,14 +130,14 @@ class RunningTrace(StatefulProcessor):
             action, observation = e["kind"] == "ActionEvent", e["kind"] == "ObservationEvent"
             if not (action or observation):
                 continue
-            call = entry("calls", json.dumps(e["tool_call_id"]), {"actions": 0, "seen": 0, "failed": False, "o": None, "a": None})
+            call = held["calls"].entry(json.dumps(e["tool_call_id"]), {"actions": 0, "seen": 0, "failed": False, "o": None, "a": None})
             before, at = call_code(call), [e["seq"], e["tool_name"]]
             if action:
                 call["actions"] += 1
                 call["a"] = at if call["a"] is None else max(call["a"], at, key=_order)
                 s["doubled"] += call["actions"] > (1 if e["tool_call_id"] else 0)
                 s["last"] = later(s["last"], e["seq"])
-                response = entry("responses", json.dumps(e["llm_response_id"]), {"actions": 0, "finishes": 0})
+                response = held["responses"].entry(json.dumps(e["llm_response_id"]), {"actions": 0, "finishes": 0})
                 response["actions"] += 1
                 if e["tool_name"] == FINISH:
                     response["finishes"] += 1
@@ -125,9 +155,8 @@ class RunningTrace(StatefulProcessor):
                 for code, n in ((before, -1), (after, 1)):
                     if code:
                         s["codes"][code] = s["codes"].get(code, 0) + n
-        for name, entries in held.items():
-            for k, v in entries.items():
-                getattr(self, name).updateValue((k,), (json.dumps(v),))
+        for entries in held.values():
+            entries.save()
         self.sums.update((json.dumps(s),))
         yield Row(traj=key[0], events=s["n"], **{c: float(v) for c, v in m.items()}, codes=self._codes(s))
 
