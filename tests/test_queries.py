@@ -52,3 +52,9 @@ def test_answered_requests_long_lines(spark, tmp_path):
     out = con.execute(catalog.ORACLE_SQL["answered_requests"])
     want = rows_of([c[0] for c in out.description], out.fetchall())
     assert spark_rows(catalog.QUERIES["answered_requests"](spark, str(tmp_path))) == want
+
+
+def test_faulty_log_is_numbered_once(spark):
+    """No task of the log's readers holds a sort of its events."""
+    plan = catalog.QUERIES["event_codes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ReusedExchange" not in plan

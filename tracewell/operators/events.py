@@ -99,24 +99,37 @@ def validate(events: DataFrame) -> DataFrame:
     action, observation = F.col("kind") == "ActionEvent", F.col("kind") == "ObservationEvent"
     has = lambda c, default: F.coalesce(F.col(c), default) if c in events.columns else default
     finish = action & (F.col("tool_name") == FINISH)
-    key = lambda what, c: F.struct(F.lit(what).alias("what"), c.cast("string").alias("key"))
-    call = key("call", F.when(action | observation, F.col("tool_call_id")))
-    each = events.withColumn("_k", F.explode(F.when(action, F.array(call, key("response", F.col("llm_response_id")))).otherwise(F.array(call))))
-    calls = each.groupBy("traj", "_k").agg(
-        F.count_if(action).alias("actions"),
-        F.count_if(observation).alias("seen"),
-        F.max(F.when(observation, F.coalesce("is_error", F.lit(False)))).alias("failed"),
-        F.min(F.when(observation, F.struct("seq", "tool_name"))).alias("o"),
-        F.max(F.when(action, F.struct("seq", "tool_name"))).alias("a"),
-        F.count_if(finish).alias("finishes"),
-        F.max(F.when(finish, F.col("seq"))).alias("finish_at"),
-        F.count_if(finish & (has("n_locations", F.lit(1)) == 0)).alias("empty"),
-        F.count_if(action & ~(F.coalesce(F.col("tool_name").isin(*TOOLS), F.lit(False)) & has("action_valid", F.lit(True)))).alias("odd"),
-        F.count_if(F.col("kind").isNull()).alias("no_kind"),
-        F.count_if(observation & F.col("text_chars").isNull() & F.col("is_error").isNull()).alias("no_observation"),
-        F.count_if(F.col("kind").isin("AgentErrorEvent", "ConversationErrorEvent")).alias("agent"),
+    # Rows are sorted by group: of an event they have what the sums need, its facts as bits of one number.
+    facts = {
+        "action": action,
+        "seen": observation,
+        "failed": observation & F.col("is_error"),
+        "finish": finish,
+        "empty": finish & (has("n_locations", F.lit(1)) == 0),
+        "odd": action & ~(F.coalesce(F.col("tool_name").isin(*TOOLS), F.lit(False)) & has("action_valid", F.lit(True))),
+        "no_kind": F.col("kind").isNull(),
+        "no_observation": observation & F.col("text_chars").isNull() & F.col("is_error").isNull(),
+        "agent": F.col("kind").isin("AgentErrorEvent", "ConversationErrorEvent"),
+    }
+    bits = {name: 1 << i for i, name in enumerate(facts)}
+    told = F.when(action | observation, F.col("tool_name"))
+    key = lambda of_call, c: F.struct(F.lit(of_call).alias("of_call"), c.cast("string").alias("key"), (told if of_call else F.lit(None).cast("string")).alias("tool_name"))
+    call = key(True, F.when(action | observation, F.col("tool_call_id")))
+    keys = F.when(action, F.array(call, key(False, F.col("llm_response_id")))).otherwise(F.array(call))
+    flags = sum((F.when(c, bits[name]).otherwise(0) for name, c in facts.items()), F.lit(0))
+    each = events.select("traj", "seq", flags.alias("_f"), F.explode(keys).alias("_k")).select("traj", "seq", "_f", "_k.*")
+    fact = lambda name: F.col("_f").bitwiseAND(bits[name]) > 0
+    calls = each.groupBy("traj", "of_call", "key").agg(
+        F.count_if(fact("action")).alias("actions"),
+        F.count_if(fact("seen")).alias("seen"),
+        F.max(fact("failed")).alias("failed"),
+        F.min(F.when(fact("seen"), F.struct("seq", "tool_name"))).alias("o"),
+        F.max(F.when(fact("action"), F.struct("seq", "tool_name"))).alias("a"),
+        F.count_if(fact("finish")).alias("finishes"),
+        F.max(F.when(fact("finish"), F.col("seq"))).alias("finish_at"),
+        *(F.count_if(fact(x)).alias(x) for x in ("empty", "odd", "no_kind", "no_observation", "agent")),
     )
-    of_call, blank = F.col("_k.what") == "call", F.coalesce("_k.key", F.lit("")) == ""
+    of_call, blank = F.col("of_call"), F.coalesce("key", F.lit("")) == ""
     pair = (
         F.when(F.col("actions") == 0, F.when(F.col("seen") > 0, "orphan_observation"))
         .when(F.col("seen") != 1, "unpaired_action")
