@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import batches, search
+from tracewell.operators import anchors, batches, search
 
 WORDS = ["parse", "parser", "error", "raise", "class", "return", "value", "naïve", "tokens"]
 
@@ -56,6 +56,43 @@ def test_batches(spark, files, tmp_path, limit, budget):
     assert errors == 8 and {got[i]["error"] for i in (7, 8, 20)} == {batches.TOO_BROAD}
 
 
+@pytest.mark.parametrize("limit,budget,parts", [(100, 30_000, 16), (7, 300, 40), (1, 90, 5)])
+def test_all_without_an_index(spark, files, monkeypatch, limit, budget, parts):
+    """The same answers as over an index, also where most requests are full before the last files are looked into, and some go on for several rounds."""
+    monkeypatch.setattr(batches, "PARTS", parts)
+    monkeypatch.setattr(batches, "FIRST_TIMES", 1)
+    monkeypatch.setattr(batches, "MORE_TIMES", 2)
+    more = [("grep", "class return|value naïve|tokens", "src/lib", None), ("grep", "return value", None, "*7.py"), ("grep", "value", "src", None), ("grep", "error", None, "*.{md,txt}"), ("glob", "**/*.md", None, None), ("grep", r"tokens tokens \z", None, None)]
+    asked = spark.createDataFrame([(i, *r) for i, r in enumerate(REQUESTS + more)], "request int, kind string, pattern string, path string, include string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want, got = batches.searched(asked, files, batches.index(files), limit, budget), batches.searched_all(asked, files, limit, budget)
+    for a, b in zip(want, got, strict=True):
+        assert a.columns == b.columns and rows(a) == rows(b)
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_all_of_nothing(spark, files):
+    asked = spark.createDataFrame([(1, "grep", "parser", None, None), (2, "glob", "*", None, None)], "request int, kind string, pattern string, path string, include string")
+    for some, n in ((asked, 0), (asked.where("request = 2"), None)):
+        answers, results = batches.searched_all(some, files.where("false"))
+        assert {r["request"]: r["n"] for r in answers.collect()} == {1: n, 2: None} if n == 0 else [r["n"] for r in answers.collect()] == [None]
+        assert results.isEmpty()
+
+
+def test_frequent_strings_are_looked_up_in_the_first_files_only(spark, monkeypatch):
+    """Lines that are read for requests that match everywhere grow with the requests, not with their product with the files."""
+    held = []
+    real = anchors.lines_with
+    monkeypatch.setattr(anchors, "lines_with", lambda *a: held.append(real(*a)) or held[-1])
+    files = spark.range(2000).select(F.format_string("d/f%04d.txt", "id").alias("path"), F.concat(F.lit("every file has this line\nand its own "), "id").alias("text"))
+    asked = spark.createDataFrame([(i, "grep", p, None, None) for i, p in enumerate(("file has this", "every file", "its own 1999"))], "request int, kind string, pattern string, path string, include string")
+    answers, results = batches.searched_all(asked, files, 5)
+    assert {(r["request"], r["n"], r["truncated"]) for r in answers.collect()} == {(0, 5, True), (1, 5, True), (2, 1, False)}
+    assert sorted(r["path"] for r in results.where("request = 0").collect()) == [f"d/f{i:04}.txt" for i in range(5)]
+    assert len(held) == 1 and held[0].count() <= 2000 // 10
+
+
 def test_no_product_in_the_plan(spark, files):
     asked = spark.createDataFrame([(i, *r) for i, r in enumerate(REQUESTS)], "request int, kind string, pattern string, path string, include string")
     for df in batches.searched(asked, files, batches.index(files)):
