@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -81,6 +82,21 @@ def test_alignment_forgets(monkeypatch, odd):
     assert said(5) == said(10**9)
 
 
+def test_alignment_calls():
+    """What is new in a text takes one call of each tokenizer, what is known none."""
+    align, texts = alignment.Aligner(A, B), []
+    a, b = align.a, align.b
+    align.a = lambda text: texts.append("A") or a(text)
+    align.b = SimpleNamespace(encode=lambda text, **more: texts.append("B") or b.encode(text, **more))
+    text = " ".join(f"w{i}x\u00e9 {i}" for i in range(500)) + " " + "y" * 100
+    first = align(text)
+    assert sorted(texts) == ["A", "B"]
+    short = text[: text.rindex(" ")]
+    assert align(short).tolist() == first[: len(align(short))].tolist() and sorted(texts) == ["A", "B"]
+    assert align(f"{text} new\n").tolist()[: len(first)] == first.tolist() and len(texts) == 4
+    assert not len(align(f"{short} a\u2581b other")) and align(f"{short} other").tolist()[: len(align(short))] == align(short).tolist()
+
+
 def test_alignment_empty(empty):
     assert alignment.measured(alignment.aligned(empty)).count() == 0
     assert alignment.best_matches(empty).count() == 0

@@ -14,8 +14,10 @@ the blocks by the group's key, whatever the number of documents. The hottest gro
 one row a block.
 
 Texts are cut where both tokenizers cut, before a space that follows other than white
-space, and each distinct piece is encoded once while it is remembered. Where the
-vocabulary of B has a piece that goes on beyond such a place, texts are not cut.
+space, and each distinct piece is encoded once while it is remembered. The pieces of a
+document that are new are joined, encoded in one call of each tokenizer and cut into
+groups with array operations. Where the vocabulary of B has a piece that goes on beyond
+such a place, texts are not cut.
 
 Defined results: texts that are null, empty, or whose tokens don't join to a space and
 the text (a text with U+2581, which B takes for a space) have no tokens; strings of
@@ -27,9 +29,7 @@ long text is a block by itself and is encoded whole.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ BLOCK_GROUPS = 2**20
 CACHE_LENGTH = 64
 #: Words of A, and distinct groups, that a worker remembers.
 KNOWN_WORDS, KNOWN_GROUPS = 200_000, 2**20
+#: Fixed value: the bit that tells ids of B from those of A.
+OF_B = np.uint32(2**31)
 
 
 def ids_of(key: str) -> tuple[list[int], list[int]]:
@@ -56,6 +58,23 @@ def ids_of(key: str) -> tuple[list[int], list[int]]:
     return list(map(int, a.split(","))), list(map(int, b.split(",")))
 
 
+class _Numbers(dict):
+    """Numbers of groups in the order of their first occurrence, and their keys.
+
+    A group is known by its ids as unsigned 32-bit integers, those of B with the highest bit set.
+    """
+
+    def __init__(self) -> None:
+        self.keys_of: list[str] = []
+
+    def __missing__(self, group: bytes) -> int:
+        ids = np.frombuffer(group, dtype=np.uint32)
+        own = ids < OF_B
+        self.keys_of.append(f"{','.join(map(str, ids[own].tolist()))}|{','.join(map(str, (ids[~own] - OF_B).tolist()))}")
+        n = self[group] = len(self)
+        return n
+
+
 class Aligner:
     def __init__(self, a_path: str, b_path: str) -> None:
         import re
@@ -75,6 +94,7 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([*map(len, x)], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         # A piece: from a space up to the next that follows other than white space. One that ends the text stays: B, which puts a space first, would see an empty text.
         cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.pattern = re.compile(r" \s*(?:\S++[^\S ]\s*)*\S*(?: \Z)?" if cuts else r"(?s:.+)")
@@ -82,43 +102,48 @@ class Aligner:
 
     def forget(self) -> None:
         """Groups are numbered anew."""
-        self.keys: list[str] = []
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
+        self.keys = self.number.keys_of
         self.known = _Words(self._aligned)
 
     def _aligned(self, piece: str) -> bytes:
         """Numbers of a piece's groups as unsigned 32-bit integers; none if tokens don't join to it."""
-        return self._groups(piece, self.b.encode(piece[1:], num_threads=1))  # B puts a space first itself
-
-    def _groups(self, piece: str, b: list[int]) -> bytes:
-        a, a_bytes, b_bytes = self.a(piece).tolist(), self.a_bytes, self.b_bytes
-        own, other = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        raw = piece.encode("utf-8", "surrogatepass")
-        if b"".join(own) != raw or b"".join(other) != raw:
-            return b""
-        ends = {at: j for j, at in enumerate(accumulate(map(len, other)), 1)}
-        number, out = self.number, []
-        i0 = j0 = 0
-        for i, at in enumerate(accumulate(map(len, own)), 1):
-            if (j := ends.get(at)) is not None:
-                key = f"{a[i0]}|{b[j0]}" if i - i0 == 1 == j - j0 else f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}"
-                n = number.get(key)
-                if n is None:
-                    n = number[key] = len(number)
-                    self.keys.append(key)
-                out.append(n)
-                i0, j0 = i, j
-        return array("I", out).tobytes()
+        return self._groups([piece]).get(piece, b"")
+
+    def _groups(self, pieces: list[str]) -> dict[str, bytes]:
+        """Numbers of the groups of each piece; empty if the tokens of any don't join to it. A piece that ends in white space must be the last."""
+        joined = "".join(pieces)
+        raw = joined.encode("utf-8", "surrogatepass")
+        a, b = self.a(joined), np.array(self.b.encode(joined[1:], num_threads=1), dtype=np.uint32)  # B puts a space first itself
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
+            return {}
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # Behind the last tokens of each group.
+        to_b = np.searchsorted(b_ends, a_ends)
+        to_a = np.flatnonzero(b_ends[to_b] == a_ends)
+        ends, to_a, to_b = a_ends[to_a], to_a + 1, to_b[to_a] + 1
+        # The ids of each group one after another, those of A first.
+        ids = np.empty(len(a) + len(b), dtype=np.uint32)
+        ids[np.arange(len(a)) + np.repeat(np.append(0, to_b[:-1]), np.diff(to_a, prepend=0))] = a
+        ids[np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = b | OF_B
+        groups, at = ids.tobytes(), [0, *(4 * (to_a + to_b)).tolist()]
+        numbers = np.array([self.number[groups[i:j]] for i, j in zip(at, at[1:])], dtype=np.uint32).tobytes()
+        sizes = map(len, pieces if len(joined) == len(raw) else [p.encode("utf-8", "surrogatepass") for p in pieces])
+        at = [0, *(4 * np.searchsorted(ends, np.cumsum([*sizes]), side="right")).tolist()]
+        return {p: numbers[i:j] for p, i, j in zip(pieces, at, at[1:])}
 
     def __call__(self, text: str) -> np.ndarray:
         """Numbers of the text's groups; none if tokens don't join to it."""
         known, pieces = self.known, self.pattern.findall(f" {text}")
-        new = [p for p in {*pieces} if p not in known and p not in known.old and len(p) <= CACHE_LENGTH]
-        # B encodes in one call what is new.
-        made = dict(zip(new, map(self._groups, new, self.b.encode([p[1:] for p in new], num_threads=1) if new else []), strict=True))
+        # In the order of the text: only its last piece may end in white space.
+        new = [p for p in dict.fromkeys(pieces) if p not in known and p not in known.old]
+        made = self._groups(new) if new else {}
+        if len(made) < len(new):
+            return np.zeros(0, dtype=np.uint32)
         known.encode = lambda p: made[p] if p in made else self._aligned(p)
-        parts = [known[p] if len(p) <= CACHE_LENGTH else self._aligned(p) for p in pieces]
-        return np.frombuffer(b"" if b"" in parts else b"".join(parts), dtype=np.uint32)
+        get = known.__getitem__
+        parts = [made[p] if len(p) > CACHE_LENGTH else get(p) for p in pieces] if max(map(len, new), default=0) > CACHE_LENGTH else map(get, pieces)
+        return np.frombuffer(b"".join(parts), dtype=np.uint32)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
