@@ -44,7 +44,7 @@ from .tokens import Encoder, _Words, tokenizer_path
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Groups of a block, but for a longer document; its dictionary stands in a task's memory.
 BLOCK_GROUPS = 2**20
-#: Longer pieces are not remembered.
+#: Longer pieces, their space included, are not remembered.
 CACHE_LENGTH = 64
 #: Words of A, and distinct groups, that a worker remembers.
 KNOWN_WORDS, KNOWN_GROUPS = 200_000, 2**20
@@ -95,9 +95,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([*map(len, x)], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
-        # A piece: from a space up to the next that follows other than white space. One that ends the text stays: B, which puts a space first, would see an empty text.
+        # A piece, which is known without its first space: from a space up to the next that follows other than white space. One that ends the text stays: B, which puts a space first, would see an empty text.
         cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.pattern = re.compile(r" \s*(?:\S++[^\S ]\s*)*\S*(?: \Z)?" if cuts else r"(?s:.+)")
+        # In most texts no space stands first, last or behind white space, so that each begins a piece.
+        self.other = re.compile(r"\A | \Z|\s " if cuts else "")
         self.forget()
 
     def forget(self) -> None:
@@ -112,7 +114,7 @@ class Aligner:
 
     def _groups(self, pieces: list[str]) -> dict[str, bytes]:
         """Numbers of the groups of each piece; empty if the tokens of any don't join to it. A piece that ends in white space must be the last."""
-        joined = "".join(pieces)
+        joined = " " + " ".join(pieces)
         raw = joined.encode("utf-8", "surrogatepass")
         a, b = self.a(joined), np.array(self.b.encode(joined[1:], num_threads=1), dtype=np.uint32)  # B puts a space first itself
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
@@ -129,20 +131,24 @@ class Aligner:
         groups, at = ids.tobytes(), [0, *(4 * (to_a + to_b)).tolist()]
         numbers = np.array([self.number[groups[i:j]] for i, j in zip(at, at[1:])], dtype=np.uint32).tobytes()
         sizes = map(len, pieces if len(joined) == len(raw) else [p.encode("utf-8", "surrogatepass") for p in pieces])
-        at = [0, *(4 * np.searchsorted(ends, np.cumsum([*sizes]), side="right")).tolist()]
+        at = [0, *(4 * np.searchsorted(ends, np.cumsum([1 + n for n in sizes]), side="right")).tolist()]
         return {p: numbers[i:j] for p, i, j in zip(pieces, at, at[1:])}
 
     def __call__(self, text: str) -> np.ndarray:
         """Numbers of the text's groups; none if tokens don't join to it."""
-        known, pieces = self.known, self.pattern.findall(f" {text}")
-        # In the order of the text: only its last piece may end in white space.
-        new = [p for p in dict.fromkeys(pieces) if p not in known and p not in known.old]
-        made = self._groups(new) if new else {}
-        if len(made) < len(new):
-            return np.zeros(0, dtype=np.uint32)
-        known.encode = lambda p: made[p] if p in made else self._aligned(p)
-        get = known.__getitem__
-        parts = [made[p] if len(p) > CACHE_LENGTH else get(p) for p in pieces] if max(map(len, new), default=0) > CACHE_LENGTH else map(get, pieces)
+        known = self.known
+        pieces = [p[1:] for p in self.pattern.findall(f" {text}")] if self.other.search(text) else text.split(" ")
+        parts = [*map(known.get, pieces)]
+        if missing := [i for i, x in enumerate(parts) if x is None]:
+            # In the order of the text: only its last piece may end in white space.
+            new = [p for p in dict.fromkeys([pieces[i] for i in missing]) if p not in known.old]
+            made = self._groups(new) if new else {}
+            if len(made) < len(new):
+                return np.zeros(0, dtype=np.uint32)
+            known.encode = lambda p: made[p] if p in made else self._aligned(p)
+            for i in missing:
+                p = pieces[i]
+                parts[i] = made[p] if len(p) >= CACHE_LENGTH else known[p]
         return np.frombuffer(b"".join(parts), dtype=np.uint32)
 
 
